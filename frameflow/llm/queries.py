@@ -8,17 +8,45 @@ from pyspark.sql import functions as F
 from frameflow.llm.common import read_table
 from frameflow.llm.decontam import contamination
 from frameflow.llm.line_dedup import dedup_lines
+from frameflow.llm.packing import pack
 from frameflow.llm.sharding import shard_by_bytes
+from frameflow.llm.simhash import near_duplicates
+from frameflow.llm.token_output import token_round_trip
 
 N_SHARDS = 16
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id."""
+    done = near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, bits=3)
+    return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, from the files that it wrote."""
+    done = token_round_trip(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+    return done.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256."""
     done = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=1, min_docs=10)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece."""
+    done = pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=2)
+    return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null under this law)."""
     done = shard_by_bytes(read_table(spark, sf_dir, "documents"), N_SHARDS)
@@ -32,7 +60,10 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_token_codes": op2_token_codes,
     "op3_line_dedup": op3_line_dedup,
+    "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
     "op10_decontam": op10_decontam,
 }
