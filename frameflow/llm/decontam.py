@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameflow.llm.common import let, lower_ascii
+from frameflow.llm.common import let, lower_ascii, materialise
 
 WINDOW = 13
 MAX_WINDOWS = 100_000
@@ -68,44 +68,62 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(hits, zero, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["e"] - F.greatest(s["p"], a["end"]))).alias("n"), F.greatest(a["end"], s["e"]).alias("end")), lambda a: a["n"].cast("bigint"))
 
 
+NO_SPANS = "array<struct<p:int,e:int,w:string>>"
+
+
 def _scan_in_row(docs: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
     rows = windows.select("window", "len", "lead").collect()
-    if not rows:
-        found = lambda words: F.array().cast("array<struct<p:int,e:int,w:string>>")
-    else:
-        found = lambda words: _hits(words, rows)
-    scan = let(words_of(F.col(text_col)), lambda words: F.struct(F.size(words).cast("bigint").alias("n_words"), found(words).alias("hits")))
-    scanned = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__scan", scan)
-    return scanned.select("*", F.explode_outer(F.array_distinct(F.transform("__scan.hits", lambda h: h["w"]))).alias("window"))
+    found = (lambda words: _hits(words, rows)) if rows else lambda words: F.array().cast(NO_SPANS)
+    return docs.withColumn("__scan", let(words_of(F.col(text_col)), lambda words: F.struct(F.size(words).cast("bigint").alias("n_words"), found(words).alias("hits"))))
 
 
 def _scan_by_join(docs: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
     """For benchmarks beyond the bound: windows of every document meet the benchmark's in a shuffled join."""
+    rows = materialise(docs.withColumn("__number", F.monotonically_increasing_id()), "numbered")
     lengths = [r[0] for r in windows.select("len").distinct().collect()]  # at most WINDOW values
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__words", words_of(F.col(text_col)))
-    every = F.concat(*[F.when(F.size("__words") >= n, F.expr(f"transform(sequence(0, size(__words) - {n}), i -> struct(i as p, i + {n} as e, array_join(slice(__words, i + 1, {n}), ' ') as w))")).otherwise(F.array().cast("array<struct<p:int,e:int,w:string>>")) for n in lengths]) if lengths else F.array().cast("array<struct<p:int,e:int,w:string>>")
-    keep = [c for c in rows.columns if c not in ("__words", text_col)]
-    each = rows.select(*keep, F.size("__words").cast("bigint").alias("__n"), F.explode_outer(every).alias("s"))
-    met = each.join(windows.select(F.col("window"), F.lit(True).alias("__in")), F.col("s.w") == F.col("window"), "left")
-    spans = met.groupBy(*keep, "__n").agg(F.array_sort(F.collect_list(F.when(F.col("__in"), F.col("s")))).alias("hits"))
-    return spans.withColumn("__scan", F.struct(F.col("__n").alias("n_words"), F.col("hits"))).drop("__n", "hits").select("*", F.explode_outer(F.array_distinct(F.transform("__scan.hits", lambda h: h["w"]))).alias("window"))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", size: int = WINDOW, max_windows: int = MAX_WINDOWS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs``: doc_id, the columns in ``carry``, n_words, n_hit, items (sorted ids as strings), spans
-    (hit word ranges) and contaminated: hit words are at least a twentieth of all words."""
+    words = rows.select("__number", words_of(F.col(text_col)).alias("words"))
+    each = [F.when(F.size("words") >= n, F.expr(f"transform(sequence(0, size(words) - {n}), i -> struct(i as p, i + {n} as e, array_join(slice(words, i + 1, {n}), ' ') as w))")).otherwise(F.array().cast(NO_SPANS)) for n in lengths]
+    spans = words.select("__number", F.explode(F.concat(*each)).alias("s"))
+    met = spans.join(windows.select("window"), F.col("s.w") == F.col("window"), "left_semi").groupBy("__number").agg(F.array_sort(F.collect_list("s")).alias("hits"))
+    scan = F.struct(F.size(words_of(F.col(text_col))).cast("bigint").alias("n_words"), F.coalesce("hits", F.array().cast(NO_SPANS)).alias("hits"))
+    return rows.join(met, "__number", "left").withColumn("__scan", scan).drop("__number", "hits")
+
+
+def _scan(docs: DataFrame, windows: DataFrame, text_col: str, max_windows: int) -> tuple[DataFrame, bool]:
+    """``docs`` with __scan (n_words, hits); whether the windows are within the bound."""
+    few = windows.count() <= max_windows
+    return (_scan_in_row if few else _scan_by_join)(docs, windows, text_col), few
+
+
+def _judged(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (n_hit * 20 >= n_words)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, spans (hit word ranges), items (sorted ids, as strings) and
+    contaminated: the hit words are at least a twentieth of all words."""
     windows = benchmark_windows(benchmark, item_col, "text", size)
-    n = windows.count()
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__c_{c}") for c in carry])
-    if n <= max_windows:
-        scanned = _scan_in_row(rows, windows, "__text")
-        items = F.broadcast(windows.select("window", "items"))
-    else:
-        scanned, items = _scan_by_join(rows, windows, "__text"), windows.select("window", "items")
-    met = scanned.select("__row", "__id", *[f"__c_{c}" for c in carry], F.col("__scan.n_words").alias("n_words"), _covered(F.col("__scan.hits")).alias("n_hit"), F.transform("__scan.hits", lambda h: F.struct(h["p"], h["e"])).alias("spans"), "window")
-    met = met.join(items, "window", "left")
+    scanned, few = _scan(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), windows, "__text", max_windows)
+    rows = scanned.select(F.monotonically_increasing_id().alias("__row"), "__id", F.col("__scan.n_words").alias("n_words"), F.col("__scan.hits").alias("hits"))
+    each = rows.select("__row", "__id", "n_words", _covered(F.col("hits")).alias("n_hit"), F.transform("hits", lambda h: F.struct(h["p"], h["e"])).alias("spans"), F.explode_outer(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("window"))
+    items = windows.select("window", "items")
+    met = each.join(F.broadcast(items) if few else items, "window", "left")
     out = met.groupBy("__row").agg(
-        F.first("__id").alias(id_col), *[F.first(f"__c_{c}").alias(c) for c in carry], F.first("n_words").alias("n_words"), F.first("n_hit").alias("n_hit"), F.first("spans").alias("spans"),
+        F.first("__id").alias(id_col), F.first("n_words").alias("n_words"), F.first("n_hit").alias("n_hit"), F.first("spans").alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return out.drop("__row").withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+    return out.drop("__row").withColumn("contaminated", _judged(F.col("n_hit"), F.col("n_words")))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text_col: str = "text", item_col: str = "item_id", size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """``docs`` without contaminated documents, or (``remove='spans'``) with the words of hit spans taken out: such a
+    text is its other normalised words, joined by spaces. Without a shuffle while the benchmark is within the bound."""
+    if remove not in ("documents", "spans"):
+        raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
+    scanned, _ = _scan(docs, benchmark_windows(benchmark, item_col, "text", size), text_col, max_windows)
+    hits = F.col("__scan.hits")
+    if remove == "documents":
+        judged = let(F.col("__scan"), lambda s: _judged(_covered(s["hits"]), s["n_words"]))
+        return scanned.where(~judged).select(*[F.col(f"`{c}`") for c in docs.columns])
+    outside = let(F.struct(words_of(F.col(text_col)).alias("words"), hits.alias("hits")), lambda s: F.array_join(F.filter(s["words"], lambda _, i: ~F.exists(s["hits"], lambda h: (h["p"] <= i) & (i < h["e"]))), " "))
+    return scanned.withColumn(text_col, F.when(F.size(hits) > 0, outside).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])

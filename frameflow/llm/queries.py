@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from frameflow.llm.common import read_table
 from frameflow.llm.decontam import contamination
+from frameflow.llm.langid import language
 from frameflow.llm.line_dedup import dedup_lines
+from frameflow.llm.lm import score as lm_score
 from frameflow.llm.packing import pack
+from frameflow.llm.quality import quality
 from frameflow.llm.sharding import shard_by_bytes
 from frameflow.llm.simhash import near_duplicates
 from frameflow.llm.token_output import token_round_trip
+from frameflow.llm.topk import top_k
 
 N_SHARDS = 16
 
@@ -41,6 +45,22 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: each fiftieth vector's five best others."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5).select("query_id", "rank", "vec_id", "score")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "quality", folds=5, threshold=0.3)
+
+
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    return lm_score(read_table(spark, sf_dir, "documents"), folds=10)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece."""
     done = pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=2)
@@ -53,6 +73,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
+    return language(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), folds=5)
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     done = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -63,8 +88,12 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_codes": op2_token_codes,
     "op3_line_dedup": op3_line_dedup,
+    "op4_topk": op4_topk,
+    "op5_quality": op5_quality,
+    "op6_lm": op6_lm,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
+    "op9_langid": op9_langid,
     "op10_decontam": op10_decontam,
 }
 
@@ -80,6 +109,16 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
                sha256(coalesce(string_agg(CASE WHEN o.key IS NULL THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
         FROM keyed k LEFT JOIN often o ON k.key = o.key GROUP BY doc_id""",
+    "op4_topk": r"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5""",
     "op10_decontam": r"""
         WITH it AS (
             SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
