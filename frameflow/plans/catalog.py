@@ -1,14 +1,15 @@
-"""The registry of queries over the driver's tables, with their DuckDB counterparts."""
+"""All queries over the driver's tables, with their DuckDB counterparts."""
 
 from __future__ import annotations
 
-_QUERIES: dict = {}
-_ORACLE: dict = {}
+from frameflow.plans import q_sky, q_tables, registry
+
+MODULES = (q_tables, q_sky)
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return dict(_ORACLE)
+    return dict(registry.ORACLE)
