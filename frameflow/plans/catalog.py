@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from frameflow.plans import q_sky, q_tables, registry
+from frameflow.plans import q_pixels, q_sky, q_tables, registry
 
-MODULES = (q_tables, q_sky)
+MODULES = (q_tables, q_sky, q_pixels)
 
 
 def queries() -> dict:
