@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from frameflow.plans import q_pixels, q_sky, q_tables, registry
+from frameflow.plans import q_pixels, q_sky, q_space, q_tables, registry
 
-MODULES = (q_tables, q_sky, q_pixels)
+MODULES = (q_tables, q_sky, q_pixels, q_space)
 
 
 def queries() -> dict:
