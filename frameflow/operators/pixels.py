@@ -50,11 +50,14 @@ def stack(pixels: DataFrame, method: str = "sigma_clip", by: tuple[str, ...] = (
 
 
 def clip_rounds(pixels: DataFrame, key: list[str], low: float, high: float, rounds: int) -> DataFrame:
-    """Rows that survive ``rounds`` of rejection outside mean - low sd .. mean + high sd. All rounds share one exchange."""
+    """Rows that survive ``rounds`` of rejection outside mean - low sd .. mean + high sd. All rounds share one exchange.
+
+    Equal values whose mean differs from them in the last digit stay: the bounds are wider by 1e-12 of it."""
     w = Window.partitionBy(*key)
     for _ in range(rounds):
         kept = pixels.withColumns({"__m": F.avg("v").over(w), "__s": F.stddev_pop("v").over(w)})
-        pixels = kept.where((F.col("v") >= F.col("__m") - low * F.col("__s")) & (F.col("v") <= F.col("__m") + high * F.col("__s"))).drop("__m", "__s")
+        slack = (F.abs("__m") + 1) * 1e-12
+        pixels = kept.where((F.col("v") >= F.col("__m") - low * F.col("__s") - slack) & (F.col("v") <= F.col("__m") + high * F.col("__s") + slack)).drop("__m", "__s")
     return pixels
 
 

@@ -55,7 +55,7 @@ def stack_median(spark, sf):
 def clip_sql(rounds: int) -> str:
     out = "c0 AS (SELECT * FROM px)"
     for k in range(rounds):
-        out += f""", c{k + 1} AS (SELECT * EXCLUDE (m, s) FROM (SELECT *, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s FROM c{k} WINDOW w AS (PARTITION BY target, ch, y, x)) WHERE v >= m - 2.5 * s AND v <= m + 2.5 * s)"""
+        out += f""", c{k + 1} AS (SELECT * EXCLUDE (m, s) FROM (SELECT *, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s FROM c{k} WINDOW w AS (PARTITION BY target, ch, y, x)) WHERE v >= m - 2.5 * s - (abs(m) + 1) * 1e-12 AND v <= m + 2.5 * s + (abs(m) + 1) * 1e-12)"""
     return out
 
 
