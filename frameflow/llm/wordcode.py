@@ -1,8 +1,10 @@
-"""Whole-text tokenisation with the tokenizers library, remembering the ids of chunks of text.
+"""Whole-text tokenisation with the tokenizers library, remembering the ids of words.
 
 Both public vocabularies used here split a text before they merge: no merge crosses the start of a space or newline that
-stands between other characters. So a text is cut there, each distinct chunk is encoded once by the library, and a text's
-ids are the chunks' ids in order. Runs of white space, where the cut would matter, stay inside one chunk.
+stands between other characters, nor the step from an ASCII letter to ASCII marks. So a text is cut at spaces, each
+distinct word is encoded once by the library (marks at a word's end apart), and a text's ids are its words' ids in order.
+Runs of white space, where the cut would matter, stay inside one piece. A vocabulary that lower-cases everything gets
+texts with A-Z lower-cased, which it would do itself, and so has fewer distinct words.
 """
 
 from __future__ import annotations
@@ -11,16 +13,33 @@ import json
 import os
 import re
 from array import array
+from itertools import chain
 
-_W = r"\s\x1c-\x1f\x85\xa0 ᠎ -​    　﻿"
+_W = r"\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
 _RUNS = re.compile(rf"[{_W}]{{3}}|[{_W}]{{2}}\Z|\x00")
 _SAFE = re.compile(rf"(?<=[^{_W}])(?=[ \n][^{_W}])")
+_TAIL = re.compile(rb"(.*[A-Za-z])([.,;:!?#$%&*|]+)", re.S)
+_FIRST = b"\0"
+_LATIN = 0x250  # letters below stay themselves under normalisation; only U+0130 has a longer lower case
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: printable ones themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+_CHARACTERS = _byte_characters()
 
 
 class WordEncoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers (bytes)."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers (bytes).
+
+    A remembered key is the word after a space, or a newline with its word. What follows nothing (a text's first word, a
+    word's marks) and the pieces of texts with runs of white space are kept whole, after a mark."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tokenizers
 
@@ -29,31 +48,72 @@ class WordEncoder:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_spaces = kind.get("normalizer") is not None  # the lower-casing vocabulary drops white space
-        self.limit, self.known, self.again = limit, {"": b""}, set()
+        self.model = self.tokenizer.model
+        self.limit, self.known = limit, {}
 
-    def chunks(self, text: str) -> list[str]:
+    def keys(self, text: str) -> list[bytes]:
         if self.drops_spaces:
-            return text.replace("\n", " ").split(" ")
+            return text.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ").split(b" ")
         if _RUNS.search(text):
-            return _SAFE.split(text)
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
+            return [_FIRST + c.encode("utf-8", "surrogatepass") for c in _SAFE.split(text)]
+        out = text.encode("utf-8", "surrogatepass").replace(b"\n", b" \n").split(b" ")
+        out[0] = _FIRST + out[0]
+        return out
+
+    def piece(self, key: bytes) -> str:
+        """The text that a key stands for."""
+        text = key.decode("utf-8", "surrogatepass")
+        if text[:1] == "\0" and (not self.drops_spaces or len(key) > 1 and _TAIL.fullmatch(b"a" + key[1:])):
+            return text[1:]
+        return text if self.drops_spaces or text[:1] == "\n" else " " + text
+
+    def _word(self, key: bytes) -> str | None:
+        """What the library's model gets for a word of Latin letters, which nothing before it would split; else None."""
+        first = key[:1] == _FIRST
+        word = key[1:] if first else key
+        if not (word.isalpha() and word.isascii()):
+            text = word.decode("utf-8", "surrogatepass")
+            if not text.isalpha() or max(text) >= chr(_LATIN) or "\u0130" in text:
+                return None
+            if self.drops_spaces:
+                word = text.lower().encode()
+        if self.drops_spaces:
+            return None if first else word.decode("latin-1").translate(_CHARACTERS)
+        return ("" if first else _CHARACTERS[32]) + word.decode("latin-1").translate(_CHARACTERS)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.chunks(t) if t else [] for t in texts]
-        now = set().union(*cut)
-        new = list(now.difference(self.known))
-        if len(self.known) + len(new) > self.limit:  # keep what has been met again, if that leaves room
-            old = self.known
-            self.known = {"": b""} | ({c: old[c] for c in self.again} if len(self.again) < self.limit // 2 else {})
-            self.again = set()
-            new = list(now.difference(self.known))
-        self.again |= now.intersection(self.known)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = array("I", e.ids).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        cut = [self.keys(t) if t else [] for t in texts]
+        flat = list(chain.from_iterable(cut))
+        ids = list(map(self.known.get, flat))
+        if None in ids:
+            if len(self.known) > self.limit:
+                self.known = {}
+                ids = [None] * len(flat)
+            holes = [i for i, v in enumerate(ids) if v is None]
+            self._learn({flat[i] for i in holes})
+            for i in holes:
+                ids[i] = self.known[flat[i]]
+        out, at = [], 0
+        for c in cut:
+            out.append(b"".join(ids[at : at + len(c)]))
+            at += len(c)
+        return out
+
+    def _learn(self, new: set[bytes]) -> None:
+        tailed = {k: (m[1], _FIRST + m[2]) for k in new if (m := _TAIL.fullmatch(k))}
+        whole = [k for k in (new - tailed.keys()).union(*tailed.values()) if k not in self.known]
+        rest = []
+        for k in whole:
+            word = self._word(k)
+            if word is None:
+                rest.append(k)
+            else:
+                self.known[k] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        for i in range(0, len(rest), 10_000):
+            part = rest[i : i + 10_000]
+            coded = self.tokenizer.encode_batch_fast([self.piece(k) for k in part], add_special_tokens=False)
+            self.known.update(zip(part, [array("I", e.ids).tobytes() for e in coded]))
+        self.known.update({k: self.known[head] + self.known[tail] for k, (head, tail) in tailed.items()})
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -21,7 +21,7 @@ def plain(path, text):
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 @settings(max_examples=150, deadline=None)
-@given(texts=st.lists(st.one_of(st.text(max_size=30), st.text(alphabet=" \n\t\r\x0b\x1c\x85\xa0　aB1'.s!é", max_size=30)), max_size=6))
+@given(texts=st.lists(st.one_of(st.text(max_size=30), st.text(alphabet=" \n\t\r\x0b\x1c\x85\xa0　aB1'.s!é,ab|:", max_size=30)), max_size=6))
 def test_remembered_chunks_encode_as_whole_texts(path, texts):
     got = ENCODERS[path].encode(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain(path, t) for t in texts]
@@ -38,6 +38,14 @@ def test_dac_gives_any_id_and_any_slice(ids, a, b):
         segment[len(ids)]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@settings(max_examples=150, deadline=None)
+@given(words=st.lists(st.text(alphabet="aBéÉßİıſΣςñŉǅŐ.,!'’", min_size=1, max_size=8), max_size=8))
+def test_words_of_letters(path, words):
+    text = " ".join(words)
+    assert np.frombuffer(ENCODERS[path].encode([text])[0], "<u4").tolist() == plain(path, text)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
