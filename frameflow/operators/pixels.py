@@ -88,7 +88,7 @@ def image_stats(pixels: DataFrame, by: tuple[str, ...] = ("frame_id", "ch")) ->
 def histogram(pixels: DataFrame, bins: int = 256, by: tuple[str, ...] = ("ch",)) -> DataFrame:
     """Counts in equal bins over [min, max], the last one closed; every bin has a row. Flat groups count nothing."""
     ends = pixels.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    rows = pixels.join(F.broadcast(ends), list(by)).where("hi > lo")
+    rows = pixels.join(ends, list(by)).where("hi > lo")
     counts = rows.groupBy(*by, F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = ends.select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return every.join(counts, [*by, "bin"], "left").select(*by, "bin", F.coalesce("n", F.lit(0)).alias("n"))
