@@ -142,6 +142,8 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.languages:
+            return [(UNDEFINED, 0.0)] * len(texts)
         counts = [Counter(_WORD.findall((t or "").lower())) for t in texts]
         new = list(set().union(*counts).difference(self._known))
         if len(self._known) + len(new) > REMEMBERED:
@@ -150,7 +152,7 @@ class Model:
         self._known.update(zip(new, self.log_probabilities([START + w for w in new])))
         out = []
         for count in counts:
-            if not count or not self.languages:
+            if not count:
                 out.append((UNDEFINED, 0.0))
                 continue
             total = np.fromiter(count.values(), float, len(count)) @ np.array([self._known[w] for w in count])
@@ -191,9 +193,11 @@ def fit(pieces: Pieces, counts: dict[str, Counter], rounds: int = ROUNDS) -> Mod
 def train(docs: DataFrame, vocabulary: str, folds: int = 5, label_col: str = "lang") -> Model:
     """A model of ``label_col``, learnt from a bounded sample of the rows outside the held-out fold."""
     rows = docs.where(learnable(F.col("doc_id"), folds) & F.col(label_col).isNotNull() & (F.col(label_col) != UNDEFINED)).select(F.col("doc_id").alias("__id"), F.col(label_col).cast("string").alias("__lang"))
-    common = F.broadcast(rows.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(MAX_LANGUAGES).select("__lang"))
-    nth = F.row_number().over(Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id"))
-    picked = rows.join(common, "__lang").withColumn("__nth", nth).where(F.col("__nth") <= MAX_SAMPLE).select("__id", "__lang")
+    common = F.broadcast(rows.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(MAX_LANGUAGES))
+    # a share of each language's rows by their hash, some four times the sample, before they are ranked in one place
+    share = (F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) / float(1 << 30)) * F.col("count") < 4 * MAX_SAMPLE
+    nth = F.row_number().over(Window.partitionBy("__lang").orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)), "__id"))
+    picked = rows.join(common, "__lang").where(share).withColumn("__nth", nth).where(F.col("__nth") <= MAX_SAMPLE).select("__id", "__lang")
     # MAX_SAMPLE * MAX_LANGUAGES ids at most
     got = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("__lang", "text").toLocalIterator()
     counts: dict[str, Counter] = {}
