@@ -1,7 +1,7 @@
 """A quality classifier: random-indexing word vectors, pooled per document, and a two-layer network in numpy.
 
-Words and word shapes (letters, digits and marks, runs collapsed) have sparse ternary index vectors by hashed bucket. A
-word's vector is its index vector plus the normalised sum of its neighbours' in the training sample. A document is the
+Words and word shapes (letters, digits and marks, runs collapsed; a word that repeats the one before counts as a shape of
+its own) have sparse ternary index vectors by hashed bucket. A word's vector is its index vector plus the normalised sum of its neighbours' in the training sample. A document is the
 mean over all its words of their vectors and of their shapes' vectors. A tanh layer and a logistic one give a logit; a
 temperature, fitted on a part of the training sample that the network didn't see, calibrates it.
 
@@ -17,6 +17,8 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,6 +30,7 @@ MAX_SAMPLE = 8_000
 BUCKETS, SHAPES, DIMS, NONZERO, HIDDEN = 1 << 15, 1 << 12, 64, 6, 32
 REMEMBERED = 300_000
 _KINDS = bytes(ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c for c in range(256))
+AGAIN = zlib.crc32(b"=") % SHAPES
 _RUN = re.compile(rb"(.)\1+", re.S)
 
 
@@ -72,13 +75,15 @@ class Model:
 
 
 def pool(text: str | None, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-    count = Counter((text or "").encode("utf-8", "surrogatepass").split())
+    flat = (text or "").encode("utf-8", "surrogatepass").split()
+    count = Counter(flat)
     if not count:
         return np.zeros(2 * DIMS + 1, np.float32)
     at = np.array([keys(w) for w in count], np.int64)
     n = np.fromiter(count.values(), np.float32, len(count))
     total = n.sum()
-    shape_n = np.bincount(at[:, 1], n)
+    shape_n = np.bincount(at[:, 1], n, SHAPES)
+    shape_n[AGAIN] += sum(map(eq, flat, islice(flat, 1, None)))  # words that repeat the one before
     used = np.flatnonzero(shape_n)
     return np.concatenate([n @ words[at[:, 0]] / total, shape_n[used].astype(np.float32) @ shapes[used] / total, [np.log1p(total)]]).astype(np.float32)
 
@@ -144,7 +149,9 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 5) -
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, max_sample: int = MAX_SAMPLE) -> Model:
     """A model of ``labels[label]``, learnt from at most ``max_sample`` labelled rows outside the held-out fold."""
     rows = labels.where(learnable(F.col("doc_id"), folds) & F.col(label).isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y"))
-    picked = F.broadcast(rows.orderBy(F.xxhash64("__id"), "__id", "__y").limit(max_sample))
+    place = F.pmod(F.xxhash64("__id"), F.lit(1 << 30))
+    share = int(min(1.0, 2 * max_sample / max(1, rows.count())) * (1 << 30))  # so that tasks send some two samples in all
+    picked = F.broadcast(rows.where(place < share).orderBy(place, "__id", "__y").limit(max_sample))
     got = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__y").collect()
     got.sort(key=lambda r: (r[0], r[1] or "", r[2]))
     return fit([r[1] or "" for r in got], np.array([r[2] for r in got]))
