@@ -19,6 +19,8 @@ _W = r"\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u300
 _RUNS = re.compile(rf"[{_W}]{{3}}|[{_W}]{{2}}\Z|\x00")
 _SAFE = re.compile(rf"(?<=[^{_W}])(?=[ \n][^{_W}])")
 _TAIL = re.compile(rb"(.*[A-Za-z])([.,;:!?#$%&*|]+)", re.S)
+_MARKS = frozenset(b".,;:!?#$%&*|")
+_OTHER = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\0"  # white space of ASCII besides space and newline, and the mark below
 _FIRST = b"\0"
 _LATIN = 0x250  # letters below stay themselves under normalisation; only U+0130 has a longer lower case
 
@@ -54,12 +56,19 @@ class WordEncoder:
     def keys(self, text: str) -> list[bytes]:
         if self.drops_spaces:
             return text.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ").split(b" ")
-        if _RUNS.search(text):
+        if not self._plain(text) and _RUNS.search(text):
             return [_FIRST + c.encode("utf-8", "surrogatepass") for c in _SAFE.split(text)]
         out = text.encode("utf-8", "surrogatepass").replace(b"\n", b" \n").split(b" ")
         out[0] = _FIRST + out[0]
         return out
 
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Whether all white space is single spaces and newlines between words; True only if it is."""
+        if not text.isascii():
+            return len(text.split()) == text.count(" ") + text.count("\n") + 1 and "\0" not in text
+        return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text) and len(text.encode().translate(None, _OTHER)) == len(text)
+
     def piece(self, key: bytes) -> str:
         """The text that a key stands for."""
         text = key.decode("utf-8", "surrogatepass")
@@ -71,12 +80,15 @@ class WordEncoder:
         """What the library's model gets for a word of Latin letters, which nothing before it would split; else None."""
         first = key[:1] == _FIRST
         word = key[1:] if first else key
-        if not (word.isalpha() and word.isascii()):
-            text = word.decode("utf-8", "surrogatepass")
-            if not text.isalpha() or max(text) >= chr(_LATIN) or "\u0130" in text:
-                return None
+        if word.isalpha():  # ASCII letters, which byte-level vocabularies write as they are
             if self.drops_spaces:
-                word = text.lower().encode()
+                return None if first else word.decode("ascii")
+            return word.decode("ascii") if first else _CHARACTERS[32] + word.decode("ascii")
+        text = word.decode("utf-8", "surrogatepass")
+        if not text.isalpha() or max(text) >= chr(_LATIN) or "\u0130" in text:
+            return None
+        if self.drops_spaces:
+            word = text.lower().encode()
         if self.drops_spaces:
             return None if first else word.decode("latin-1").translate(_CHARACTERS)
         return ("" if first else _CHARACTERS[32]) + word.decode("latin-1").translate(_CHARACTERS)
@@ -100,7 +112,7 @@ class WordEncoder:
         return out
 
     def _learn(self, new: set[bytes]) -> None:
-        tailed = {k: (m[1], _FIRST + m[2]) for k in new if (m := _TAIL.fullmatch(k))}
+        tailed = {k: (m[1], _FIRST + m[2]) for k in new if k and k[-1] in _MARKS and (m := _TAIL.fullmatch(k))}
         whole = [k for k in (new - tailed.keys()).union(*tailed.values()) if k not in self.known]
         rest = []
         for k in whole:
