@@ -1,9 +1,10 @@
 """Line deduplication with DataFrame functions only.
 
 Occurrences of lines travel as 128-bit hashes. They are range-partitioned by (hash, document), so a line that stands in
-a third of all documents is spread over as many ranges as it needs, and sorted by document and position within. Each
-range streams its documents per hash; the counts of a hash from several ranges meet as partial sums. What comes back to
-a document is a sparse bitmap of lines, never text.
+a third of all documents is spread over as many ranges as it needs, and sorted by document and position within; the
+table of them is written once. Each range streams its documents per hash, and a hash's counts from several ranges meet
+as partial sums. Occurrences meet the repeated hashes in salted parts. What comes back to a document is a sparse bitmap
+of lines, never text.
 
 Defined results: a null or empty text is one empty line; a key shorter than ``min_chars`` is always kept; rows that are
 equal in doc_id and text are one document, and each of them gets the same bitmap; rows with one doc_id and different
@@ -15,9 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameflow.llm.common import BLANKS, let, lower_ascii
+from frameflow.llm.common import BLANKS, let, lower_ascii, materialise
 
 DOC = ("__doc", "__text_hash")
+SALTS = 16  # parts of a hash's occurrences where they meet the repeated hashes
 
 
 def lines_of(text: Column) -> Column:
@@ -53,11 +55,13 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if keep not in ("none", "first"):
         raise ValueError(f"keep must be 'none' or 'first', not {keep!r}")
-    seen = occurrences(docs, id_col, text_col, min_chars)
+    seen = materialise(occurrences(docs, id_col, text_col, min_chars), "lines")  # texts are split once
     place = F.struct(*DOC, "pos")
     per_doc = seen.groupBy("h1", "h2", *DOC).agg(F.min("pos").alias("pos"))
-    repeated = per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), *([F.min(place).alias("first")] if keep == "first" else [])).where(F.col("n_docs") >= min_docs)
-    dropped = seen.join(repeated.drop("n_docs"), ["h1", "h2"])
+    counted = per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), *([F.min(place).alias("first")] if keep == "first" else []))
+    repeated = counted.where(F.col("n_docs") >= min_docs).drop("n_docs")
+    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dropped = seen.withColumn("salt", F.pmod(DOC[1], F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"])
     if keep == "first":
         dropped = dropped.where(~place.eqNullSafe(F.col("first")))
     word = F.floor(F.col("pos") / 64).cast("int")
