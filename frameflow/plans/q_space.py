@@ -12,7 +12,7 @@ from frameflow.operators import pixels as P
 from frameflow.operators import stencil as S
 from frameflow.plans.fixtures import PX, SKY, UNIT, pixels, r6, s6, table, unit_pixels
 from frameflow.plans.q_pixels import CLOUD, STARS, clip
-from frameflow.plans.registry import query
+from frameflow.plans.registry import query, without
 
 #: The first frames of the table side by side, 20 tiles of 8 pixels a row, as one wide image.
 MOSAIC = f"{UNIT}, mo AS (SELECT 0 AS frame_id, 0 AS ch, CAST(frame_id // 20 * 8 + y AS INTEGER) AS y, CAST(frame_id % 20 * 8 + x AS INTEGER) AS x, v FROM un WHERE frame_id < 500)"
@@ -233,7 +233,16 @@ def star_shift(spark, sf):
     s AS (SELECT a.pair, a.vec_id AS a_id, b.vec_id AS b_id, list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) AS sim FROM d a JOIN d b ON a.pair = b.pair AND a.side = 0 AND b.side = 1),
     r AS (SELECT *, row_number() OVER (PARTITION BY pair, a_id ORDER BY sim DESC, b_id) AS ra, row_number() OVER (PARTITION BY pair, b_id ORDER BY sim DESC, a_id) AS rb FROM s) SELECT pair, a_id, b_id, (round(sim, 6) + 0.0) AS sim FROM r WHERE ra = 1 AND rb = 1""")
 def mutual_nn_descriptors(spark, sf):
-    d = table(spark, sf, "embeddings").where("vec_id < 400").selectExpr("label % 5 as pair", "vec_id as id", "embedding as d")
+    return mutual_descriptors(table(spark, sf, "embeddings").where("vec_id < 400"))
+
+
+@query("mutual_nn_descriptors_all", without("mutual_nn_descriptors", " WHERE vec_id < 400"))
+def mutual_nn_descriptors_all(spark, sf):
+    return mutual_descriptors(table(spark, sf, "embeddings"))
+
+
+def mutual_descriptors(vectors):
+    d = vectors.selectExpr("label % 5 as pair", "vec_id as id", "embedding as d")
     return M.mutual_nearest(d.where("id % 2 = 0"), d.where("id % 2 = 1"), ["pair"]).select("pair", "a_id", "b_id", r6("sim").alias("sim"))
 
 
