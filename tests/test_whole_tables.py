@@ -33,3 +33,13 @@ def test_mutual_nearest_in_blocks(spark):
         to_a = {y[1]: min((-cos(x[2], y[2]), x[1]) for x in a)[1] for y in b}
         want |= {(g, i, j) for i, j in to_b.items() if to_a[j] == i}
     assert got == want
+
+
+def test_every_part_is_measured(spark):
+    """At sf0.01 the parts go beyond the ids of the older queries."""
+    sf, q = "/root/testdata/sf0.01", catalog.queries()
+    parts = spark.read.parquet(f"{sf}/part.parquet")
+    n, last = parts.count(), parts.agg({"p_partkey": "max"}).first()[0]
+    assert q["aperture_flux_all"](spark, sf).select("star_id").distinct().count() == n
+    assert q["tile_grid_all"](spark, sf).select("frame_id").distinct().count() == n
+    assert q["idw_grid_all"](spark, sf).agg({"frame_id": "max"}).first()[0] == last // 20
