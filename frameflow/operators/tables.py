@@ -31,11 +31,12 @@ def match_score(a: str = "a", b: str = "b") -> Column:
 def best_match(lights: DataFrame, library: DataFrame) -> DataFrame:
     """Per light the library frame with the highest positive score, ties to the smallest ord; no row without one.
 
-    Lights with equal metadata have equal matches, so the theta join runs over distinct metadata: with thousands of
-    lights a setting, the pairs no longer grow with the lights."""
+    Lights with equal metadata have equal matches, and of library frames with equal metadata the smallest ord wins, so the
+    theta join runs over distinct metadata: the pairs grow with neither the lights nor the library frames a setting."""
     meta = ["exposure", "gain", "temperature", "width", "height"]
     kinds = lights.select(*meta).distinct()
-    pairs = kinds.alias("a").join(hinted(library.select("ord", "path", *meta)).alias("b"), match_score() > 0, "inner")
+    settings = library.groupBy(*meta).agg(F.min(F.struct("ord", "path")).alias("f")).select(F.col("f.ord").alias("ord"), F.col("f.path").alias("path"), *meta)
+    pairs = kinds.alias("a").join(hinted(settings).alias("b"), match_score() > 0, "inner")
     best = pairs.groupBy(*[F.col(f"a.{c}").alias(f"k_{c}") for c in meta]).agg(F.min_by(F.struct("b.ord", "b.path"), F.struct(-match_score(), F.col("b.ord"))).alias("m"), F.max(match_score()).alias("score"))
     same = [lights[c].eqNullSafe(best[f"k_{c}"]) for c in meta]
     on = same[0]

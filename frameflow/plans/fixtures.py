@@ -75,7 +75,15 @@ def lights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def library(spark: SparkSession, sf: str) -> DataFrame:
-    keys = table(spark, sf, "supplier").where("s_suppkey < 100").selectExpr("s_suppkey as k", "0 as part").unionAll(table(spark, sf, "part").where("p_partkey < 200").selectExpr("p_partkey", "1"))
+    return library_of(table(spark, sf, "supplier").where("s_suppkey < 100"), table(spark, sf, "part").where("p_partkey < 200"))
+
+
+def whole_library(spark: SparkSession, sf: str) -> DataFrame:
+    return library_of(table(spark, sf, "supplier"), table(spark, sf, "part"))
+
+
+def library_of(supplier: DataFrame, part: DataFrame) -> DataFrame:
+    keys = supplier.selectExpr("s_suppkey as k", "0 as part").unionAll(part.selectExpr("p_partkey", "1"))
     return keys.selectExpr(
         "k * 2 + part as ord", "cast(60 * (k % 6) as double) as exposure", "cast(100 * (k % 4) as bigint) as gain", "cast(-10 + k % 9 as double) as temperature",
         "case k % 3 when 0 then 'dark' when 1 then 'flat' else 'bias' end as frame_type", "concat('/lib/', k % 40, '.fits') as path", "case when k % 5 = 0 then 32 else 64 end as width", "48 as height",

@@ -43,3 +43,25 @@ def test_every_part_is_measured(spark):
     assert q["aperture_flux_all"](spark, sf).select("star_id").distinct().count() == n
     assert q["tile_grid_all"](spark, sf).select("frame_id").distinct().count() == n
     assert q["idw_grid_all"](spark, sf).agg({"frame_id": "max"}).first()[0] == last // 20
+
+
+def test_library_beyond_the_first_ids_is_matched(spark):
+    """At sf0.1 suppliers and parts go beyond the ids of the older queries; validation reads all of them."""
+    from frameflow.plans import fixtures
+
+    sf = "/root/testdata/sf0.1"
+    suppliers, parts = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("supplier", "part"))
+    whole = fixtures.whole_library(spark, sf)
+    assert whole.count() == suppliers + parts > fixtures.library(spark, sf).count()
+    got = {r["code"]: r["n"] for r in catalog.queries()["validate_project_all"](spark, sf).collect()}
+    want = {f"MISSING_{r['frame_type'].upper()}_FILES": r["count"] for r in whole.where("ord % 10 = 3").groupBy("frame_type").count().collect()}
+    assert {k: got[k] for k in want} == want
+
+
+def test_equal_library_settings_match_their_smallest_ord(spark):
+    meta = "exposure double, gain bigint, temperature double, width int, height int"
+    lights = spark.createDataFrame([(1, 60.0, 100, -10.0, 64, 48)], f"light_id int, {meta}")
+    lib = spark.createDataFrame([(k, f"/{k}", 60.0, 100, -10.0, 64, 48) for k in (9, 4, 7)], f"ord int, path string, {meta}")
+    from frameflow.operators import tables
+
+    assert [r["ord"] for r in tables.best_match(lights, lib).collect()] == [4]
