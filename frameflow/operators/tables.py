@@ -100,6 +100,31 @@ def frame_sort(entries: DataFrame, key: str, descending: bool = False) -> DataFr
     return entries.orderBy(c.desc() if descending else c.asc(), "idx")
 
 
+def frame_ranks(entries: DataFrame, key: str, descending: bool = False, ranges: int = 32, sample: int = 20_000) -> DataFrame:
+    """Every entry with its position ``pos`` (from 1) in the order of ``frame_sort``; idx is unique.
+
+    A sample of bounded size gives the ranges' bounds, which are pairs (key, idx), so that equal keys are spread too.
+    Rows are ranked within their range and moved on by the number of rows in the ranges before; no window holds all."""
+    keyed = entries.withColumn("__k", F.lower(basename(F.col("path"))) if key == "name" else F.coalesce(F.col(key), F.lit(-1.0)))
+    order = [F.col("__k").desc() if descending else F.col("__k").asc(), F.col("idx").asc()]
+    n = entries.count()
+    share = int(min(1.0, sample / max(1, n)) * (1 << 30))
+    some = keyed.where(F.pmod(F.xxhash64("idx"), F.lit(1 << 30)) < max(share, 1)).where("__k is not null").select("__k", "idx").limit(2 * sample).orderBy(*order).collect()
+    bounds = [some[len(some) * r // ranges] for r in range(1, ranges)] if some else []
+    after = lambda k, i: ((F.col("__k") < k) if descending else (F.col("__k") > k)) | ((F.col("__k") == k) & (F.col("idx") > i))
+    place = F.lit(0)
+    for b in bounds:
+        place = place + F.coalesce(after(F.lit(b["__k"]), F.lit(b["idx"])), F.lit(descending)).cast("int")  # nulls: first, or last if descending
+    placed = keyed.withColumn("__range", place)
+    sizes = {r["__range"]: r["count"] for r in placed.groupBy("__range").count().collect()}
+    starts, total = [], 0
+    for r in range(len(bounds) + 1):
+        starts.append(total)
+        total += sizes.get(r, 0)
+    start = F.element_at(F.array(*[F.lit(v).cast("bigint") for v in starts]), F.col("__range") + 1)
+    return placed.withColumn("pos", F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + start).drop("__k", "__range")
+
+
 def new_paths(found: DataFrame, existing: DataFrame) -> DataFrame:
     """Paths that aren't there yet, once each."""
     return found.join(existing.select("path"), "path", "left_anti").dropDuplicates(["path"])

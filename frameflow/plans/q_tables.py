@@ -294,6 +294,11 @@ def frame_sort(spark, sf):
     return top.select("idx", F.row_number().over(T.Window.orderBy(F.coalesce("quality", F.lit(-1.0)).desc(), "idx")).cast("bigint").alias("pos"))
 
 
+@query("frame_sort_all", without("frame_sort", " QUALIFY pos <= 100"))
+def frame_sort_all(spark, sf):
+    return T.frame_ranks(entries(spark, sf), "quality", descending=True).select("idx", "pos")
+
+
 @query("set_new_paths", f"WITH {ENTRIES} SELECT path FROM entries WHERE user_id % 2 = 0 EXCEPT SELECT path FROM entries WHERE idx % 6 = 0")
 def set_new_paths(spark, sf):
     e = entries(spark, sf)

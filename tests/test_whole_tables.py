@@ -65,3 +65,22 @@ def test_equal_library_settings_match_their_smallest_ord(spark):
     from frameflow.operators import tables
 
     assert [r["ord"] for r in tables.best_match(lights, lib).collect()] == [4]
+
+
+def test_every_entry_has_its_position(spark):
+    got = catalog.queries()["frame_sort_all"](spark, SF)
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert n > 100 and sorted(r["pos"] for r in got.collect()) == list(range(1, n + 1))
+
+
+def test_ranks_by_name_and_with_equal_keys(spark):
+    from frameflow.operators import tables
+
+    rows = [(k, None if k % 50 == 9 else f"/d/{'AbC'[k % 3]}.fits", None if k % 4 == 0 else float(k % 2)) for k in range(300)]
+    df = spark.createDataFrame(rows, "idx bigint, path string, quality double")
+    for key, down in (("quality", True), ("quality", False), ("name", True), ("name", False)):
+        want = [r["idx"] for r in tables.frame_sort(df, key, down).collect()]
+        for sample in (40, 20_000):
+            got = {r["pos"]: r["idx"] for r in tables.frame_ranks(df, key, down, ranges=7, sample=sample).collect()}
+            assert [got[k + 1] for k in range(300)] == want
+    assert tables.frame_ranks(df.limit(0), "quality").count() == 0
