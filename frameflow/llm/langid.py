@@ -5,10 +5,10 @@ sum over all its segmentations into pieces, by the forward algorithm; a text's i
 piece crosses a word's start. The piece probabilities are learnt by expectation-maximisation, whose expected counts come
 from the forward and backward sums. Words are scored in blocks of equal length for all languages at once, and remembered.
 
-The fit uses at most ``MAX_SAMPLE`` rows of a language, those with the smallest hashes of their ids, and at most
-``MAX_LANGUAGES`` languages, those with the most rows; scoring covers every row and whole texts. Defined results: a text
-that is null or has no letter is 'und' with score 0; repeated rows get equal results; equal scores go to the language
-that sorts first; with no labelled rows every text is 'und'; extra columns are ignored.
+The fit uses at most ``MAX_SAMPLE`` rows of a language, those with the smallest hashes of their ids, and learns every language present;
+scoring covers every row and whole texts. Defined results: a text that is null or has no letter is 'und' with score 0;
+repeated rows get equal results; equal scores go to the language that sorts first; with no labelled rows every text is
+'und'; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ from frameflow.llm.held_out import held_out, learnable
 
 START = "▁"
 UNDEFINED = "und"
-MAX_PIECE = 8
+MAX_PIECE = 16  # code points of the longest piece of the public vocabulary; the sums go by ``Pieces.longest``
 MAX_SAMPLE = 400
-MAX_LANGUAGES = 200
 ROUNDS = 4
 UNKNOWN = 1e-7  # of a character that no piece covers
 REMEMBERED = 200_000
@@ -44,7 +43,7 @@ def read_pieces(path: str) -> list[str]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = (model.id_to_piece(k).lower() for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)))
     letters = regex.compile(rf"{START}?\p{{L}}*")
-    return sorted({t for t in texts if t and len(t) <= MAX_PIECE and letters.fullmatch(t)})
+    return sorted({t for t in texts if t and letters.fullmatch(t)})
 
 
 def _points(texts: list[str]) -> np.ndarray:
@@ -59,8 +58,10 @@ class Pieces:
     texts: list[str]
     keys: np.ndarray = field(init=False)
     numbers: np.ndarray = field(init=False)
+    longest: int = field(init=False)
 
     def __post_init__(self):
+        self.longest = max(map(len, self.texts), default=1)
         hashes = np.zeros(len(self.texts), np.uint64)
         for n in {len(t) for t in self.texts}:
             at = np.array([k for k, t in enumerate(self.texts) if len(t) == n])
@@ -81,7 +82,7 @@ class Pieces:
         n, width = points.shape
         open_: dict[int, np.ndarray] = {}
         for j in range(1, width + 1):
-            open_ = {i: h for i, h in open_.items() if j - i <= MAX_PIECE} | {j - 1: np.zeros(n, np.uint64)}
+            open_ = {i: h for i, h in open_.items() if j - i <= self.longest} | {j - 1: np.zeros(n, np.uint64)}
             found = []
             for i in sorted(open_):
                 h = open_[i] = self.roll(open_[i], points[:, j - 1])
@@ -106,9 +107,9 @@ def forward(pieces: Pieces, table: np.ndarray, points: np.ndarray, keep: bool =
         alpha[j] = now
         if keep:
             ends.append((j, found))
-        elif j > MAX_PIECE:
-            del alpha[j - MAX_PIECE - 1]
-        if not keep and j % MAX_PIECE == 0:
+        elif j > pieces.longest:
+            del alpha[j - pieces.longest - 1]
+        if not keep and j % pieces.longest == 0:
             top = np.maximum(np.max([a.max(1) for a in alpha.values()], 0), 1e-300)
             alpha = {i: a / top[:, None] for i, a in alpha.items()}
             scale += np.log(top)
@@ -193,12 +194,12 @@ def fit(pieces: Pieces, counts: dict[str, Counter], rounds: int = ROUNDS) -> Mod
 def train(docs: DataFrame, vocabulary: str, folds: int = 5, label_col: str = "lang") -> Model:
     """A model of ``label_col``, learnt from a bounded sample of the rows outside the held-out fold."""
     rows = docs.where(learnable(F.col("doc_id"), folds) & F.col(label_col).isNotNull() & (F.col(label_col) != UNDEFINED)).select(F.col("doc_id").alias("__id"), F.col(label_col).cast("string").alias("__lang"))
-    common = F.broadcast(rows.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(MAX_LANGUAGES))
+    common = F.broadcast(rows.groupBy("__lang").count())  # a row a language
     # a share of each language's rows by their hash, some four times the sample, before they are ranked in one place
     share = (F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) / float(1 << 30)) * F.col("count") < 4 * MAX_SAMPLE
     nth = F.row_number().over(Window.partitionBy("__lang").orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)), "__id"))
     picked = rows.join(common, "__lang").where(share).withColumn("__nth", nth).where(F.col("__nth") <= MAX_SAMPLE).select("__id", "__lang")
-    # MAX_SAMPLE * MAX_LANGUAGES ids at most
+    # MAX_SAMPLE ids a language at most
     got = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("__lang", "text").toLocalIterator()
     counts: dict[str, Counter] = {}
     for r in got:
