@@ -4,7 +4,8 @@ Both public vocabularies used here split a text before they merge: no merge cros
 stands between other characters, nor the step from an ASCII letter to ASCII marks. So a text is cut at spaces, each
 distinct word is encoded once by the library (marks at a word's end apart), and a text's ids are its words' ids in order.
 Runs of white space, where the cut would matter, stay inside one piece. A vocabulary that lower-cases everything gets
-texts with A-Z lower-cased, which it would do itself, and so has fewer distinct words.
+texts with A-Z lower-cased, which it would do itself, and so has fewer distinct words. Texts that hold an added token's string, such as
+<|endoftext|>, go to the library whole, which gives that token's id.
 """
 
 from __future__ import annotations
@@ -48,7 +49,10 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None  # any case: it may be matched after normalising
+        start = os.path.commonprefix(added)
+        self.added_start = start if start.lower() == start.upper() else ""  # a quick look for it rules out nearly all texts
         self.drops_spaces = kind.get("normalizer") is not None  # the lower-casing vocabulary drops white space
         self.model = self.tokenizer.model
         self.limit, self.known = limit, {}
@@ -94,6 +98,16 @@ class WordEncoder:
         return ("" if first else _CHARACTERS[32]) + word.decode("latin-1").translate(_CHARACTERS)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        special = [k for k, t in enumerate(texts) if t and self.added and self.added_start in t and self.added.search(t)]
+        if special:
+            texts = list(texts)
+            whole = {k: array("I", self.tokenizer.encode(texts[k], add_special_tokens=False).ids).tobytes() for k in special}
+            for k in special:
+                texts[k] = None
+            return [whole.get(k, ids) for k, ids in enumerate(self._by_words(texts))]
+        return self._by_words(texts)
+
+    def _by_words(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.keys(t) if t else [] for t in texts]
         flat = list(chain.from_iterable(cut))
         ids = list(map(self.known.get, flat))
