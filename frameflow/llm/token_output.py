@@ -4,10 +4,12 @@ A segment splits its ids into levels of 8-bit chunks, lowest first. A continuati
 next level, and a rank directory (ones before each 512 bits) finds where. So id i is read in a step a level, without
 decoding a block. Documents stand in ascending id order: the writer range-partitions them by id, each task writes the
 segments of its range, and a table row carries a segment, its documents and its place in the range. Parquet is only the
-container: its commit protocol drops the output of lost tasks, and it goes to any store that Spark reaches.
+container: its commit protocol drops the output of lost tasks, and it goes to any store that Spark reaches. Segments stand
+in it plain and uncompressed, so ``segment_places`` finds their bytes in a file, and a token is read by seeking to them.
 
 Defined results: a null or empty text is its end id alone; null ids come first; repeated rows are documents of their
-own; an empty table writes no segments; extra columns are ignored. Memory: one segment, or one document if larger.
+own; an empty table writes no segments; extra columns are ignored. Memory: one segment, or one document if larger; a
+very long text is one document of one segment.
 """
 
 from __future__ import annotations
@@ -48,9 +50,10 @@ def dac_encode(ids: np.ndarray) -> bytes:
 
 
 class DacSegment:
-    """Random access to the ids of a segment: ``segment[i]`` and ``segment.slice(a, b)``; both touch only what they need."""
+    """Random access to the ids of a segment: ``segment[i]`` and ``segment.slice(a, b)``; both touch only what they need,
+    so ``data`` may be a view of a mapped file."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data):
         if data[:4] != MAGIC:
             raise ValueError("not a DAC segment")
         self.levels, at = [], 5
@@ -139,7 +142,26 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
             yield segment()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(work, SEGMENTS).write.option("compression", "zstd").parquet(path)
+    coded = rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(work, SEGMENTS)
+    coded.write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(path)
+
+
+def segment_places(data) -> list[tuple[int, int]]:
+    """(offset, length) of each segment in a part file, given as bytes or a mapped file: found once, then read by seeking.
+
+    A plain cell is its length (4 bytes, little-endian) and its bytes; the footer says where the column's chunks lie."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    out, groups = [], pq.ParquetFile(pa.BufferReader(pa.py_buffer(data))).metadata
+    for g in range(groups.num_row_groups):
+        chunk = next(c for c in map(groups.row_group(g).column, range(groups.num_columns)) if c.path_in_schema == "dac")
+        at, end = chunk.data_page_offset, chunk.data_page_offset + chunk.total_compressed_size
+        while (at := data.find(MAGIC, at, end)) >= 0:
+            n = int.from_bytes(data[at - 4 : at], "little")
+            out.append((at, n))
+            at += n
+    return out
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

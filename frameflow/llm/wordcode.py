@@ -1,11 +1,14 @@
 """Whole-text tokenisation with the tokenizers library, remembering the ids of words.
 
-Both public vocabularies used here split a text before they merge: no merge crosses the start of a space or newline that
-stands between other characters, nor the step from an ASCII letter to ASCII marks. So a text is cut at spaces, each
-distinct word is encoded once by the library (marks at a word's end apart), and a text's ids are its words' ids in order.
-Runs of white space, where the cut would matter, stay inside one piece. A vocabulary that lower-cases everything gets
-texts with A-Z lower-cased, which it would do itself, and so has fewer distinct words. Texts that hold an added token's string, such as
-<|endoftext|>, go to the library whole, which gives that token's id.
+Both public vocabularies used here split a text before they merge. One keeps white space, and a split always falls where
+white space follows something else; the other drops white space, and a split falls at every space. So a text is cut there,
+each distinct part is encoded once by the library, and a text's ids are its parts' ids in order. Marks at a word's end
+are split from ASCII letters too, and are encoded apart. A vocabulary that lower-cases everything gets texts with A-Z
+lower-cased, which it would do itself, and so has fewer distinct words.
+
+Texts go to the library whole where a cut could matter: with an added token's string (such as <|endoftext|>, which gives
+that token's id), with U+0000 (the mark used here), or with combining marks if case is dropped (they may compose with a
+capital only, or with a small letter only).
 """
 
 from __future__ import annotations
@@ -14,14 +17,12 @@ import json
 import os
 import re
 from array import array
-from itertools import chain
-
-_W = r"\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
-_RUNS = re.compile(rf"[{_W}]{{3}}|[{_W}]{{2}}\Z|\x00")
-_SAFE = re.compile(rf"(?<=[^{_W}])(?=[ \n][^{_W}])")
-_TAIL = re.compile(rb"(.*[A-Za-z])([.,;:!?#$%&*|]+)", re.S)
-_MARKS = frozenset(b".,;:!?#$%&*|")
-_OTHER = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\0"  # white space of ASCII besides space and newline, and the mark below
+
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # what \s matches in the library
+_PARTS = re.compile(rf"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+_PLAIN_PART = re.compile(rf"[ \n][^{_WHITE}]+")
+_MARKS = b".,;:!?#$%&*|"
+_LETTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _FIRST = b"\0"
 _LATIN = 0x250  # letters below stay themselves under normalisation; only U+0130 has a longer lower case
 
@@ -36,47 +37,79 @@ def _byte_characters() -> dict[int, str]:
 _CHARACTERS = _byte_characters()
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers (bytes).
 
-    A remembered key is the word after a space, or a newline with its word. What follows nothing (a text's first word, a
-    word's marks) and the pieces of texts with runs of white space are kept whole, after a mark."""
+    The dictionary holds the ids of the parts seen so far. A key is a word that follows a space; a newline with its word;
+    or, after a mark, any other part as it stands: a text's first word, a word's marks, a word after more white space."""
 
     def __init__(self, path: str, limit: int = 1_000_000):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tokenizers
 
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None  # any case: it may be matched after normalising
-        start = os.path.commonprefix(added)
-        self.added_start = start if start.lower() == start.upper() else ""  # a quick look for it rules out nearly all texts
+        self.added_start = re.match(r"[^\w]*", os.path.commonprefix(added))[0]  # a quick look for it rules out nearly all texts
         self.drops_spaces = kind.get("normalizer") is not None  # the lower-casing vocabulary drops white space
-        self.model = self.tokenizer.model
-        self.limit, self.known = limit, {}
+        self.limit = limit
 
-    def keys(self, text: str) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self) > self.limit:
+            self.clear()
+        return [self._text(t) if t else b"" for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        data = text.encode("utf-8", "surrogatepass")
+        if _FIRST in data or self.added and self.added_start in text and self.added.search(text):
+            return self._whole(text)
         if self.drops_spaces:
-            return text.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ").split(b" ")
-        if not self._plain(text) and _RUNS.search(text):
-            return [_FIRST + c.encode("utf-8", "surrogatepass") for c in _SAFE.split(text)]
-        out = text.encode("utf-8", "surrogatepass").replace(b"\n", b" \n").split(b" ")
-        out[0] = _FIRST + out[0]
-        return out
+            if b"\xcc" in data or b"\xcd" in data:  # the first bytes of U+0300 to U+037F in UTF-8
+                return self._whole(text)
+            return b"".join(map(self.__getitem__, data.lower().replace(b"\n", b" ").split(b" ")))
+        if not self._plain(text, data):
+            return b"".join(map(self.__getitem__, self._parts(text)))
+        keys = data.replace(b"\n", b" \n").split(b" ")
+        keys[0] = _FIRST + keys[0]
+        return b"".join(map(self.__getitem__, keys))
 
     @staticmethod
-    def _plain(text: str) -> bool:
-        """Whether all white space is single spaces and newlines between words; True only if it is."""
-        if not text.isascii():
-            return len(text.split()) == text.count(" ") + text.count("\n") + 1 and "\0" not in text
-        return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text) and len(text.encode().translate(None, _OTHER)) == len(text)
+    def _plain(text: str, data: bytes) -> bool:
+        """Whether all white space is single spaces and newlines between words."""
+        if len(data) == len(text):
+            gaps = b"  " in data or b" \n" in data or b"\n " in data or b"\n\n" in data
+            return not gaps and len(data.translate(None, b"\t\x0b\x0c\r")) == len(data) and data[-1] not in b" \n" and data[0] not in b" \n"
+        return " ".join(text.split()) == text.replace("\n", " ")
 
-    def piece(self, key: bytes) -> str:
+    @staticmethod
+    def _parts(text: str) -> list[bytes]:
+        parts = []
+        for p in _PARTS.findall(text):
+            b = p.encode("utf-8", "surrogatepass")
+            parts.append(_FIRST + b if not _PLAIN_PART.fullmatch(p) else b if p[0] == "\n" else b[1:])
+        return parts
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, key: bytes) -> bytes:
+        head = key.rstrip(_MARKS)
+        if len(head) < len(key) and head and head[-1] in _LETTERS:
+            ids = self[head] + self[_FIRST + key[len(head) :]]
+        else:
+            word = self._word(key)
+            ids = self._whole(self._literal(key)) if word is None else array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        self[key] = ids
+        return ids
+
+    def _literal(self, key: bytes) -> str:
         """The text that a key stands for."""
         text = key.decode("utf-8", "surrogatepass")
-        if text[:1] == "\0" and (not self.drops_spaces or len(key) > 1 and _TAIL.fullmatch(b"a" + key[1:])):
+        if text[:1] == "\0":
             return text[1:]
         return text if self.drops_spaces or text[:1] == "\n" else " " + text
 
@@ -84,62 +117,15 @@ class WordEncoder:
         """What the library's model gets for a word of Latin letters, which nothing before it would split; else None."""
         first = key[:1] == _FIRST
         word = key[1:] if first else key
+        space = "" if first or self.drops_spaces else _CHARACTERS[32]
         if word.isalpha():  # ASCII letters, which byte-level vocabularies write as they are
-            if self.drops_spaces:
-                return None if first else word.decode("ascii")
-            return word.decode("ascii") if first else _CHARACTERS[32] + word.decode("ascii")
+            return None if first and self.drops_spaces else space + word.decode("ascii")
         text = word.decode("utf-8", "surrogatepass")
-        if not text.isalpha() or max(text) >= chr(_LATIN) or "\u0130" in text:
+        if not text.isalpha() or max(text) >= chr(_LATIN) or "\u0130" in text or first and self.drops_spaces:
             return None
         if self.drops_spaces:
             word = text.lower().encode()
-        if self.drops_spaces:
-            return None if first else word.decode("latin-1").translate(_CHARACTERS)
-        return ("" if first else _CHARACTERS[32]) + word.decode("latin-1").translate(_CHARACTERS)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        special = [k for k, t in enumerate(texts) if t and self.added and self.added_start in t and self.added.search(t)]
-        if special:
-            texts = list(texts)
-            whole = {k: array("I", self.tokenizer.encode(texts[k], add_special_tokens=False).ids).tobytes() for k in special}
-            for k in special:
-                texts[k] = None
-            return [whole.get(k, ids) for k, ids in enumerate(self._by_words(texts))]
-        return self._by_words(texts)
-
-    def _by_words(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.keys(t) if t else [] for t in texts]
-        flat = list(chain.from_iterable(cut))
-        ids = list(map(self.known.get, flat))
-        if None in ids:
-            if len(self.known) > self.limit:
-                self.known = {}
-                ids = [None] * len(flat)
-            holes = [i for i, v in enumerate(ids) if v is None]
-            self._learn({flat[i] for i in holes})
-            for i in holes:
-                ids[i] = self.known[flat[i]]
-        out, at = [], 0
-        for c in cut:
-            out.append(b"".join(ids[at : at + len(c)]))
-            at += len(c)
-        return out
-
-    def _learn(self, new: set[bytes]) -> None:
-        tailed = {k: (m[1], _FIRST + m[2]) for k in new if k and k[-1] in _MARKS and (m := _TAIL.fullmatch(k))}
-        whole = [k for k in (new - tailed.keys()).union(*tailed.values()) if k not in self.known]
-        rest = []
-        for k in whole:
-            word = self._word(k)
-            if word is None:
-                rest.append(k)
-            else:
-                self.known[k] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        for i in range(0, len(rest), 10_000):
-            part = rest[i : i + 10_000]
-            coded = self.tokenizer.encode_batch_fast([self.piece(k) for k in part], add_special_tokens=False)
-            self.known.update(zip(part, [array("I", e.ids).tobytes() for e in coded]))
-        self.known.update({k: self.known[head] + self.known[tail] for k, (head, tail) in tailed.items()})
+        return space + word.decode("latin-1").translate(_CHARACTERS)
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -1,22 +1,55 @@
+import mmap
+import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from frameflow.llm import queries
 from frameflow.llm.packing import HarmonicBins, pack, padding
-from frameflow.llm.token_output import DacSegment, dac_encode, token_round_trip
+from frameflow.llm.token_output import DacSegment, dac_encode, read_tokens, segment_places, token_round_trip, write_tokens
 from frameflow.llm.wordcode import WordEncoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ENCODERS = {p: WordEncoder(p, limit=300) for p in (BYTE, WORD)}
+FRESH = {p: tokenizers.Tokenizer.from_file(p) for p in (BYTE, WORD)}
+HARD = [chr(c) for c in (0, 0x1C, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, 0x2003, 0x200B, 0x2028, 0x3000, 0xFEFF, 0x130, 0x3A3, 0x3C2, 0x301, 0x338, 0xDF, 0xE9, 0x212A, 0x4E2D, 0x1F44D)]
+HARD += [" ", "  ", "\n", "\r", "\t", "\x0b", "\x0c", "a", "B", "'s", "'LL", "!", "...", "|", "12", "_", "H" + chr(0x331), "I" + chr(0x307), "W" + chr(0x30A), "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"]
 
 
 def plain(path, text):
-    return ENCODERS[path].tokenizer.encode(text or "", add_special_tokens=False).ids
+    return FRESH[path].encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_hard_texts_encode_as_the_library_does(path):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(HARD) for _ in range(rng.randrange(1, 9))) for _ in range(20_000)]
+    texts += ["a" + c + " " + c + "b" + c + c + c + "d " + c for c in map(chr, range(0x3100))]
+    got = ENCODERS[path].encode(texts)
+    wrong = [t for t, g, e in zip(texts, got, FRESH[path].encode_batch(texts, add_special_tokens=False)) if np.frombuffer(g, "<u4").tolist() != e.ids]
+    assert not wrong
+
+
+def test_a_token_is_read_by_seeking(spark, sf, tmp_path):
+    write_tokens(spark.read.parquet(f"{sf}/documents.parquet"), str(tmp_path / "t"), BYTE, segment_tokens=3000)
+    want = {r["start"]: np.frombuffer(r["ids"], "<u4").tolist() for r in read_tokens(spark, str(tmp_path / "t")).collect()}
+    ids, seen = [i for k in sorted(want) for i in want[k]], 0
+    for part in sorted(Path(tmp_path / "t").glob("part-*")):
+        with open(part, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            for at, n in segment_places(data):
+                with memoryview(data) as view, view[at : at + n] as cell:
+                    segment = DacSegment(cell)
+                    for i in (0, len(segment) // 2, len(segment) - 1):
+                        assert segment[i] == ids[seen + i]
+                    seen += len(segment)
+                    del segment
+    assert seen == len(ids)
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
