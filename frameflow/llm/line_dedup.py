@@ -1,25 +1,31 @@
 """Line deduplication with DataFrame functions only.
 
-Occurrences of lines travel as 128-bit hashes. They are range-partitioned by (hash, document), so a line that stands in
-a third of all documents is spread over as many ranges as it needs, and sorted by document and position within; the
-table of them is written once. Each range streams its documents per hash, and a hash's counts from several ranges meet
-as partial sums. Occurrences meet the repeated hashes in salted parts. What comes back to a document is a sparse bitmap
-of lines, never text.
+1. Texts are split once: occurrences of lines travel as 128-bit hashes with their document and place, in a table that is
+   written once.
+2. Hashes are uniform, so fixed ranges of them are even; only a line with more than a share of all occurrences needs more
+   room. A sample of the table finds such lines (a few for each partition at most) and their documents subdivide the
+   range. So a line that stands in a third of all documents has as many parts as its count asks for.
+3. Each range is sorted by hash, document and position, and streamed: the first occurrence in each document, and the
+   number of documents, come from windows over the sorted rows. Only the lines that were subdivided meet again, as one
+   partial sum a part.
+4. What comes back to a document is a sparse bitmap of lines, never text.
 
 Defined results: a null or empty text is one empty line; a key shorter than ``min_chars`` is always kept; rows that are
 equal in doc_id and text are one document, and each of them gets the same bitmap; rows with one doc_id and different
-texts are different documents; a null doc_id is a doc_id like any other; further columns pass through.
+texts are different documents; a null doc_id is a doc_id like any other; a very long text is one document of as many
+lines as it has; an empty table gives an empty result; further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameflow.llm.common import BLANKS, let, lower_ascii, materialise
 
 DOC = ("__doc", "__text_hash")
-SALTS = 16  # parts of a hash's occurrences where they meet the repeated hashes
+SAMPLE = 256  # sampled occurrences for each partition
+MADE = ("kept_text", "n_lines", "n_dropped")
 
 
 def lines_of(text: Column) -> Column:
@@ -30,21 +36,30 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(BLANKS)))
 
 
-def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({DOC[0]: F.col(id_col), DOC[1]: F.xxhash64(F.col(text_col))})
-
-
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
-    """A row (h1, h2, document, pos) for each line with a key of at least ``min_chars`` code points, range-partitioned
-    by hash and document and sorted by position within."""
+    """A row (h1, h2, document, pos) for each line with a key of at least ``min_chars`` code points."""
     keys = F.transform(lines_of(F.col(text_col)), line_key)
-    lines = (
-        _identified(docs, id_col, text_col)
-        .select(*DOC, F.posexplode(keys).alias("pos", "key"))
+    return (
+        docs.select(F.col(id_col).alias(DOC[0]), F.xxhash64(F.col(text_col)).alias(DOC[1]), F.posexplode(keys).alias("pos", "key"))
         .where(F.char_length("key") >= min_chars)
         .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"), *DOC, "pos")
-    )
-    return lines.repartitionByRange("h1", "h2", *DOC).sortWithinPartitions("h1", "h2", *DOC, "pos")
+    )
+
+
+def ranged(seen: DataFrame) -> DataFrame:
+    """``seen`` by ranges of its hashes (range, sub), sorted by hash, document and position. ``sub`` is 0, or from 1 on
+    for the documents that subdivide a line's range."""
+    spark = seen.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = (16 * partitions - 1).bit_length()
+    share = min(1.0, SAMPLE * partitions / max(1, seen.count()))
+    sampled = seen.where(F.pmod(F.xxhash64(*DOC, "pos"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # a line with SAMPLE / 4 rows there has a quarter of a partition's share; so there are about 4 * partitions at most
+    often = sampled.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLE // 4)
+    parts = spark.createDataFrame([(r["h1"], r["h2"], -(-r["n"] // (SAMPLE // 4))) for r in often.collect()], "h1 bigint, h2 bigint, parts bigint")
+    sub = F.coalesce(1 + F.pmod(F.xxhash64(*DOC), F.col("parts")), F.lit(0))
+    placed = seen.join(F.broadcast(parts), ["h1", "h2"], "left").select(F.shiftright("h1", 64 - bits).alias("range"), sub.alias("sub"), "h1", "h2", *DOC, "pos")
+    return placed.repartition("range", "sub").sortWithinPartitions("range", "sub", "h1", "h2", *DOC, "pos")
 
 
 def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, min_docs: int = 10, keep: str = "none") -> DataFrame:
@@ -55,15 +70,19 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if keep not in ("none", "first"):
         raise ValueError(f"keep must be 'none' or 'first', not {keep!r}")
-    seen = materialise(occurrences(docs, id_col, text_col, min_chars), "lines")  # texts are split once
+    seen = materialise(occurrences(docs, id_col, text_col, min_chars), "lines")
+    line = Window.partitionBy("range", "sub", "h1", "h2")
+    in_doc = F.row_number().over(Window.partitionBy("range", "sub", "h1", "h2", *DOC).orderBy("pos"))
     place = F.struct(*DOC, "pos")
-    per_doc = seen.groupBy("h1", "h2", *DOC).agg(F.min("pos").alias("pos"))
-    counted = per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), *([F.min(place).alias("first")] if keep == "first" else []))
-    repeated = counted.where(F.col("n_docs") >= min_docs).drop("n_docs")
-    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dropped = seen.withColumn("salt", F.pmod(DOC[1], F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"])
+    streamed = ranged(seen).withColumn("opens", (in_doc == 1).cast("int"))
+    streamed = streamed.withColumns({"n": F.sum("opens").over(line)} | ({"first": F.min(place).over(line)} if keep == "first" else {}))
+    repeated = materialise(streamed.where((F.col("sub") > 0) | (F.col("n") >= min_docs)), "repeated")
+    whole = {"n_all": F.sum("opens")} | ({"first_all": F.min("first")} if keep == "first" else {})
+    # the subdivided lines only: about 4 * partitions rows at most
+    sums = repeated.where("sub > 0").groupBy("h1", "h2").agg(*[v.alias(k) for k, v in whole.items()])
+    dropped = repeated.join(F.broadcast(sums), ["h1", "h2"], "left").where(F.coalesce("n_all", "n") >= min_docs)
     if keep == "first":
-        dropped = dropped.where(~place.eqNullSafe(F.col("first")))
+        dropped = dropped.where(~place.eqNullSafe(F.coalesce("first_all", "first")))
     word = F.floor(F.col("pos") / 64).cast("int")
     bit = F.expr("shiftleft(1L, pos % 64)")
     return (
@@ -84,13 +103,14 @@ def _kept(lines: Column, bits: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, min_docs: int = 10, keep: str = "none") -> DataFrame:
     """``docs`` with ``kept_text`` (the lines that stay, joined by newline), ``n_lines`` and ``n_dropped``."""
-    bitmaps = drop_bitmaps(docs, id_col, text_col, min_chars, min_docs, keep).withColumnsRenamed({DOC[0]: "__d", DOC[1]: "__h"})
-    rows = _identified(docs, id_col, text_col)
-    joined = rows.join(bitmaps, rows[DOC[0]].eqNullSafe(bitmaps["__d"]) & (rows[DOC[1]] == bitmaps["__h"]), "left")
-    lines = lines_of(F.col(text_col))
+    bitmaps = drop_bitmaps(docs, id_col, text_col, min_chars, min_docs, keep).withColumnsRenamed({DOC[0]: "d", DOC[1]: "h"})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in MADE])  # one column, so that no name meets another
+    rows = docs.select(row.alias("row"), F.col(id_col).alias(DOC[0]), F.xxhash64(F.col(text_col)).alias(DOC[1]), F.col(text_col).alias("text"))
+    joined = rows.join(bitmaps, rows[DOC[0]].eqNullSafe(bitmaps["d"]) & (rows[DOC[1]] == bitmaps["h"]), "left")
+    lines = lines_of(F.col("text"))
     kept = F.when(F.col("bits").isNull(), lines).otherwise(_kept(lines, F.col("bits")))
     made = let(
         F.struct(lines.alias("lines"), kept.alias("kept")),
         lambda s: F.struct(F.size(s["lines"]).cast("bigint").alias("n_lines"), (F.size(s["lines"]) - F.size(s["kept"])).cast("bigint").alias("n_dropped"), F.array_join(s["kept"], "\n").alias("kept_text")),
     )
-    return joined.withColumn("__made", made).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")], "__made.*")
+    return joined.select("row", made.alias("made")).select("row.*", "made.*")

@@ -15,14 +15,12 @@ very long text is one document of one segment.
 from __future__ import annotations
 
 import struct
-import uuid
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameflow.llm.common import shared_dir
+from frameflow.llm.common import new_path
 from frameflow.llm.wordcode import encoder
 
 MAGIC = b"DAC1"
@@ -193,6 +191,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write ``docs`` to the shared folder and read the documents back."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/frameflow/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     write_tokens(docs, path, tokenizer, end_id)
     return read_tokens(spark, path)

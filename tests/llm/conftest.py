@@ -11,7 +11,7 @@ def edge_docs(spark):
     rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, " \n\t ", None, None, 3), (4, long, "en", "a", len(long)), (5, same, "en", "b", 9), (5, same, "en", "b", 9), (6, same + " nu", "de", "b", 9), (None, same, "en", "b", 9), (7, "x", "en", "b", 1), (8, "É é ß 中 \x00 👍", "fr", None, 9)]
     rows += [(k, f"Line {k}\nfooter line\nanother {k % 3}", "en", "c", 9) for k in range(20, 40)]
     df = spark.createDataFrame(rows, DOCS)
-    return df.selectExpr("*", "1 as key", "'x' as shard", "2 as size", "'y' as window", "3 as pos", "4 as h1", "5L as fp", "6 as score")
+    return df.selectExpr("*", "1 as key", "'x' as shard", "2 as size", "'y' as window", "3 as pos", "4 as h1", "5L as fp", "6 as score", "7 as bits", "8 as hits", "9 as kept_text", "10 as row", "11 as text_", "12 as scan", "13 as component", "14 as __row", "15 as made", "16 as number")
 
 
 @pytest.fixture(scope="session")

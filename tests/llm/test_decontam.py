@@ -53,7 +53,23 @@ def test_edge_cases_in_a_row_and_by_join(spark, bound):
     kept = decontam.decontaminate(docs, items, max_windows=bound)
     assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted(d or 0 for d, *_, c in plain(TEXTS, ITEMS) if not c)
     spans = {r["doc_id"]: r["text"] for r in decontam.decontaminate(docs, items, "spans", max_windows=bound).collect()}
-    assert spans[4] == "" and spans[6] == "w0 w1 w2" and spans[1].split()[0] == "delta" and spans[2] is None
+    assert spans[4] == " " and spans[6] == "w0 w1 w2" and spans[1].split()[0] == "delta" and spans[2] is None
+
+
+def test_spans_leave_all_other_characters(spark):
+    items = spark.createDataFrame(ITEMS[:1], "item_id int, text string")
+    texts = ["Hello, World!\n Alpha,beta GAMMA. Marks: A-b\n", "-- alpha beta gamma", "alpha beta gamma alpha  BETA gamma!", "alpha beta"]
+    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id bigint, text string, hits int")
+    got = decontam.decontaminate(docs, items, "spans").orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == ["Hello, World!\n . Marks: A-b\n", "-- ", " !", "alpha beta"]
+    assert [r["hits"] for r in got] == [0, 1, 2, 3]
+
+
+def test_a_long_text(spark):
+    items = spark.createDataFrame(ITEMS[5:6], "item_id int, text string")
+    text = " ".join(["filler"] * 60_000 + [f"w{k}" for k in range(20)])
+    r = decontam.contamination(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), items).first()
+    assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == (60_020, 20, ["5"], False)
 
 
 def test_empty_tables(spark, no_docs):

@@ -1,8 +1,10 @@
 import hashlib
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from frameflow.llm import queries
+from frameflow.llm import line_dedup, queries
 from frameflow.llm.line_dedup import dedup_lines, drop_bitmaps
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -33,7 +35,7 @@ def test_edge_cases(spark, edge_docs, no_docs, least):
     want = sorted((d or 0, "\n".join(k)) for (d, t) in rows for k in [plain(rows, *least)[d, t]])
     got = dedup_lines(edge_docs, min_chars=least[0], min_docs=least[1])
     assert sorted((r["doc_id"] or 0, r["kept_text"]) for r in got.collect()) == want
-    assert set(edge_docs.columns) < set(got.columns)
+    assert set(edge_docs.columns) < set(got.columns) | {"kept_text"} and {r["bits"] for r in got.select("bits").collect()} == {7}
     assert dedup_lines(no_docs).count() == 0
 
 
@@ -51,3 +53,21 @@ def test_long_documents_and_sparse_bitmaps(spark):
     assert got == {1: (5000, 2), 2: (2, 1)}
     bits = {r["__doc"]: [(b["word"], b["mask"]) for b in r["bits"]] for r in drop_bitmaps(docs, min_docs=2).collect()}
     assert bits[1] == [(2, 1 << 2), (78, 1 << 7)] and bits[2] == [(0, 1)]
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_lines_that_subdivide_their_range(spark, monkeypatch, keep):
+    monkeypatch.setattr(line_dedup, "SAMPLE", 8)
+    texts = [f"own {k}\ncommon" + ("\nhalf" if k % 2 else "") + ("\npair" if k in (5, 77) else "") for k in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    parts = line_dedup.ranged(line_dedup.occurrences(docs))
+    assert parts.where("sub > 0").select("sub").distinct().count() > 1
+    got = {r["doc_id"]: r["kept_text"].split("\n") for r in dedup_lines(docs, min_docs=2, keep=keep).collect()}
+    first = {"common": 0, "half": 1, "pair": 5} if keep == "first" else {}
+    assert got == {k: [line for line in t.split("\n") if line.startswith("own") or first.get(line) == k] for k, t in enumerate(texts)}
+
+
+def test_texts_are_split_once_and_no_range_is_shuffled_again(spark, sf):
+    seen = line_dedup.occurrences(spark.read.parquet(f"{sf}/documents.parquet"))
+    plan = line_dedup.ranged(seen).withColumn("n", F.sum(F.lit(1)).over(Window.partitionBy("range", "sub", "h1", "h2")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
