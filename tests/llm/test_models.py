@@ -110,16 +110,49 @@ def test_lm_base_against_brute_force(spark, sf):
         assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def naive(model, context, target):
+    """The target's log-probability, one product at a time."""
+    q = sum(np.asarray(t[c], float) for t, c in zip(model.places, context))
+    of = lambda v, b: np.array([float(q @ x) + float(y) for x, y in zip(np.asarray(v, float), b)])
+    bounds = [*model.starts.tolist(), len(model.bias)]
+    place = int(model.order[target])
+    cls = next(c for c in range(len(model.starts)) if bounds[c] <= place < bounds[c + 1])
+    log = lambda s, k: s[k] - math.log(np.exp(s).sum())
+    return log(of(model.class_vectors, model.class_bias), cls) + log(of(model.vectors[bounds[cls] : bounds[cls + 1]], model.bias[bounds[cls] : bounds[cls + 1]]), place - bounds[cls])
+
+
 def test_lm_is_normalised_and_learns():
     rng = np.random.default_rng(1)
-    follows = np.zeros((6, 6))
-    for i in range(6):
-        follows[i, (i * 2) % 6] = 400
-        follows[i] += rng.integers(0, 20, 6)
-    base = follows.sum(0) / follows.sum()
-    table = lm.train(follows, base)
-    assert np.allclose(np.exp(table).sum(1), 1)
-    assert (follows * table).sum() > (follows * np.log(base)).sum() * 0.8
+    target = rng.integers(0, 40, 30_000)
+    windows = np.stack([(target * 7 + 3) % 40, rng.integers(0, 40, 30_000), (target + rng.integers(0, 2, 30_000)) % 40, target], 1)
+    base = np.bincount(target, minlength=40) / len(target)
+    model = lm.train(windows, base, classes=8)
+    contexts = np.repeat(windows[:50, :3], 40, 0)
+    log = model.log_probabilities(contexts, np.tile(np.arange(40), 50)).reshape(50, 40)
+    assert np.allclose(np.exp(log).sum(1), 1, atol=1e-5) and len(model.starts) == 8
+    assert all(math.isclose(log[k, t], naive(model, windows[k, :3], t), abs_tol=1e-4) for k in range(3) for t in range(40))
+    assert model.log_probabilities(windows[:, :3], target).mean() > np.log(base)[target].mean() + 1
+
+
+def test_lm_score_against_brute_force(spark, monkeypatch, no_docs):
+    """Scores of documents in one row and in slices, from the model's own tables a token at a time."""
+    rng, kept = np.random.default_rng(4), {}
+    texts = [" ".join(rng.choice([f"W{k}" for k in range(60)], rng.integers(0, 40))) + (" rare%d" % k) * (k % 3) for k in range(90)]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id bigint, text string, row int")
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a, **k: kept.setdefault("model", train(*a, **k)))
+    rows = lm.score(docs, targets=20, classes=4, local=40).collect()
+    tokens = [t.lower().split() for t in texts]
+    count = Counter(w for k, ws in enumerate(tokens) if not out_of_training(k, 10) for w in ws)
+    own = {w: k for k, (w, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:20])}
+    kinds = len(count) - len(own)
+    other = sum(c for w, c in count.items() if w not in own) + 0.1 * (kinds + 1)
+    for r in rows:
+        chain, want = [21, 21, 21, *[own.get(w, 20) for w in tokens[r["doc_id"]]], 21], 0.0
+        for k in range(3, len(chain)):
+            want += naive(kept["model"], chain[k - 3 : k][::-1], chain[k])
+        want = want / math.log(10) + sum(math.log10((count[w] + 0.1) / other) for w in tokens[r["doc_id"]] if w not in own)
+        assert math.isclose(r["score"], want, rel_tol=1e-5)
 
 
 def test_lm_edge_cases(spark, edge_docs, no_docs):
