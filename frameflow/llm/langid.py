@@ -6,7 +6,8 @@ piece crosses a word's start. The piece probabilities are learnt by expectation-
 from the forward and backward sums. Words are scored in blocks of equal length for all languages at once, and remembered.
 
 The fit uses at most ``MAX_SAMPLE`` rows of a language, those with the smallest hashes of their ids, and learns every language present;
-scoring covers every row and whole texts. Defined results: a text that is null or has no letter is 'und' with score 0;
+scoring covers every row and whole texts, very long ones and words of any length too; an empty table gives an empty
+result. Defined results: a text that is null or has no letter is 'und' with score 0;
 repeated rows get equal results; equal scores go to the language that sorts first; with no labelled rows every text is
 'und'; extra columns are ignored.
 """
@@ -30,6 +31,7 @@ MAX_PIECE = 16  # code points of the longest piece of the public vocabulary; the
 MAX_SAMPLE = 400
 ROUNDS = 4
 UNKNOWN = 1e-7  # of a character that no piece covers
+SHORT = 40  # code points of a word whose sums of products don't underflow
 REMEMBERED = 200_000
 ROWS = 256
 _WORD = regex.compile(r"\p{L}+")
@@ -117,6 +119,37 @@ def forward(pieces: Pieces, table: np.ndarray, points: np.ndarray, keep: bool =
     return (total, alpha, ends) if keep else total
 
 
+def _flows(pieces: Pieces, table: np.ndarray, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(piece numbers, shares of all segmentations that have that piece in that place), per word and language."""
+    total, alpha, ends = forward(pieces, table, points, keep=True)
+    beta = {j: np.zeros_like(total) for j in range(points.shape[1])} | {points.shape[1]: np.ones_like(total)}
+    whole = np.exp(total)
+    for j, found in reversed(ends):
+        for i, number in found:
+            step = table[number] * beta[j]
+            beta[i] += step
+            yield number, alpha[i] * step / whole
+
+
+def _log_flows(pieces: Pieces, table: np.ndarray, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for words so long that products would underflow: sums of logarithms."""
+    with np.errstate(divide="ignore"):
+        logs = np.log(table)
+    n, width, none = len(points), points.shape[1], np.full((len(points), table.shape[1]), -np.inf)
+    alpha, ends = {0: np.zeros_like(none)}, []
+    for j, found in pieces.ends(points):
+        alpha[j] = none
+        for i, number in found:
+            alpha[j] = np.logaddexp(alpha[j], alpha[i] + logs[number])
+        ends.append((j, found))
+    beta = {j: none for j in range(width)} | {width: np.zeros_like(none)}
+    for j, found in reversed(ends):
+        for i, number in found:
+            step = logs[number] + beta[j]
+            beta[i] = np.logaddexp(beta[i], step)
+            yield number, np.exp(alpha[i] + step - alpha[width])
+
+
 def blocks(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions, code points) of the words of each length, in blocks of bounded size."""
     by: dict[int, list[int]] = {}
@@ -171,21 +204,14 @@ def fit(pieces: Pieces, counts: dict[str, Counter], rounds: int = ROUNDS) -> Mod
     n = len(pieces.texts)
     table = np.zeros((n + 2, len(languages)))  # the unknown character, the pieces, and a row of zeros for no piece
     table[0], table[1 : n + 1] = UNKNOWN, 1 / max(1, n)
-    short = [k for k, w in enumerate(words) if len(w) <= 40]  # longer ones would underflow here; they teach nothing
-    marked = [START + words[k] for k in short]
+    marked = [START + w for w in words]
     for _ in range(rounds):
         expected = np.zeros((n + 2, len(languages)))
         for at, points in blocks(marked):
-            total, alpha, ends = forward(pieces, table, points, keep=True)
-            beta = {j: np.zeros_like(total) for j in range(points.shape[1])} | {points.shape[1]: np.ones_like(total)}
-            share = weight[np.array(short)[at]] / np.exp(total)
-            for j, found in reversed(ends):
-                for i, number in found:
-                    step = table[number] * beta[j]
-                    beta[i] += step
-                    flow = alpha[i] * step * share
-                    for k in range(len(languages)):
-                        expected[:, k] += np.bincount(number % (n + 2), flow[:, k], n + 2)
+            flows = _flows if points.shape[1] <= SHORT else _log_flows
+            for number, flow in flows(pieces, table, points):
+                for k in range(len(languages)):
+                    expected[:, k] += np.bincount(number % (n + 2), flow[:, k] * weight[at, k], n + 2)
         learnt = expected[1 : n + 1] + 0.01
         table[1 : n + 1] = learnt / learnt.sum(0)
     return Model(languages, pieces, table)
@@ -200,10 +226,22 @@ def train(docs: DataFrame, vocabulary: str, folds: int = 5, label_col: str = "la
     nth = F.row_number().over(Window.partitionBy("__lang").orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)), "__id"))
     picked = rows.join(common, "__lang").where(share).withColumn("__nth", nth).where(F.col("__nth") <= MAX_SAMPLE).select("__id", "__lang")
     # MAX_SAMPLE ids a language at most
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("__lang", "text").toLocalIterator()
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("__lang", "text")
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            count: dict[str, Counter] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                count.setdefault(lang, Counter()).update(_WORD.findall((text.as_py() or "").lower()))
+            rows = [(lang, w, n) for lang, c in count.items() for w, n in c.items()] + [(lang, None, 0) for lang in count]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+
+    # the distinct words of the sample
     counts: dict[str, Counter] = {}
-    for r in got:
-        counts.setdefault(r[0], Counter()).update(_WORD.findall((r[1] or "").lower()))
+    for r in sample.mapInArrow(work, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_pylist():
+        counts.setdefault(r["lang"], Counter()).update({r["word"]: r["n"]} if r["word"] is not None else {})
     return fit(Pieces(read_pieces(vocabulary)), counts)
 
 

@@ -6,8 +6,9 @@ mean over all its words of their vectors and of their shapes' vectors. A tanh la
 temperature, fitted on a part of the training sample that the network didn't see, calibrates it.
 
 The fit uses at most ``MAX_SAMPLE`` labelled rows, those with the smallest hashes of their ids; the model's size is
-fixed. Scoring covers every row and whole texts. Defined results: a null or empty text pools to zeros and gets a score;
-repeated rows get equal scores; with one class or no labels the score is the smoothed share of label 1; null labels are
+fixed. Their whole texts stay on the executors: the driver gets ``PARTS`` sums of neighbours, and a pooled vector a row.
+Scoring covers every row and whole texts. Defined results: a null or empty text pools to zeros and gets a score; a very
+long text is pooled whole, in its task; repeated rows get equal scores; an empty table gives an empty result; with one class or no labels the score is the smoothed share of label 1; null labels are
 ignored; extra columns of either table are ignored.
 """
 
@@ -24,9 +25,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameflow.llm.common import materialise
 from frameflow.llm.held_out import held_out, learnable
 
 MAX_SAMPLE = 8_000
+PARTS = 8  # tasks that sum the neighbours of the sample's words
 BUCKETS, SHAPES, DIMS, NONZERO, HIDDEN = 1 << 15, 1 << 12, 64, 6, 32
 REMEMBERED = 300_000
 _KINDS = bytes(ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c for c in range(256))
@@ -92,25 +95,30 @@ def logits(x: np.ndarray, w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: fl
     return np.tanh(x @ w1 + b1) @ w2 + b2
 
 
-def word_vectors(texts: list[str], window: int = 2) -> np.ndarray:
-    """Index vectors plus each word's normalised sum of its neighbours' index vectors."""
+def neighbours(texts: list[str | None], window: int = 2) -> np.ndarray:
+    """Each word bucket's sum of its neighbours' index vectors: whole numbers, so that sums don't depend on their order."""
     index = index_vectors(BUCKETS, 11)
     context = np.zeros_like(index)
     for i in range(0, len(texts), 200):
-        ids = [np.array([keys(w)[0] for w in t.encode("utf-8", "surrogatepass").split()] + [-1] * window, np.int64) for t in texts[i : i + 200]]
+        ids = [np.array([keys(w)[0] for w in (t or "").encode("utf-8", "surrogatepass").split()] + [-1] * window, np.int64) for t in texts[i : i + 200]]
         ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         for d in range(1, window + 1):
             a, b = ids[:-d], ids[d:]
             a, b = a[(a >= 0) & (b >= 0)], b[(a >= 0) & (b >= 0)]
             pairs, n = np.unique(np.concatenate([a * BUCKETS + b, b * BUCKETS + a]), return_counts=True)
             np.add.at(context, pairs // BUCKETS, index[pairs % BUCKETS] * n[:, None].astype(np.float32))
+    return context
+
+
+def word_vectors(context: np.ndarray) -> np.ndarray:
+    """Index vectors plus each word's normalised sum of its neighbours' index vectors."""
     norm = np.linalg.norm(context, axis=1, keepdims=True)
-    return index + np.sqrt(NONZERO) * context / np.maximum(norm, 1e-6)
+    return index_vectors(BUCKETS, 11) + np.sqrt(NONZERO) * context / np.maximum(norm, 1e-6)
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 5) -> Model:
-    words, shapes, rng = word_vectors(texts), index_vectors(SHAPES, 12), np.random.default_rng(seed)
-    x = np.array([pool(t, words, shapes) for t in texts], np.float32).reshape(len(texts), 2 * DIMS + 1)
+def fit(words: np.ndarray, shapes: np.ndarray, x: np.ndarray, labels: np.ndarray, epochs: int = 60, seed: int = 5) -> Model:
+    """A model from the pooled vectors ``x`` of labelled documents."""
+    rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float64)
     mean, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     rate = (y.sum() + 1) / (len(y) + 2)
@@ -125,8 +133,9 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 5) -
     params = [w1, b1, w2, np.array([b2])]
     m, v, t, best = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0, None
     for _ in range(epochs):
+        mixed = rng.permutation(train)
         for k in range(0, len(train), 128):
-            rows = rng.permutation(train)[:128] if k == 0 else train[(np.arange(128) * 7919 + k) % len(train)]
+            rows = mixed[k : k + 128]
             a = np.tanh(z[rows] @ params[0] + params[1])
             g = (1 / (1 + np.exp(-(a @ params[2] + params[3]))) - y[rows]) / len(rows)
             back = np.outer(g, params[2]) * (1 - a * a)
@@ -152,9 +161,32 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     place = F.pmod(F.xxhash64("__id"), F.lit(1 << 30))
     share = int(min(1.0, 2 * max_sample / max(1, rows.count())) * (1 << 30))  # so that tasks send some two samples in all
     picked = F.broadcast(rows.where(place < share).orderBy(place, "__id", "__y").limit(max_sample))
-    got = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__y").collect()
-    got.sort(key=lambda r: (r[0], r[1] or "", r[2]))
-    return fit([r[1] or "" for r in got], np.array([r[2] for r in got]))
+    sample = materialise(docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("__id")).select("doc_id", F.col("__y").alias("y"), "text"), "sample")
+
+    def sums(batches):
+        import pyarrow as pa
+
+        total = np.zeros((BUCKETS, DIMS), np.float32)
+        for batch in batches:
+            total += neighbours(batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    # PARTS rows at most, of the model's size
+    parts = sample.repartition(PARTS, "doc_id").select("text").mapInArrow(sums, "sums binary").toArrow().column(0)
+    context = sum((np.frombuffer(p.as_buffer(), np.float32).reshape(BUCKETS, DIMS) for p in parts), np.zeros((BUCKETS, DIMS), np.float32))
+    words, shapes = word_vectors(context), index_vectors(SHAPES, 12)
+    held = docs.sparkSession.sparkContext.broadcast((words.astype(np.float32), shapes))
+
+    def pooled(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = [pool(t.as_py(), *held.value).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["doc_id", "y", "x"])
+
+    got = sorted((tuple(r) for r in sample.mapInArrow(pooled, "doc_id bigint, y int, x binary").collect()), key=lambda r: (r[0], r[1], bytes(r[2])))
+    x = np.array([np.frombuffer(r[2], np.float32) for r in got], np.float32).reshape(len(got), 2 * DIMS + 1)
+    return fit(words.astype(np.float32), shapes, x, np.array([r[1] for r in got]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

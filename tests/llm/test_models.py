@@ -54,6 +54,43 @@ def test_expectation_maximisation_raises_the_likelihood():
         last = fit
 
 
+def test_flows_are_shares_of_all_segmentations():
+    rng = np.random.default_rng(3)
+    table = np.zeros((len(PIECES.texts) + 2, 1))
+    table[0] = langid.UNKNOWN
+    table[1:-1, 0] = rng.dirichlet(np.ones(len(PIECES.texts)))
+    points = langid._points([langid.START + "abab", langid.START + "bbab"])
+    short, log = ({k: sum(f[w, 0] for number, f in flows(PIECES, table, points) for w in range(2) if number[w] == k) for k in range(1, 8)} for flows in (langid._flows, langid._log_flows))
+    assert all(math.isclose(short[k], log[k], abs_tol=1e-9) for k in short)
+    long = langid.fit(PIECES, {"x": Counter({"ab" * 300: 1}), "y": Counter({"b" * 300: 1})})
+    p = dict(zip(PIECES.texts, long.table[1:-1, 0]))
+    assert p["ab"] + p["bab"] > p["a"] + p["b"] and np.isfinite(long.table).all()
+
+
+def test_language_score_against_brute_force(spark, sf, monkeypatch):
+    """Predictions of the query, from the model's own piece probabilities and a sum over segmentations a text at a time."""
+    kept, fit = {}, langid.fit
+    monkeypatch.setattr(langid, "fit", lambda *a: kept.setdefault("model", fit(*a)))
+    rows = {r["doc_id"]: r for r in queries.op9_langid(spark, sf).collect()}
+    model = kept["model"]
+    number = {t: k + 1 for k, t in enumerate(model.pieces.texts)}
+
+    def log_sum(word):
+        sums = [np.zeros(len(model.languages))]
+        for j in range(1, len(word) + 1):
+            terms = [sums[i] + np.log(model.table[number.get(word[i:j], 0)]) for i in range(max(0, j - 16), j) if word[i:j] in number or j - i == 1]
+            sums.append(np.logaddexp.reduce(terms))
+        return sums[-1]
+
+    for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 3000").limit(60).collect():
+        words = langid._WORD.findall((r["text"] or "").lower())
+        total = sum((log_sum(langid.START + w) for w in words), np.zeros(len(model.languages)))
+        best = int(np.argmax(total))
+        want = (model.languages[best], float(1 / np.exp(total - total[best]).sum())) if words else ("und", 0.0)
+        got = rows[r["doc_id"]]
+        assert got["lang_pred"] == want[0] and math.isclose(got["score"], want[1], abs_tol=1e-6)
+
+
 def test_language_query_held_out(spark, sf_larger):
     lang = {r[0]: r[1] for r in spark.read.parquet(f"{sf_larger}/documents.parquet").select("doc_id", "lang").collect()}
     rows = queries.op9_langid(spark, sf_larger).collect()
@@ -81,6 +118,26 @@ def test_quality_query_held_out(spark, sf_larger):
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) > 0.93
 
 
+def test_quality_score_against_brute_force(spark, sf, monkeypatch):
+    """Scores of the query, from the model's own vectors and weights a word at a time."""
+    kept, fit = {}, quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a: kept.setdefault("model", fit(*a)))
+    scores = {r["doc_id"]: r["score"] for r in queries.op5_quality(spark, sf).collect()}
+    m = kept["model"]
+    for r in spark.read.parquet(f"{sf}/documents.parquet").limit(80).collect():
+        words = (r["text"] or "").encode().split()
+        a, b = np.zeros(quality.DIMS), np.zeros(quality.DIMS)
+        for k, w in enumerate(words):
+            word, shape = quality.keys(w)
+            a, b = a + m.words[word], b + m.shapes[shape]
+            if k and words[k - 1] == w:
+                b = b + m.shapes[quality.AGAIN]
+        x = np.concatenate([a / max(1, len(words)), b / max(1, len(words)), [np.log1p(len(words))]])
+        z = (x - m.mean) / m.scale
+        logit = sum(math.tanh(float(z @ m.w1[:, h]) + m.b1[h]) * m.w2[h] for h in range(len(m.w2))) + m.b2
+        assert math.isclose(scores[r["doc_id"]], 1 / (1 + math.exp(-logit / m.temperature)), abs_tol=1e-4)
+
+
 def test_quality_edge_cases(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(k, k % 2 if k % 5 else None) for k in range(20, 40)] + [(99, 1), (None, 1)], "doc_id bigint, quality int")
     rows = quality.quality(edge_docs, labels).collect()
