@@ -89,14 +89,18 @@ def coordinates(header: Column, objects: Column | None = None) -> Column:
         return F.when(ra.isNotNull() & dec.isNotNull(), F.struct(ra.alias("ra"), dec.alias("dec"), F.lit(method).alias("method"), confidence.alias("confidence"))).cast(kind)
 
     either = lambda k, parse: F.coalesce(h(k).try_cast("double"), parse(h(k)))
-    celestial = h("CTYPE1").startswith("RA")
+    kinds = [F.upper(F.coalesce(h(k), F.lit(""))) for k in ("CTYPE1", "CTYPE2")]
+    plain = kinds[0].contains("RA") | kinds[1].contains("RA") | (kinds[0] == "") & (kinds[1] == "")
+    turned = ~plain & kinds[0].contains("DEC")  # declination first
+    crval = [h(k).try_cast("double") for k in ("CRVAL1", "CRVAL2")]
     offers = [
         offer(parse_ra(h("OBJCTRA")), parse_dec(h("OBJCTDEC")), "objctra_dec", 0.95),
         offer(either("RA", parse_ra), either("DEC", parse_dec), "ra_dec", 0.90),
-        offer(h("CRVAL1").try_cast("double"), h("CRVAL2").try_cast("double"), "crval", F.when(celestial, 0.85).otherwise(0.70)),
+        offer(F.when(turned, crval[1]).otherwise(crval[0]), F.when(turned, crval[0]).otherwise(crval[1]), "crval", F.when(plain | turned, 0.85).otherwise(0.70)),
     ]
     if objects is not None:
-        found = F.element_at(objects, F.upper(F.trim(h("OBJECT"))))
+        name = F.upper(F.trim(h("OBJECT")))
+        found = F.when(~name.isin("", "LIGHT", "DARK", "FLAT", "BIAS"), F.element_at(objects, name))
         offers.append(offer(found["ra"], found["dec"], "object", 0.75))
     return F.coalesce(*offers, F.struct(F.lit(0.0).alias("ra"), F.lit(0.0).alias("dec"), F.lit("none").alias("method"), F.lit(0.0).alias("confidence")).cast(kind))
 

@@ -50,8 +50,22 @@ def tile_grid(sizes: DataFrame, tile: int, overlap: int) -> DataFrame:
 
 
 def pixels_to_tiles(pixels: DataFrame, sizes: DataFrame, tile: int, overlap: int) -> DataFrame:
-    """L2 to L3: each pixel goes to every tile that holds it, by arithmetic on its place."""
-    grid = tile_grid(sizes, tile, overlap)
-    near = pixels.join(grid, "frame_id").where("y >= y0 and y < y0 + th and x >= x0 and x < x0 + tw")
+    """L2 to L3: each pixel goes to every tile that holds it, by arithmetic on its place: those whose step begins at most
+    a tile before it, and the last one, which slides back. A frame's size is all that a pixel is joined with."""
+    if not 0 <= overlap < tile:
+        raise ValueError("overlap must be at least 0 and below the tile's side")
+    step = tile - overlap
+    start = lambda k, n: F.greatest(F.lit(0), F.least(k * step, F.col(n) - tile))
+
+    def held(c: str, n: str):
+        last = F.greatest(F.lit(1), F.ceil((F.col(n) - overlap) / F.lit(step))).cast("int") - 1
+        first = F.greatest(F.lit(0), F.ceil((F.col(c) - tile + 1) / F.lit(step)).cast("int"))
+        upto = F.least(last, F.floor(F.col(c) / step).cast("int"))
+        some = F.when(first <= upto, F.sequence(first, upto)).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.array_union(some, F.array(last)), lambda k: (start(k, n) <= F.col(c)) & (F.col(c) < start(k, n) + tile))
+
+    sized = pixels.join(sizes.select("frame_id", "h", "w"), "frame_id")
+    near = sized.withColumn("ty", F.explode(held("y", "h"))).withColumn("tx", F.explode(held("x", "w")))
+    near = near.withColumns({"y0": start(F.col("ty"), "h"), "x0": start(F.col("tx"), "w"), "th": F.least(F.lit(tile), F.col("h")), "tw": F.least(F.lit(tile), F.col("w"))})
     made = near.groupBy("frame_id", "ch", "ty", "tx", "y0", "x0", "th", "tw").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
     return made.select("frame_id", "ch", "ty", "tx", "y0", "x0", F.col("th").alias("h"), F.col("tw").alias("w"), F.transform("p", lambda p: p["v"]).alias("data"))

@@ -135,8 +135,14 @@ def top_stars(props: DataFrame, k: int = 200) -> DataFrame:
 
 
 def half_flux_radius(pixels: DataFrame, stars: DataFrame, reach: int = 15) -> DataFrame:
-    """Per star (frame_id, star_id, sy, sx) the radius where the cumulative flux, by distance, reaches half the total."""
-    met = stars.join(pixels, "frame_id").where(F.expr(f"abs(y - sy) <= {reach} and abs(x - sx) <= {reach}"))
+    """Per star (frame_id, star_id, sy, sx) the radius where the cumulative flux, by distance, reaches half the total.
+
+    A star goes into the at most four cells of the pixels' grid that its box meets, so the join is an equi-join."""
+    side = 2 * reach + 1
+    cells = lambda c: F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side))
+    near = stars.withColumn("cy", F.explode(cells("sy"))).withColumn("cx", F.explode(cells("sx")))
+    placed = pixels.withColumns({"cy": F.floor(F.col("y") / side), "cx": F.floor(F.col("x") / side)})
+    met = near.join(placed, ["frame_id", "cy", "cx"]).where(F.expr(f"abs(y - sy) <= {reach} and abs(x - sx) <= {reach}"))
     d2 = (F.col("y") - F.col("sy")) ** 2 + (F.col("x") - F.col("sx")) ** 2
     rings = met.groupBy("frame_id", "star_id", F.sqrt(d2).alias("r")).agg(F.sum("v").alias("v"))  # equal radii count together
     w = Window.partitionBy("frame_id", "star_id")
@@ -152,10 +158,13 @@ def frame_score(hfr: DataFrame, round_: DataFrame, cloud: DataFrame, frames: Dat
     return j.select("frame_id", F.least(F.greatest(F.coalesce("h", zero) * 0.4 + F.coalesce("roundness", zero) * 0.35 + F.coalesce("cloud", zero) * 0.25, zero), F.lit(1.0)).alias("score"))
 
 
-def psf_aggregate(stars: DataFrame) -> DataFrame:
-    """Per frame from star rows (fwhm, ellipticity, strehl, hfr): medians, the 90th percentile and the seeing limit flag."""
+def psf_aggregate(stars: DataFrame, fwhm_limit: float = 0.0) -> DataFrame:
+    """Per frame from star rows (fwhm, ellipticity, strehl, hfr): medians, the 90th percentile, and whether the median
+    width exceeds ``fwhm_limit`` (0: no limit)."""
+    width = F.median("fwhm")
     return stars.groupBy("frame_id").agg(
-        F.count(F.lit(1)).alias("n"), F.median("fwhm").alias("fwhm"), F.percentile("fwhm", 0.9).alias("fwhm_p90"), F.median("ellipticity").alias("ellipticity"), F.median(F.abs(F.col("fwhm") / 2 - F.col("hfr"))).alias("hfr_gap"),
+        F.count(F.lit(1)).alias("n"), width.alias("fwhm"), F.percentile("fwhm", 0.9).alias("fwhm_p90"), F.median("ellipticity").alias("ellipticity"), F.median("strehl").alias("strehl"),
+        F.median(F.abs(F.col("fwhm") / 2 - F.col("hfr"))).alias("hfr_gap"), ((F.lit(fwhm_limit) > 0) & (width > fwhm_limit)).alias("exceeds_limit"),
     )
 
 

@@ -234,15 +234,16 @@ def warp(a: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def denoise(a: np.ndarray, strength: float = 1.0) -> np.ndarray:
-    """Impulses to the median, a mix of three blurs, kept where the detail exceeds the noise."""
+    """Impulses to the median, then a mix of three blurs; what is far from its median, by the noise, stays as it is."""
     a = a.astype(float)
     noise = mad_sigma(laplacian(a)) / np.sqrt(20)
     if noise < 1e-10:
         return a
     med = rank_filter(a, 3)
-    clean = np.where(np.abs(a - med) > 5 * noise, med, a)
+    off = np.abs(a - med)
+    clean = np.where(off > 5 * noise, med, a)
     soft = 0.5 * gaussian(clean, 1) + 0.3 * gaussian(clean, 2) + 0.2 * gaussian(clean, 4)
-    keep = np.clip(np.abs(clean - soft) / (3 * noise), 0, 1)
+    keep = np.clip(off / (3 * noise + 1e-10), 0, 1)
     return a + strength * (keep * clean + (1 - keep) * soft - a)
 
 

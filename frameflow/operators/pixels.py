@@ -324,6 +324,10 @@ def clahe(pixels: DataFrame, tile: int, bins: int = 256, limit: float = 2.0) ->
         u = F.least(F.greatest((F.col(c) - half(n)) / tile, F.lit(0.0)), (F.col(count) - 1).cast("double"))
         p = p.withColumn("__u", u).withColumns({lo: F.floor("__u").cast("bigint"), f: F.col("__u") - F.floor("__u")}).withColumn(hi, F.least(F.col(lo) + 1, F.col(count) - 1).cast("bigint")).drop("__u")
     p = p.withColumn("bin", F.least(F.greatest(F.floor(F.col("v") * (bins - 1)), F.lit(0)), F.lit(bins - 1)).cast("int"))
-    taps = p.select("frame_id", "ch", "y", "x", "bin", F.explode(F.array(*[F.struct(F.col(a).alias("ty"), F.col(b).alias("tx"), ((F.col("fy") if a == "y1" else 1 - F.col("fy")) * (F.col("fx") if b == "x1" else 1 - F.col("fx"))).alias("k")) for a in ("y0", "y1") for b in ("x0", "x1")])).alias("t")).select("frame_id", "ch", "y", "x", "bin", "t.*")
-    lut = clahe_lut(pixels, tile, bins, limit)
-    return taps.join(lut, ["frame_id", "ch", "ty", "tx", "bin"]).groupBy("frame_id", "ch", "y", "x").agg(C.clip(F.sum(F.col("k") * F.col("lut"))).alias("v"))
+    weight = lambda a, b: (F.col("fy") if a == "y1" else 1 - F.col("fy")) * (F.col("fx") if b == "x1" else 1 - F.col("fx"))
+    corners = [F.struct(F.lit(n).alias("tap"), F.col(a).alias("ty"), F.col(b).alias("tx"), weight(a, b).alias("k")) for n, (a, b) in enumerate((a, b) for a in ("y0", "y1") for b in ("x0", "x1"))]
+    taps = p.select("frame_id", "ch", "y", "x", "bin", F.explode(F.array(*corners)).alias("t")).select("frame_id", "ch", "y", "x", "bin", "t.*")
+    met = taps.join(clahe_lut(pixels, tile, bins, limit), ["frame_id", "ch", "ty", "tx", "bin"])
+    # the four terms in one order, column by column, whatever order their rows come in
+    terms = met.groupBy("frame_id", "ch", "y", "x").agg(*[F.max(F.when(F.col("tap") == n, F.col("k") * F.col("lut"))).alias(f"t{n}") for n in range(4)])
+    return terms.select("frame_id", "ch", "y", "x", C.clip(F.expr("t0 + t2 + t1 + t3")).alias("v"))

@@ -73,7 +73,8 @@ def suggested_paths(matches: DataFrame) -> DataFrame:
 
 def select_frames(scored: DataFrame, least: float, max_rejected: float, by: list[str] | None = None) -> DataFrame:
     """kept: score >= least, and the best of the others while more than int(n * max_rejected) would go; ties by idx."""
-    by = by or []
+    if not by:
+        return _select_all(scored, least, max_rejected)
     rejected = F.col("score") < least
     every = Window.partitionBy(*by)
     excess = F.sum(rejected.cast("int")).over(every) - F.floor(F.count(F.lit(1)).over(every) * max_rejected)
@@ -81,6 +82,25 @@ def select_frames(scored: DataFrame, least: float, max_rejected: float, by: list
     return scored.withColumn("kept", ~rejected | (nth <= excess))
 
 
+def frame_stats(entries: DataFrame) -> DataFrame:
+    """The statistics table of a frame list as text: fixed decimals, empty for nulls, 1 or 0 for selected."""
+    number = lambda f, c: F.when(F.col(c).isNull(), "").otherwise(F.format_string(f, F.col(c).cast("double")))
+    return entries.select(
+        basename(F.col("path")).alias("filename"), "path", number("%.3f", "exposure").alias("exposure_s"), F.coalesce(F.col("gain_iso").cast("string"), F.lit("")).alias("gain_iso"),
+        number("%.1f", "temperature").alias("temperature_c"), number("%.4f", "quality").alias("quality_score"), F.when(F.col("selected"), "1").otherwise("0").alias("selected"),
+    )
+
+
+def _select_all(scored: DataFrame, least: float, max_rejected: float) -> DataFrame:
+    """``select_frames`` over all rows: counts come from an aggregate, and only rejected rows are ranked, by ranges."""
+    n, gone = scored.agg(F.count(F.lit(1)), F.count_if(F.col("score") < least)).first()
+    back = gone - int(n * max_rejected)
+    if back <= 0:
+        return scored.withColumn("kept", F.coalesce(F.col("score") >= least, F.lit(True)))
+    low = frame_ranks(scored.where(F.col("score") < least), "score", descending=True)
+    return low.withColumn("kept", F.col("pos") <= back).drop("pos").unionByName(scored.where(F.coalesce(F.col("score") >= least, F.lit(True))).withColumn("kept", F.lit(True)))
+
+
 def quality_threshold(entries: DataFrame, least: float) -> DataFrame:
     return entries.withColumn("selected", F.when(F.col("quality").isNull(), F.col("selected")).otherwise(F.col("quality") >= least))
 

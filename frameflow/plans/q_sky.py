@@ -94,13 +94,13 @@ def parse_sexagesimal(spark, sf):
     return texts(spark, sf).select("k", r6(sky.parse_ra(F.col("ra"))).alias("ra"), r6(sky.parse_dec(F.col("dec"))).alias("dec"))
 
 
-@query("coordinate_cascade", f"""SELECT k, {s6('CAST(CASE m WHEN 1 THEN ra WHEN 2 THEN k % 360 WHEN 3 THEN k % 90 ELSE 0 END AS DOUBLE)')} AS ra, CASE m WHEN 1 THEN 'objctra_dec' WHEN 2 THEN 'ra_dec' WHEN 3 THEN 'crval' ELSE 'none' END AS method,
-    CASE m WHEN 1 THEN 0.95 WHEN 2 THEN 0.9 WHEN 3 THEN CASE WHEN k % 2 = 0 THEN 0.85 ELSE 0.7 END ELSE 0.0 END::DOUBLE AS confidence FROM (SELECT k, {RA_VALUE} AS ra, CASE WHEN ({RA_VALUE}) IS NOT NULL AND ({DEC_VALUE}) IS NOT NULL THEN 1 WHEN k % 3 = 0 THEN 2 WHEN k % 7 < 3 THEN 3 ELSE 4 END AS m FROM {KEYS})""")
+@query("coordinate_cascade", f"""SELECT k, {s6('CAST(CASE m WHEN 1 THEN ra WHEN 2 THEN k % 360 WHEN 3 THEN CASE WHEN k % 4 = 2 THEN 20 ELSE k % 90 END ELSE 0 END AS DOUBLE)')} AS ra, {s6('CAST(CASE m WHEN 1 THEN dec WHEN 2 THEN 10 WHEN 3 THEN CASE WHEN k % 4 = 2 THEN k % 90 ELSE 20 END ELSE 0 END AS DOUBLE)')} AS dec, CASE m WHEN 1 THEN 'objctra_dec' WHEN 2 THEN 'ra_dec' WHEN 3 THEN 'crval' ELSE 'none' END AS method,
+    CASE m WHEN 1 THEN 0.95 WHEN 2 THEN 0.9 WHEN 3 THEN CASE WHEN k % 4 = 1 THEN 0.7 ELSE 0.85 END ELSE 0.0 END::DOUBLE AS confidence FROM (SELECT k, {RA_VALUE} AS ra, {DEC_VALUE} AS dec, CASE WHEN ({RA_VALUE}) IS NOT NULL AND ({DEC_VALUE}) IS NOT NULL THEN 1 WHEN k % 3 = 0 THEN 2 WHEN k % 7 < 3 THEN 3 ELSE 4 END AS m FROM {KEYS})""")
 def coordinate_cascade(spark, sf):
-    pairs = [("OBJCTRA", "ra"), ("OBJCTDEC", "dec"), ("RA", "if(k % 3 = 0, cast(k % 360 as string), null)"), ("DEC", "if(k % 3 = 0, '10', null)"), ("CRVAL1", "if(k % 7 < 3, cast(k % 90 as string), null)"), ("CRVAL2", "if(k % 7 < 3, '20', null)"), ("CTYPE1", "if(k % 2 = 0, 'RA---TAN', 'LINEAR')")]
+    pairs = [("OBJCTRA", "ra"), ("OBJCTDEC", "dec"), ("RA", "if(k % 3 = 0, cast(k % 360 as string), null)"), ("DEC", "if(k % 3 = 0, '10', null)"), ("CRVAL1", "if(k % 7 < 3, cast(k % 90 as string), null)"), ("CRVAL2", "if(k % 7 < 3, '20', null)"), ("CTYPE1", "element_at(array('RA---TAN', 'LINEAR', 'dec--tan', null), cast(k % 4 as int) + 1)")]
     header = F.expr("map_filter(map(" + ", ".join(f"'{k}', {v}" for k, v in pairs) + "), (k, v) -> v is not null)")
     c = texts(spark, sf).select("k", sky.coordinates(header).alias("c"))
-    return c.select("k", r6("c.ra").alias("ra"), "c.method", "c.confidence")
+    return c.select("k", r6("c.ra").alias("ra"), r6("c.dec").alias("dec"), "c.method", "c.confidence")
 
 
 @query("format_radec", f"""WITH {SKY}, h AS (SELECT k, ra / 15 AS h, abs(dec) AS d, dec >= 0 AS p FROM sky)

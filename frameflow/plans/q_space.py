@@ -230,10 +230,10 @@ def frame_score(spark, sf):
     return G.frame_score(G.half_flux_radius(px, stars), G.roundness(props(spark, sf)[1]), P.cloud_score(px, 4, spread=0.09), px).select("frame_id", r6("score").alias("score"))
 
 
-@query("psf_aggregate", f"SELECT event_type AS frame_id, count(*) AS n, {s6('median(value)')} AS fwhm, {s6('quantile_cont(value, 0.9)')} AS fwhm_p90, {s6('median(user_id % 10 / 10.0)')} AS ellipticity, {s6('median(abs(value / 2 - user_id))')} AS hfr_gap FROM events GROUP BY 1")
+@query("psf_aggregate", f"SELECT event_type AS frame_id, count(*) AS n, {s6('median(value)')} AS fwhm, {s6('quantile_cont(value, 0.9)')} AS fwhm_p90, {s6('median(user_id % 10 / 10.0)')} AS ellipticity, {s6('median(event_id % 97 / 97.0)')} AS strehl, {s6('median(abs(value / 2 - user_id))')} AS hfr_gap, median(value) > 10.25 AS exceeds_limit FROM events GROUP BY 1")
 def psf_aggregate(spark, sf):
-    s = table(spark, sf, "events").selectExpr("event_type as frame_id", "value as fwhm", "user_id % 10 / 10.0D as ellipticity", "cast(user_id as double) as hfr")
-    return G.psf_aggregate(s).select("frame_id", "n", *[r6(c).alias(c) for c in ("fwhm", "fwhm_p90", "ellipticity", "hfr_gap")])
+    s = table(spark, sf, "events").selectExpr("event_type as frame_id", "value as fwhm", "user_id % 10 / 10.0D as ellipticity", "event_id % 97 / 97.0D as strehl", "cast(user_id as double) as hfr")
+    return G.psf_aggregate(s, 10.25).select("frame_id", "n", *[r6(c).alias(c) for c in ("fwhm", "fwhm_p90", "ellipticity", "strehl", "hfr_gap")], "exceeds_limit")
 
 
 POINTS = """pt AS (SELECT c_custkey AS id, (c_custkey * 37 % 997) * 3.0::DOUBLE AS x, (c_custkey * 61 % 991) * 3.0::DOUBLE AS y FROM customer), jt AS (SELECT id, x + ((id * 7919) % 100 - 50) / 12.5::DOUBLE AS x, y + ((id * 104729) % 100 - 50) / 12.5::DOUBLE AS y FROM pt)"""

@@ -57,11 +57,10 @@ def mru_top10(spark, sf):
     return T.mru(table(spark, sf, "events").selectExpr("concat('p', user_id) as path", "event_id as seq")).select("path", "rank")
 
 
-@query("frame_stats_export", f"""WITH {ENTRIES} SELECT split_part(path, '/', 4) AS name, printf('%.3f', exposure) AS exposure, coalesce(printf('%.1f', temperature), '') AS temperature,
-    coalesce(printf('%.4f', quality), '') AS quality, CASE WHEN selected THEN '1' ELSE '0' END AS selected FROM entries""")
+@query("frame_stats_export", f"""WITH {ENTRIES} SELECT split_part(path, '/', 4) AS filename, path, printf('%.3f', exposure) AS exposure_s, CASE WHEN user_id % 3 = 0 THEN '' ELSE CAST(100 * (user_id % 4) AS VARCHAR) END AS gain_iso,
+    coalesce(printf('%.1f', temperature), '') AS temperature_c, coalesce(printf('%.4f', quality), '') AS quality_score, CASE WHEN selected THEN '1' ELSE '0' END AS selected FROM entries""")
 def frame_stats_export(spark, sf):
-    number = lambda f, c: F.when(F.col(c).isNull(), "").otherwise(F.format_string(f, F.col(c)))
-    return entries(spark, sf).select(text.basename(F.col("path")).alias("name"), number("%.3f", "exposure").alias("exposure"), number("%.1f", "temperature").alias("temperature"), number("%.4f", "quality").alias("quality"), F.when(F.col("selected"), "1").otherwise("0").alias("selected"))
+    return T.frame_stats(entries(spark, sf).selectExpr("*", "if(user_id % 3 = 0, null, 100 * (user_id % 4)) as gain_iso"))
 
 
 @query("quality_dashboard", f"""WITH {ENTRIES} SELECT event_type, count(*) FILTER (quality >= 0.5) AS accepted, count(*) FILTER (quality < 0.5) AS rejected, {s6('avg(quality)')} AS mean FROM entries GROUP BY event_type""")

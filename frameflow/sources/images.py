@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from frameflow.functions.text import basename, classify_frame_type, header_metadata
+from frameflow.functions.text import classify_frame_type, header_metadata
+from frameflow.operators.tables import frame_stats
 from frameflow.sources import formats
 
 L1 = "path string, frame_id bigint, header map<string,string>, h int, w int, c int, data array<double>"
@@ -209,4 +210,5 @@ def write_photometry(stars: DataFrame, folder: str) -> None:
 
 
 def write_frame_stats(entries: DataFrame, folder: str) -> None:
-    entries.select(basename(F.col("path")).alias("name"), "exposure", "temperature", "quality", "selected").write.mode("overwrite").option("header", "true").csv(folder)
+    """The frame list's statistics as CSV with a header, in the seven columns of ``frame_stats``."""
+    frame_stats(entries).write.mode("overwrite").option("header", "true").csv(folder)
