@@ -174,3 +174,44 @@ def color_fit_round(stars: DataFrame, sigma: float = 2.5) -> DataFrame:
     r = stars.crossJoin(F.broadcast(scale)).withColumn("t", F.sqrt((F.col("rr") - F.col("scale_r")) ** 2 + (F.col("rb") - F.col("scale_b")) ** 2))
     s = r.agg(F.sqrt(F.avg(F.col("t") * F.col("t"))).alias("rms"), F.greatest(F.stddev_pop("t") * sigma, F.median("t") * 3).alias("cut"))
     return r.crossJoin(F.broadcast(s)).groupBy("scale_r", "scale_b", "rms").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("t") < F.col("cut")).alias("inliers"))
+
+
+def color_aperture_flux(pixels: DataFrame, stars: DataFrame, radius: int) -> DataFrame:
+    """Per star (frame_id, star_id, sy, sx) the flux r, g, b within ``radius`` of its nearest pixel. Stars whose box leaves
+    the frame, or without light in any channel, have no row."""
+    side = 2 * radius + 1
+    centred = stars.withColumns({"py": F.bround("sy").cast("int"), "px": F.bround("sx").cast("int")})
+    cells = lambda c: F.sequence(F.floor((F.col(c) - radius) / side), F.floor((F.col(c) + radius) / side))
+    near = centred.select("frame_id", "star_id", "py", "px", F.explode(cells("py")).alias("cy"), "sx").withColumn("cx", F.explode(cells("px"))).drop("sx")
+    placed = pixels.withColumns({"cy": F.floor(F.col("y") / side), "cx": F.floor(F.col("x") / side)})
+    met = near.join(placed, ["frame_id", "cy", "cx"]).where((F.abs(F.col("y") - F.col("py")) <= radius) & (F.abs(F.col("x") - F.col("px")) <= radius))
+    dy, dx = F.col("y") - F.col("py"), F.col("x") - F.col("px")
+    flux = lambda k: F.sum(F.when((F.col("ch") == k) & (dy * dy + dx * dx <= radius * radius), F.col("v")))
+    sums = met.groupBy("frame_id", "star_id").agg(F.count_if(F.col("ch") == 0).alias("n"), *[flux(k).alias(c) for k, c in enumerate("rgb")])
+    return sums.where((F.col("n") == side * side) & (F.col("r") > 0) & (F.col("g") > 0) & (F.col("b") > 0)).drop("n")
+
+
+def _medians(stars: DataFrame) -> tuple:
+    return tuple(stars.agg(F.count(F.lit(1)), F.median("rr"), F.median("rb")).first())
+
+
+def color_fit(stars: DataFrame, sigma: float = 2.5, rounds: int = 10, least: int = 5) -> DataFrame:
+    """The white-balance fit over ratios rr and rb: one row with the median scales, their rms and the stars that remain.
+
+    In each round stars go that are off by both ``sigma`` deviations and three median residuals or more; it ends without
+    such stars, with less than ``least`` of them, or where the residuals vanish. A round sends five numbers to the driver."""
+    for _ in range(rounds):
+        n, r, b = _medians(stars)
+        if n < least:
+            break
+        off = stars.withColumn("t", F.sqrt((F.col("rr") - r) ** 2 + (F.col("rb") - b) ** 2))
+        spread, middle = off.agg(F.stddev_pop("t"), F.median("t")).first()
+        if spread < 1e-6 or middle < 1e-6:
+            break
+        kept = off.where(F.col("t") < max(sigma * spread, 3 * middle)).select(*stars.columns)
+        if kept.count() == n:
+            break
+        stars = kept
+    n, r, b = _medians(stars)
+    off = F.sqrt(F.avg((F.col("rr") - F.lit(r)) ** 2 + (F.col("rb") - F.lit(b)) ** 2))
+    return stars.agg(F.lit(r if n else 1.0).alias("scale_r"), F.lit(b if n else 1.0).alias("scale_b"), F.coalesce(off, F.lit(0.0)).alias("rms"), F.count(F.lit(1)).alias("inliers"))

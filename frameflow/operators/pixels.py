@@ -172,10 +172,11 @@ def gradient_remove(pixels: DataFrame, model: DataFrame, keep_median: bool = Tru
     return pixels.withColumn("__lift", lift).join(model, ["frame_id", *PLACE]).withColumn("v", F.greatest(F.col("v") - F.col("bg") + F.col("__lift"), F.lit(0.0))).drop("bg", "__lift")
 
 
-def per_channel(pixels: DataFrame, values: tuple[float, float, float], how: str = "multiply") -> DataFrame:
-    """White balance ('multiply') or channel balance ('add'), clipped to [0, 1]."""
+def per_channel(pixels: DataFrame, values: tuple[float, float, float], how: str = "multiply", clip: bool = True) -> DataFrame:
+    """White balance ('multiply') or channel balance ('add'), clipped to [0, 1]; a colour correction isn't clipped."""
     k = F.element_at(F.array(*map(F.lit, values)), F.col("ch") + 1)
-    return pixels.withColumn("v", C.clip(F.col("v") * k if how == "multiply" else F.col("v") + k))
+    v = F.col("v") * k if how == "multiply" else F.col("v") + k
+    return pixels.withColumn("v", C.clip(v) if clip else v)
 
 
 def neutralise(pixels: DataFrame, target: float = 0.1, share: float = 0.02) -> DataFrame:

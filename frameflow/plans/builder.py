@@ -1,8 +1,9 @@
 """From a configuration to one lazy plan: a bundle of frames and images goes through the enabled steps in fixed order.
 
 Steps at their neutral parameters are left out of the plan. Point-wise steps work on pixels (L2) and fuse in Catalyst;
-steps with a neighbourhood kernel go through frames (L1). Nothing runs before the caller's action, but for the reference
-frame that registration has to have, one frame.
+steps with a neighbourhood kernel go through frames (L1). Nothing runs before the caller's action but what a step
+has to know: registration's reference and the comet's median, one frame each; a drizzle's size; a mosaic's overlaps, a row
+a pair of panels; a colour fit's medians; and the files that an export writes.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import asdict, dataclass, field, fields, replace
 from enum import Enum
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameflow.functions import curves as C
@@ -89,6 +90,18 @@ class Config:
     stacking_method: str = "sigma_clip"
     stacking_sigma_low: float = 2.5
     stacking_sigma_high: float = 2.5
+    drizzle_enabled: bool = False
+    drizzle_drop_size: float = 0.7
+    drizzle_scale: float = 1.0
+    drizzle_pixfrac: float = 1.0
+    drizzle_mode: str = "reference"
+    mosaic_enabled: bool = False
+    mosaic_blend_mode: str = "average"
+    mosaic_gradient_correct: bool = True
+    mosaic_output_scale: float = 1.0
+    channel_combine_enabled: bool = False
+    channel_combine_mode: str = "lrgb"
+    channel_combine_palette: str = "SHO"
     comet_stack_enabled: bool = False
     comet_tracking_mode: str = "blend"
     comet_blend_factor: float = 0.5
@@ -100,7 +113,11 @@ class Config:
     stretch_shadow_clipping_sigmas: float = -2.8
     stretch_linked_channels: bool = True
     curve_points: tuple[tuple[float, float], ...] = ((0.0, 0.0), (1.0, 1.0))
+    color_calibration_enabled: bool = False
+    color_calibration_radius: int = 8
     denoise_strength: float = 1.0
+    denoise_tile_size: int = 0
+    denoise_tile_overlap: int = 0
     adaptive_denoise: bool = False
     deconvolution_enabled: bool = False
     deconvolution_iterations: int = 10
@@ -110,6 +127,8 @@ class Config:
     saturation_global: float = 1.0
     saturation_hues: tuple[tuple[str, float], ...] = ()
     white_balance: tuple[float, float, float] = (1.0, 1.0, 1.0)
+    channel_balance: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    channel_balance_auto: bool = False
     neutralise_enabled: bool = False
     neutralise_target: float = 0.1
     asinh_beta: float = 0.0
@@ -126,13 +145,112 @@ class Config:
 
 
 # The built-in parameter sets. Shadow sigmas there are positive and "grid" stands for the RBF model.
-_COMMON = {"stacking_method": "sigma_clip", "background_removal_enabled": True, "background_removal_method": "grid", "background_removal_tile_size": 64}
 PRESETS: dict[str, dict] = {
-    "Deepsky LRGB": _COMMON | {"stacking_sigma_low": 3.0, "stacking_sigma_high": 3.0, "stretch_target_background": 0.20, "stretch_shadow_clipping_sigmas": 1.5, "stretch_linked_channels": True, "denoise_strength": 0.5, "background_removal_preserve_median": True},
-    "Narrowband SHO": _COMMON | {"stacking_sigma_low": 2.5, "stacking_sigma_high": 2.5, "stretch_target_background": 0.15, "stretch_shadow_clipping_sigmas": 2.0, "stretch_linked_channels": False, "denoise_strength": 0.7, "background_removal_preserve_median": False, "deconvolution_enabled": True, "frame_selection_enabled": True, "frame_selection_min_score": 0.6},
-    "Narrowband HOO": _COMMON | {"stacking_method": "median", "stacking_sigma_low": 3.0, "stacking_sigma_high": 3.0, "stretch_target_background": 0.18, "stretch_shadow_clipping_sigmas": 1.5, "stretch_linked_channels": False, "denoise_strength": 0.6, "background_removal_preserve_median": True, "frame_selection_enabled": True, "frame_selection_min_score": 0.55},
-    "Planetarisch": _COMMON | {"stacking_method": "mean", "stacking_sigma_low": 3.0, "stacking_sigma_high": 3.0, "stretch_target_background": 0.10, "stretch_shadow_clipping_sigmas": 1.0, "stretch_linked_channels": True, "denoise_strength": 0.3, "background_removal_enabled": False, "frame_selection_enabled": True, "frame_selection_min_score": 0.7, "deconvolution_enabled": True},
-}
+    "Deepsky LRGB": {
+        "stacking_method": "sigma_clip",
+        "stacking_sigma_low": 3.0,
+        "stacking_sigma_high": 3.0,
+        "stretch_target_background": 0.2,
+        "stretch_shadow_clipping_sigmas": 1.5,
+        "stretch_linked_channels": True,
+        "denoise_strength": 0.5,
+        "denoise_tile_size": 128,
+        "denoise_tile_overlap": 16,
+        "background_removal_enabled": True,
+        "background_removal_method": "grid",
+        "background_removal_tile_size": 64,
+        "background_removal_preserve_median": True,
+        "drizzle_enabled": False,
+        "drizzle_drop_size": 1.0,
+        "drizzle_scale": 2.0,
+        "drizzle_pixfrac": 1.0,
+        "frame_selection_enabled": False,
+        "frame_selection_min_score": 0.5,
+        "comet_stack_enabled": False,
+        "comet_tracking_mode": "stars",
+        "synthetic_flat_enabled": False,
+        "deconvolution_enabled": False,
+        "starless_enabled": False,
+    },
+    "Narrowband SHO": {
+        "stacking_method": "sigma_clip",
+        "stacking_sigma_low": 2.5,
+        "stacking_sigma_high": 2.5,
+        "stretch_target_background": 0.15,
+        "stretch_shadow_clipping_sigmas": 2.0,
+        "stretch_linked_channels": False,
+        "denoise_strength": 0.7,
+        "denoise_tile_size": 128,
+        "denoise_tile_overlap": 16,
+        "background_removal_enabled": True,
+        "background_removal_method": "grid",
+        "background_removal_tile_size": 64,
+        "background_removal_preserve_median": False,
+        "drizzle_enabled": False,
+        "drizzle_drop_size": 1.0,
+        "drizzle_scale": 2.0,
+        "drizzle_pixfrac": 1.0,
+        "frame_selection_enabled": True,
+        "frame_selection_min_score": 0.6,
+        "comet_stack_enabled": False,
+        "comet_tracking_mode": "stars",
+        "synthetic_flat_enabled": False,
+        "deconvolution_enabled": True,
+        "starless_enabled": False,
+    },
+    "Narrowband HOO": {
+        "stacking_method": "median",
+        "stacking_sigma_low": 3.0,
+        "stacking_sigma_high": 3.0,
+        "stretch_target_background": 0.18,
+        "stretch_shadow_clipping_sigmas": 1.5,
+        "stretch_linked_channels": False,
+        "denoise_strength": 0.6,
+        "denoise_tile_size": 128,
+        "denoise_tile_overlap": 16,
+        "background_removal_enabled": True,
+        "background_removal_method": "grid",
+        "background_removal_tile_size": 64,
+        "background_removal_preserve_median": True,
+        "drizzle_enabled": False,
+        "drizzle_drop_size": 1.0,
+        "drizzle_scale": 2.0,
+        "drizzle_pixfrac": 1.0,
+        "frame_selection_enabled": True,
+        "frame_selection_min_score": 0.55,
+        "comet_stack_enabled": False,
+        "comet_tracking_mode": "stars",
+        "synthetic_flat_enabled": False,
+        "deconvolution_enabled": False,
+        "starless_enabled": False,
+    },
+    "Planetarisch": {
+        "stacking_method": "mean",
+        "stacking_sigma_low": 3.0,
+        "stacking_sigma_high": 3.0,
+        "stretch_target_background": 0.1,
+        "stretch_shadow_clipping_sigmas": 1.0,
+        "stretch_linked_channels": True,
+        "denoise_strength": 0.3,
+        "denoise_tile_size": 64,
+        "denoise_tile_overlap": 8,
+        "background_removal_enabled": False,
+        "background_removal_method": "grid",
+        "background_removal_tile_size": 64,
+        "background_removal_preserve_median": True,
+        "drizzle_enabled": True,
+        "drizzle_drop_size": 0.5,
+        "drizzle_scale": 2.0,
+        "drizzle_pixfrac": 0.5,
+        "frame_selection_enabled": True,
+        "frame_selection_min_score": 0.7,
+        "comet_stack_enabled": False,
+        "comet_tracking_mode": "stars",
+        "synthetic_flat_enabled": False,
+        "deconvolution_enabled": True,
+        "starless_enabled": False,
+    },
+}
 
 
 def configure(preset: str | None = None, **changes) -> Config:
@@ -209,13 +327,145 @@ def _stack(c: Config) -> Step:
     return Step("stacking", Stage.STACKING, apply)
 
 
+def load_frames(spark: SparkSession, paths: list[str]) -> Step:
+    """Read image files as the bundle's frames, in the order of their ids; no paths leave the bundle as it is."""
+
+    def apply(b: Bundle) -> Bundle:
+        from frameflow.sources.images import read_frames
+
+        if not paths:
+            return b
+        return replace(b, frames=read_frames(spark, list(paths), strict=True)).noting(loaded_frame_paths=list(paths))
+
+    return Step("load frames", Stage.CALIBRATION, apply)
+
+
+def export_result(spark: SparkSession, kind: str, folder: str, starless: bool = False, mask: bool = False) -> Step:
+    """Write the result, or the first frame without one, and on request the starless image and the mask: an action."""
+
+    def apply(b: Bundle) -> Bundle:
+        from frameflow.sources.images import export
+
+        if b.result is None and b.frames is None:
+            raise ValueError("there is no image to export")
+        image = lambda px: None if px is None else pixels_to_frames(px)
+        result = b.result if b.result is not None else first_frame(b.frames)
+        export(spark, kind, folder, image(result), image(b.starless) if starless else None, image(b.mask) if mask else None)
+        return b.noting(export_path=folder)
+
+    return Step(f"export {kind}", Stage.SAVING, apply)
+
+
+def _solutions(b: Bundle) -> dict | None:
+    """Plate solutions by frame id (or one for all, under None), from ``meta['wcs']``."""
+    found = b.meta.get("wcs")
+    return found if found is None or isinstance(found, dict) else {None: found}
+
+
+def _drizzle(c: Config) -> Step:
+    """All frames onto a grid of ``drizzle_scale`` times the first one's size; without solutions places stay as they are."""
+
+    def apply(b: Bundle) -> Bundle:
+        from frameflow.operators import geometry as G
+
+        l1 = b.frames.select("frame_id", "h", "w", "c", "data")
+        size = l1.orderBy("frame_id").select("h", "w").first()
+        if size is None:
+            return b
+        px, found = frames_to_pixels(l1), _solutions(b)
+        x, y = F.col("x").cast("double"), F.col("y").cast("double")
+        if found and None not in found:
+            ref = found[min(found)]
+            rows = px.sparkSession.createDataFrame([(k, *map(float, w.cd), *map(float, w.crpix)) for k, w in found.items()], "frame_id bigint, m0 double, m1 double, m2 double, m3 double, p0 double, p1 double")
+            px = px.join(rows, "frame_id")
+            x, y = G.affine(px, G.cd_affine([F.col(f"m{k}") for k in range(4)], [F.col("p0"), F.col("p1")], ref.cd, ref.crpix))
+        done = G.drizzle(px, x, y, int(size["h"] * c.drizzle_scale), int(size["w"] * c.drizzle_scale), c.drizzle_drop_size, c.drizzle_pixfrac, c.drizzle_scale, c.drizzle_mode)
+        filled = _filled(done, int(size["h"] * c.drizzle_scale), int(size["w"] * c.drizzle_scale))
+        return replace(b, result=filled).noting(drizzle_scale=c.drizzle_scale)
+
+    return Step("drizzle", Stage.DRIZZLE, apply)
+
+
+def _filled(cells: DataFrame, height: int, width: int) -> DataFrame:
+    """Every place of the grid, 0 where nothing fell."""
+    channels = cells.select("ch").distinct()
+    grid = channels.select("ch", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+    at = cells.select("ch", F.col("oy").cast("int").alias("y"), F.col("ox").cast("int").alias("x"), "v")
+    return grid.join(at, ["ch", "y", "x"], "left").select(F.lit(0).cast("bigint").alias("frame_id"), *P.PLACE, F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def _mosaic(c: Config) -> Step:
+    """The frames as panels, by their plate solutions; without those the bundle stays as it is."""
+
+    def apply(b: Bundle) -> Bundle:
+        from frameflow.operators.mosaic import stitch
+
+        found = _solutions(b)
+        if not found or None in found:
+            return b
+        l1 = b.frames.select("frame_id", "h", "w", "c", "data")
+        panels = [(frames_to_pixels(l1.where(F.col("frame_id") == k)), w) for k, w in sorted(found.items())]
+        result, target = stitch(panels, c.mosaic_output_scale, c.mosaic_blend_mode, c.mosaic_gradient_correct)
+        return replace(b, result=result).noting(mosaic_wcs=target, mosaic_panels=len(panels))
+
+    return Step("mosaic", Stage.MOSAIC, apply)
+
+
+def _combine(c: Config) -> Step:
+    """Mono images by band in ``meta['channels']`` (l, r, g, b, or h, o, s) to colour; none leave the bundle as it is."""
+
+    def apply(b: Bundle) -> Bundle:
+        bands = {k.lower()[0]: px for k, px in b.meta.get("channels", {}).items() if px is not None}
+        if not bands:
+            return b
+        every = None
+        for k, px in bands.items():
+            one = px.select("y", "x", "v", F.lit(k).alias("band"))
+            every = one if every is None else every.unionByName(one)
+        names = "lrgb" if c.channel_combine_mode == "lrgb" else "hosn"
+        planes = every.groupBy("y", "x").agg(*[F.max(F.when(F.col("band") == k, F.col("v"))).alias(k) for k in names]).withColumn("frame_id", F.lit(0).cast("bigint"))
+        rgb = P.lrgb_combine(planes) if names == "lrgb" else P.narrowband(planes, c.channel_combine_palette.upper())
+        long = rgb.select("frame_id", "y", "x", F.posexplode(F.array("r", "g", "b")).alias("ch", "v"))
+        return replace(b, result=long.select("frame_id", *P.PLACE, "v")).noting(channel_combine=c.channel_combine_mode)
+
+    return Step("channel combine", Stage.PROCESSING, apply)
+
+
+def _color_calibrate(c: Config) -> Step:
+    """Scale red and blue by the fit of the stars in ``meta['color_stars']`` (star_id, sy, sx, rg, bg: the catalog's flux
+    ratios) to their colours here; without stars, or on a mono image, the result stays as it is."""
+
+    def apply(b: Bundle) -> Bundle:
+        from frameflow.operators import geometry as G
+
+        stars = b.meta.get("color_stars")
+        px = b.result if b.result is not None else first_frame(b.frames)
+        if stars is None or px.agg(F.max("ch")).first()[0] != 2:
+            return b
+        keyed = stars.withColumn("frame_id", F.lit(0).cast("bigint"))
+        seen = G.color_aperture_flux(px.withColumn("frame_id", F.lit(0).cast("bigint")), keyed, c.color_calibration_radius).join(keyed.select("star_id", "rg", "bg"), "star_id")
+        fit = G.color_fit(seen.select((F.col("rg") * F.col("g") / F.col("r")).alias("rr"), (F.col("bg") * F.col("g") / F.col("b")).alias("rb"))).first()
+        done = P.per_channel(px, (fit["scale_r"], 1.0, fit["scale_b"]), clip=False)
+        return replace(b, result=done).noting(color_scales=(fit["scale_r"], fit["scale_b"]), color_stars_used=fit["inliers"])
+
+    return Step("color calibration", Stage.PROCESSING, apply)
+
+
+def _denoise(c: Config) -> Callable[[DataFrame], DataFrame]:
+    """In tiles where a size is set, else whole planes."""
+    if not c.denoise_tile_size:
+        return _in_frames(lambda f: K.map_planes(f, "denoise", strength=c.denoise_strength))
+    sizes = lambda px: px.groupBy("frame_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    return lambda px: K.map_tiles(px, sizes(px), "denoise", c.denoise_tile_size, c.denoise_tile_overlap, strength=c.denoise_strength)
+
+
 def _comet(c: Config) -> Step:
     def apply(b: Bundle) -> Bundle:
         l1 = b.frames.select("frame_id", "h", "w", "c", "data")
         size = l1.select("h", "w").first()
         if size is None:
             return b
-        middle = frames_to_pixels(l1).groupBy("y", "x").agg(F.median("v").alias("v")).toPandas()  # one frame's pixels
+        middle = frames_to_pixels(l1).groupBy("y", "x").agg(F.median("v").alias("v")).toPandas()  # one frame's pixels, whatever the number of frames
         ref = np.zeros((size["h"], size["w"]))
         ref[middle["y"], middle["x"]] = middle["v"]
         at = K.track_comet(l1, ref)
@@ -266,6 +516,12 @@ def build(c: Config) -> Pipeline:
     if c.synthetic_flat_enabled:
         p.add(_flat(c))
     p.add(_register(c)).add(_stack(c))
+    if c.drizzle_enabled:
+        p.add(_drizzle(c))
+    if c.mosaic_enabled:
+        p.add(_mosaic(c))
+    if c.channel_combine_enabled:
+        p.add(_combine(c))
     if c.comet_stack_enabled:
         p.add(_comet(c))
     if c.background_removal_enabled:
@@ -273,10 +529,12 @@ def build(c: Config) -> Pipeline:
     p.add(_on_result("stretch", lambda px: P.stf_stretch(px, c.stretch_target_background, c.stretch_shadow_clipping_sigmas, c.stretch_linked_channels)))
     if any(x != y for x, y in c.curve_points):
         p.add(_on_result("curves", lambda px: px.withColumn("v", C.tone_curve(F.col("v"), list(c.curve_points)))))
+    if c.color_calibration_enabled:
+        p.add(_color_calibrate(c))
     if c.adaptive_denoise:
         p.add(_on_result("adaptive denoise", _adaptive))
     elif c.denoise_strength > 0:
-        p.add(_on_result("denoise", _in_frames(lambda f: K.map_planes(f, "denoise", strength=c.denoise_strength))))
+        p.add(_on_result("denoise", _denoise(c)))
     if c.deconvolution_enabled:
         p.add(_on_result("deconvolution", _in_frames(lambda f: K.map_planes(f, "deconvolve", rounds=c.deconvolution_iterations))))
     if c.sharpening_amount > 0:
@@ -285,6 +543,10 @@ def build(c: Config) -> Pipeline:
         p.add(_on_result("saturation", lambda px: P.saturation(px, dict(c.saturation_hues), c.saturation_global)))
     if any(abs(f - 1) > 1e-4 for f in c.white_balance):
         p.add(_on_result("white balance", lambda px: P.per_channel(px, c.white_balance)))
+    if c.channel_balance_auto:
+        p.add(_on_result("channel balance", P.auto_balance))
+    elif any(c.channel_balance):
+        p.add(_on_result("channel balance", lambda px: P.per_channel(px, c.channel_balance, "add")))
     if c.neutralise_enabled:
         p.add(_on_result("background neutralisation", lambda px: P.neutralise(px, c.neutralise_target)))
     if c.asinh_beta > 0:

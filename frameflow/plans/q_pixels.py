@@ -370,3 +370,18 @@ def color_fit_1round(spark, sf):
 
     s = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("1 + (c_custkey * 7 % 101) / 200.0D as rr", "0.8D + (c_custkey * 13 % 97) / 150.0D as rb")
     return color_fit_round(s, 0.9).select(*[r6(c).alias(c) for c in ("scale_r", "scale_b", "rms")], "n", "inliers")
+
+
+FIT_ROUNDS = ", ".join(
+    f"""m{k} AS (SELECT count(*) AS n, median(rr) AS sr, median(rb) AS sb FROM s{k}), t{k} AS (SELECT rr, rb, n, sqrt((rr - sr) ** 2 + (rb - sb) ** 2) AS t FROM s{k}, m{k}), g{k} AS (SELECT stddev_pop(t) AS sd, median(t) AS md FROM t{k}),
+    s{k + 1} AS (SELECT rr, rb FROM t{k}, g{k} WHERE n < 5 OR sd < 1e-6 OR md < 1e-6 OR t < greatest(1.2 * sd, 3 * md))""" for k in range(10)
+)
+
+
+@query("color_fit", f"""WITH s0 AS (SELECT 1 + (c_custkey * 7 % 101) ** 3 / 200000.0::DOUBLE AS rr, 0.8 + (c_custkey * 13 % 97) ** 3 / 150000.0::DOUBLE AS rb FROM customer), {FIT_ROUNDS},
+    f AS (SELECT median(rr) AS sr, median(rb) AS sb FROM s10) SELECT {s6('sr')} AS scale_r, {s6('sb')} AS scale_b, {s6('sqrt(avg((rr - sr) ** 2 + (rb - sb) ** 2))')} AS rms, count(*) AS inliers FROM s10, f GROUP BY sr, sb""")
+def color_fit(spark, sf):
+    from frameflow.operators.geometry import color_fit as fit
+
+    s = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("1 + power(c_custkey * 7 % 101, 3) / 200000.0D as rr", "0.8D + power(c_custkey * 13 % 97, 3) / 150000.0D as rb")
+    return fit(s, 1.2).select(*[r6(c).alias(c) for c in ("scale_r", "scale_b", "rms")], "inliers")

@@ -101,3 +101,59 @@ def test_comet(spark):
     step = [s for s in out.steps if s.name == "comet stack"][0]
     a = plane(step.apply(builder.Bundle(frames=f)).result)[..., 0]
     assert np.unravel_index(a.argmax(), a.shape) == (14, 14)
+
+
+def test_presets_have_every_parameter():
+    assert all(set(p) == set(builder.PRESETS["Planetarisch"]) and len(p) == 24 for p in builder.PRESETS.values())
+    names = [s.name for s in builder.build(builder.configure("Planetarisch")).steps]
+    assert names == ["frame selection", "registration", "stacking", "drizzle", "stretch", "denoise", "deconvolution"]
+
+
+def test_from_files_to_a_written_result(spark, frames, tmp_path):
+    from frameflow.sources import images
+
+    images.export(spark, "fits", str(tmp_path / "in"), frames)
+    paths = sorted(str(p) for p in (tmp_path / "in").glob("*.fits"))
+    assert len(paths) == 5
+    pipe = builder.build(builder.configure(denoise_strength=0.5, denoise_tile_size=20, denoise_tile_overlap=8, channel_balance=(0.01, 0.0, 0.0)))
+    steps = builder.Pipeline([builder.load_frames(spark, paths), *pipe.steps, builder.export_result(spark, "fits", str(tmp_path / "out"))])
+    out = steps.run(builder.Bundle())
+    assert out.meta["loaded_frame_paths"] == paths and out.meta["export_path"] == str(tmp_path / "out")
+    written = images.read_frames(spark, str(tmp_path / "out")).collect()
+    assert len(written) == 1 and np.allclose(np.array(written[0]["data"]).reshape(N, N), plane(out.result)[..., 0], atol=1e-5)
+    with pytest.raises(ValueError):
+        builder.Pipeline([builder.export_result(spark, "fits", str(tmp_path / "no"))]).run(builder.Bundle())
+
+
+def test_drizzle_mosaic_and_combine_steps(spark, frames):
+    from frameflow.functions.sky import Wcs
+
+    cd = (1 / 3600, 0.0, 0.0, 1 / 3600)
+    wcs = {k: Wcs(0.0, 0.0, cd, (N / 2 + k, N / 2), N, N) for k in range(3)}
+    some = frames.where("frame_id < 3")
+    done = builder._drizzle(builder.configure(drizzle_drop_size=1.0)).apply(builder.Bundle(frames=some, meta={"wcs": wcs})).result
+    data = {r["frame_id"]: np.array(r["data"]).reshape(N, N) for r in some.collect()}
+    drops = [0.25 * (d[:-1, :-1] + d[1:, :-1] + d[:-1, 1:] + d[1:, 1:]) for d in (data[k] for k in range(3))]  # a drop meets four cells
+    got = plane(done)[..., 0]
+    assert got.shape == (N, N) and np.allclose(got[1:-2, 1 : N - 4], np.mean([d[1:-1, 1 + k : N - 4 + k] for k, d in enumerate(drops)], 0))
+    twice = builder._drizzle(builder.configure(drizzle_scale=2.0, drizzle_mode="upsample")).apply(builder.Bundle(frames=some)).result
+    assert plane(twice).shape[:2] == (2 * N, 2 * N)
+    panels = builder._mosaic(builder.configure()).apply(builder.Bundle(frames=some, meta={"wcs": {k: Wcs(180 + k * 20 / 3600, 0.0, (-1 / 3600, 0, 0, 1 / 3600), (N / 2, N / 2), N, N) for k in range(2)}}))
+    assert panels.meta["mosaic_panels"] == 2 and plane(panels.result).shape[1] > N
+    mono = {b: frames_to_pixels(frames.where(F.col("frame_id") == k)) for k, b in enumerate(("Ha", "OIII", "SII"))}
+    rgb = plane(builder._combine(builder.configure(channel_combine_mode="narrowband")).apply(builder.Bundle(meta={"channels": mono})).result)
+    assert np.allclose(rgb, np.clip(np.stack([data[2], data[0], data[1]], 2), 0, 1))
+
+
+def test_color_calibration_recovers_the_scales(spark):
+    rng = np.random.default_rng(3)
+    a = np.full((60, 60, 3), 0.01)
+    stars = [(k, float(y), float(x)) for k, (y, x) in enumerate((y, x) for y in (10, 30, 50) for x in (10, 30, 50))]
+    for _, y, x in stars:
+        a[int(y) - 2 : int(y) + 3, int(x) - 2 : int(x) + 3] += rng.uniform(0.2, 0.5)
+    tinted = a * [0.8, 1.0, 1.25]
+    px = frames_to_pixels(spark.createDataFrame([(0, 60, 60, 3, tinted.ravel().tolist())], "frame_id bigint, h int, w int, c int, data array<double>"))
+    table = spark.createDataFrame([(k, y, x, 1.0 if k else 9.0, 1.0) for k, y, x in stars], "star_id int, sy double, sx double, rg double, bg double")
+    out = builder._color_calibrate(builder.configure(color_calibration_radius=4)).apply(builder.Bundle(result=px, meta={"color_stars": table}))
+    assert np.allclose(out.meta["color_scales"], (1 / 0.8, 1 / 1.25)) and out.meta["color_stars_used"] < 10
+    assert np.allclose(plane(out.result), a)
