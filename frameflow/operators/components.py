@@ -12,10 +12,15 @@ _own: dict[str, str] = {}
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Through a table in the folder that all executors share (spark.checkpoint.dir, or one of our own where it is unset)."""
+    """Through a table in spark.checkpoint.dir, which all executors share; a local session has a folder of its own without it."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", tempfile.mkdtemp(prefix="frameflow-"))
-    path = f"{base.rstrip('/')}/frameflow/labels-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own.setdefault("dir", tempfile.mkdtemp(prefix="frameflow-"))
+    path = f"{base.rstrip('/')}/frameflow/{spark.sparkContext.applicationId}/labels-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
