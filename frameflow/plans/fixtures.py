@@ -33,7 +33,7 @@ DARK = "dark AS (SELECT y, x, median(v) AS d FROM px WHERE target = 0 GROUP BY y
 FLAT = "flat AS (SELECT y, x, 1 + 0.1 * avg(v) AS f FROM px WHERE target = 1 GROUP BY y, x)"
 LIGHTS = """lights AS (SELECT o_orderkey AS light_id, CAST(o_orderkey % 6 AS DOUBLE) * 60 AS exposure, CAST(100 * (o_custkey % 4) AS BIGINT) AS gain,
     CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE CAST(-10 + o_orderkey % 7 AS DOUBLE) END AS temperature, 64 AS width, 48 AS height FROM orders)"""
-LIBRARY = """keys AS (SELECT s_suppkey AS k, 0 AS part FROM supplier WHERE s_suppkey < 100 UNION ALL SELECT p_partkey, 1 FROM part WHERE p_partkey < 200),
+LIBRARY = """keys AS (SELECT s_suppkey AS k, 0 AS part FROM supplier UNION ALL SELECT p_partkey, 1 FROM part),
     lib AS (SELECT k * 2 + part AS ord, 60.0 * (k % 6) + 0.0 AS exposure, CAST(100 * (k % 4) AS BIGINT) AS gain, CAST(-10 + k % 9 AS DOUBLE) AS temperature,
     CASE k % 3 WHEN 0 THEN 'dark' WHEN 1 THEN 'flat' ELSE 'bias' END AS frame_type, '/lib/' || CAST(k % 40 AS VARCHAR) || '.fits' AS path,
     CASE WHEN k % 5 = 0 THEN 32 ELSE 64 END AS width, 48 AS height FROM keys)"""
@@ -75,15 +75,7 @@ def lights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def library(spark: SparkSession, sf: str) -> DataFrame:
-    return library_of(table(spark, sf, "supplier").where("s_suppkey < 100"), table(spark, sf, "part").where("p_partkey < 200"))
-
-
-def whole_library(spark: SparkSession, sf: str) -> DataFrame:
-    return library_of(table(spark, sf, "supplier"), table(spark, sf, "part"))
-
-
-def library_of(supplier: DataFrame, part: DataFrame) -> DataFrame:
-    keys = supplier.selectExpr("s_suppkey as k", "0 as part").unionAll(part.selectExpr("p_partkey", "1"))
+    keys = table(spark, sf, "supplier").selectExpr("s_suppkey as k", "0 as part").unionAll(table(spark, sf, "part").selectExpr("p_partkey", "1"))
     return keys.selectExpr(
         "k * 2 + part as ord", "cast(60 * (k % 6) as double) as exposure", "cast(100 * (k % 4) as bigint) as gain", "cast(-10 + k % 9 as double) as temperature",
         "case k % 3 when 0 then 'dark' when 1 then 'flat' else 'bias' end as frame_type", "concat('/lib/', k % 40, '.fits') as path", "case when k % 5 = 0 then 32 else 64 end as width", "48 as height",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from frameflow.functions import curves as C
 from frameflow.operators import pixels as P
 from frameflow.plans.fixtures import DARK, FLAT, PX, RGB, UNIT, dark_master, flat_master, pixels, r6, rgb_pixels, s6, unit_pixels
-from frameflow.plans.registry import query, without
+from frameflow.plans.registry import query
 
 CLIP = "least(greatest({0}, 0.0), 1.0)"
 
@@ -71,18 +71,9 @@ def comet_blend(spark, sf):
     return P.blend(a, b, 0.3, ("target", *P.PLACE)).select("target", "y", "x", r6("v").alias("v"))
 
 
-@query("overlap_medians", f"WITH {PX}, p AS (SELECT frame_id AS f, y, x + CAST(frame_id AS INTEGER) AS x, v FROM px WHERE frame_id < 12) SELECT a.f AS a, b.f AS b, count(*) AS n, {s6('median(a.v) - median(b.v)')} AS offset FROM p a JOIN p b USING (y, x) WHERE a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 10")
+@query("overlap_medians", f"WITH {PX}, p AS (SELECT frame_id AS f, y, x + CAST(frame_id AS INTEGER) AS x, v FROM px) SELECT a.f AS a, b.f AS b, count(*) AS n, {s6('median(a.v) - median(b.v)')} AS offset FROM p a JOIN p b USING (y, x) WHERE a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 10")
 def overlap_medians(spark, sf):
-    return panel_overlaps(pixels(spark, sf).where("frame_id < 12"))
-
-
-@query("overlap_medians_all", without("overlap_medians", " WHERE frame_id < 12"))
-def overlap_medians_all(spark, sf):
-    return panel_overlaps(pixels(spark, sf))
-
-
-def panel_overlaps(px):
-    p = px.withColumn("x", (F.col("x") + F.col("frame_id")).cast("int"))
+    p = pixels(spark, sf).withColumn("x", (F.col("x") + F.col("frame_id")).cast("int"))
     return P.overlap_medians(p).select("a", "b", "n", r6("offset").alias("offset"))
 
 

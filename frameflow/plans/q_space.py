@@ -12,18 +12,14 @@ from frameflow.operators import pixels as P
 from frameflow.operators import stencil as S
 from frameflow.plans.fixtures import PX, SKY, UNIT, pixels, r6, s6, table, unit_pixels
 from frameflow.plans.q_pixels import CLOUD, STARS, clip
-from frameflow.plans.registry import query, without
+from frameflow.plans.registry import query
 
-#: The first frames of the table side by side, 20 tiles of 8 pixels a row, as one wide image.
-MOSAIC = f"{UNIT}, mo AS (SELECT 0 AS frame_id, 0 AS ch, CAST(frame_id // 20 * 8 + y AS INTEGER) AS y, CAST(frame_id % 20 * 8 + x AS INTEGER) AS x, v FROM un WHERE frame_id < 500)"
+#: All frames of the table side by side, 20 tiles of 8 pixels a row, as one wide image.
+MOSAIC = f"{UNIT}, mo AS (SELECT 0 AS frame_id, 0 AS ch, CAST(frame_id // 20 * 8 + y AS INTEGER) AS y, CAST(frame_id % 20 * 8 + x AS INTEGER) AS x, v FROM un)"
 
 
 def mosaic(spark, sf):
-    return side_by_side(unit_pixels(spark, sf).where("frame_id < 500"))
-
-
-def side_by_side(px):
-    return px.select(F.lit(0).alias("frame_id"), "ch", F.expr("cast(frame_id div 20 * 8 + y as int)").alias("y"), F.expr("cast(frame_id % 20 * 8 + x as int)").alias("x"), "v")
+    return unit_pixels(spark, sf).select(F.lit(0).alias("frame_id"), "ch", F.expr("cast(frame_id div 20 * 8 + y as int)").alias("y"), F.expr("cast(frame_id % 20 * 8 + x as int)").alias("x"), "v")
 
 
 def near_sql(name: str, source: str, kernel: list, fill: str | None = None) -> str:
@@ -77,20 +73,11 @@ def integer_shift(spark, sf):
     return S.shifted(px, (F.col("frame_id") % 3).cast("int"), -(F.col("frame_id") % 2).cast("int")).select("frame_id", "y", "x", r6("v").alias("v"))
 
 
-@query("tile_grid", """WITH s AS (SELECT p_partkey AS frame_id, CAST(100 + p_partkey % 300 AS INTEGER) AS h, CAST(40 + p_partkey % 50 AS INTEGER) AS w FROM part WHERE p_partkey < 500),
+@query("tile_grid", """WITH s AS (SELECT p_partkey AS frame_id, CAST(100 + p_partkey % 300 AS INTEGER) AS h, CAST(40 + p_partkey % 50 AS INTEGER) AS w FROM part),
     c AS (SELECT *, greatest(1, CAST(ceil((h - 16) / 48.0) AS INTEGER)) AS ny, greatest(1, CAST(ceil((w - 16) / 48.0) AS INTEGER)) AS nx FROM s), y AS (SELECT *, unnest(range(ny)) AS ty FROM c), t AS (SELECT *, unnest(range(nx)) AS tx FROM y)
     SELECT frame_id, CAST(ty AS INTEGER) AS ty, CAST(tx AS INTEGER) AS tx, CAST(greatest(0, least(ty * 48, h - 64)) AS INTEGER) AS y0, CAST(greatest(0, least(tx * 48, w - 64)) AS INTEGER) AS x0, least(64, h) AS th, least(64, w) AS tw FROM t""")
 def tile_grid(spark, sf):
-    return tiles_of(table(spark, sf, "part").where("p_partkey < 500"))
-
-
-@query("tile_grid_all", without("tile_grid", " WHERE p_partkey < 500"))
-def tile_grid_all(spark, sf):
-    return tiles_of(table(spark, sf, "part"))
-
-
-def tiles_of(part):
-    sizes = part.selectExpr("p_partkey as frame_id", "cast(100 + p_partkey % 300 as int) as h", "cast(40 + p_partkey % 50 as int) as w")
+    sizes = table(spark, sf, "part").selectExpr("p_partkey as frame_id", "cast(100 + p_partkey % 300 as int) as h", "cast(40 + p_partkey % 50 as int) as w")
     return grid_of(sizes, 64, 16).select("frame_id", "ty", "tx", "y0", "x0", "th", "tw")
 
 
@@ -131,34 +118,20 @@ def polygon_area(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), r6(C.shoelace(pts)).alias("area"))
 
 
-@query("aperture_flux", f"""WITH {MOSAIC}, s AS (SELECT CAST(p_partkey AS BIGINT) AS star_id, 3.0 + (p_partkey * 7) % 190 AS sy, 2.5 + (p_partkey * 13) % 150 AS sx FROM part WHERE p_partkey < 60),
-    m AS (SELECT star_id, v, sqrt((y - sy) ** 2 + (x - sx) ** 2) AS d FROM mo, s WHERE sqrt((y - sy) ** 2 + (x - sx) ** 2) <= 7.5), a AS (SELECT star_id, coalesce(median(v) FILTER (d >= 4.5), 0.0) AS bg, sum(v) FILTER (d <= 3) AS t, count(*) FILTER (d <= 3) AS n FROM m GROUP BY 1)
-    SELECT star_id, {s6('bg')} AS bg, n, {s6('greatest(t - n * bg, 1e-10)')} AS flux FROM a""")
-def aperture_flux(spark, sf):
-    stars = table(spark, sf, "part").where("p_partkey < 60").selectExpr("0 as frame_id", "p_partkey as star_id", "3.0D + (p_partkey * 7) % 190 as sy", "2.5D + (p_partkey * 13) % 150 as sx")
-    return G.aperture_flux(mosaic(spark, sf), stars, 3.0).select("star_id", r6("bg").alias("bg"), "n", r6("flux").alias("flux"))
-
-
 #: Every part is a star, and stars are spread over the whole height of the mosaic of all frames.
-@query("aperture_flux_all", f"""WITH {MOSAIC.replace(" WHERE frame_id < 500", "")}, e AS (SELECT (max(vec_id) // 20 + 1) * 8 AS h FROM embeddings), s AS (SELECT CAST(p_partkey AS BIGINT) AS star_id, 3.0 + (p_partkey * 7) % (h - 6) AS sy, 2.5 + (p_partkey * 13) % 150 AS sx FROM part, e),
+@query("aperture_flux", f"""WITH {MOSAIC}, e AS (SELECT (max(vec_id) // 20 + 1) * 8 AS h FROM embeddings), s AS (SELECT CAST(p_partkey AS BIGINT) AS star_id, 3.0 + (p_partkey * 7) % (h - 6) AS sy, 2.5 + (p_partkey * 13) % 150 AS sx FROM part, e),
     m AS (SELECT star_id, v, sqrt((y - sy) ** 2 + (x - sx) ** 2) AS d FROM s JOIN mo ON y >= sy - 7.5 AND y <= sy + 7.5 AND x >= sx - 7.5 AND x <= sx + 7.5 WHERE sqrt((y - sy) ** 2 + (x - sx) ** 2) <= 7.5), a AS (SELECT star_id, coalesce(median(v) FILTER (d >= 4.5), 0.0) AS bg, sum(v) FILTER (d <= 3) AS t, count(*) FILTER (d <= 3) AS n FROM m GROUP BY 1)
     SELECT star_id, {s6('bg')} AS bg, n, {s6('greatest(t - n * bg, 1e-10)')} AS flux FROM a""")
-def aperture_flux_all(spark, sf):
+def aperture_flux(spark, sf):
     height = table(spark, sf, "embeddings").agg(((F.floor(F.max("vec_id") / 20) + 1) * 8).alias("h"))
     stars = table(spark, sf, "part").crossJoin(F.broadcast(height)).selectExpr("0 as frame_id", "p_partkey as star_id", "3.0D + (p_partkey * 7) % (h - 6) as sy", "2.5D + (p_partkey * 13) % 150 as sx")
-    return G.aperture_flux(side_by_side(unit_pixels(spark, sf)), stars, 3.0).select("star_id", r6("bg").alias("bg"), "n", r6("flux").alias("flux"))
+    return G.aperture_flux(mosaic(spark, sf), stars, 3.0).select("star_id", r6("bg").alias("bg"), "n", r6("flux").alias("flux"))
 
 
-@query("idw_grid", f"""WITH s AS (SELECT p_partkey % 4 AS frame_id, (p_partkey * 7) % 60 AS sy, (p_partkey * 13) % 60 AS sx, 2.0 + p_partkey % 9 AS value FROM part WHERE p_partkey < 80), g AS (SELECT f.frame_id, gy, gx FROM (SELECT DISTINCT frame_id FROM s) f, (SELECT unnest(range(0, 60, 8)) AS gy), (SELECT unnest(range(0, 60, 8)) AS gx))
+#: Every part is a sample, with 20 samples a frame, so that frames grow with the table.
+@query("idw_grid", f"""WITH s AS (SELECT p_partkey // 20 AS frame_id, (p_partkey * 7) % 60 AS sy, (p_partkey * 13) % 60 AS sx, 2.0 + p_partkey % 9 AS value FROM part), g AS (SELECT f.frame_id, gy, gx FROM (SELECT DISTINCT frame_id FROM s) f, (SELECT unnest(range(0, 60, 8)) AS gy), (SELECT unnest(range(0, 60, 8)) AS gx))
     SELECT g.frame_id, CAST(gy AS INTEGER) AS gy, CAST(gx AS INTEGER) AS gx, {s6('sum(value / ((gy - sy) ** 2 + (gx - sx) ** 2 + 4)) / sum(1 / ((gy - sy) ** 2 + (gx - sx) ** 2 + 4))')} AS value FROM g JOIN s ON g.frame_id = s.frame_id GROUP BY 1, 2, 3""")
 def idw_grid(spark, sf):
-    stars = table(spark, sf, "part").where("p_partkey < 80").selectExpr("p_partkey % 4 as frame_id", "(p_partkey * 7) % 60 as sy", "(p_partkey * 13) % 60 as sx", "2.0D + p_partkey % 9 as value")
-    return G.idw_grid(stars, 60, 60, 8).select("frame_id", "gy", "gx", r6("value").alias("value"))
-
-
-#: Every part is a sample, with 20 samples a frame, so that frames grow with the table.
-@query("idw_grid_all", without("idw_grid", " WHERE p_partkey < 80").replace("p_partkey % 4 AS frame_id", "p_partkey // 20 AS frame_id"))
-def idw_grid_all(spark, sf):
     stars = table(spark, sf, "part").selectExpr("p_partkey div 20 as frame_id", "(p_partkey * 7) % 60 as sy", "(p_partkey * 13) % 60 as sx", "2.0D + p_partkey % 9 as value")
     return G.idw_grid(stars, 60, 60, 8).select("frame_id", "gy", "gx", r6("value").alias("value"))
 
@@ -258,20 +231,11 @@ def star_shift(spark, sf):
     return M.star_shift(t, pt).select("frame_id", "n", r6("dy").alias("dy"), r6("dx").alias("dx"))
 
 
-@query("mutual_nn_descriptors", """WITH d AS (SELECT label % 5 AS pair, vec_id, embedding::DOUBLE[] AS e, vec_id % 2 AS side FROM embeddings WHERE vec_id < 400),
+@query("mutual_nn_descriptors", """WITH d AS (SELECT label % 5 AS pair, vec_id, embedding::DOUBLE[] AS e, vec_id % 2 AS side FROM embeddings),
     s AS (SELECT a.pair, a.vec_id AS a_id, b.vec_id AS b_id, list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) AS sim FROM d a JOIN d b ON a.pair = b.pair AND a.side = 0 AND b.side = 1),
     r AS (SELECT *, row_number() OVER (PARTITION BY pair, a_id ORDER BY sim DESC, b_id) AS ra, row_number() OVER (PARTITION BY pair, b_id ORDER BY sim DESC, a_id) AS rb FROM s) SELECT pair, a_id, b_id, (round(sim, 6) + 0.0) AS sim FROM r WHERE ra = 1 AND rb = 1""")
 def mutual_nn_descriptors(spark, sf):
-    return mutual_descriptors(table(spark, sf, "embeddings").where("vec_id < 400"))
-
-
-@query("mutual_nn_descriptors_all", without("mutual_nn_descriptors", " WHERE vec_id < 400"))
-def mutual_nn_descriptors_all(spark, sf):
-    return mutual_descriptors(table(spark, sf, "embeddings"))
-
-
-def mutual_descriptors(vectors):
-    d = vectors.selectExpr("label % 5 as pair", "vec_id as id", "embedding as d")
+    d = table(spark, sf, "embeddings").selectExpr("label % 5 as pair", "vec_id as id", "embedding as d")
     return M.mutual_nearest(d.where("id % 2 = 0"), d.where("id % 2 = 1"), ["pair"]).select("pair", "a_id", "b_id", r6("sim").alias("sim"))
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from frameflow.functions import sky, text
 from frameflow.operators import tables as T
-from frameflow.plans.fixtures import ENTRIES, LIBRARY, LIGHTS, SKY, entries, library, lights, r6, s6, table, whole_library
+from frameflow.plans.fixtures import ENTRIES, LIBRARY, LIGHTS, SKY, entries, library, lights, r6, s6, table
 from frameflow.plans.fixtures import sky as sky_table
-from frameflow.plans.registry import query, without
+from frameflow.plans.registry import query
 
 HEADERS = """hdr AS (SELECT event_id, map_from_entries(list_filter([
     {k: 'NAXIS', v: CAST(event_id % 4 AS VARCHAR)}, {k: 'NAXIS1', v: CAST(user_id + 10 AS VARCHAR)}, {k: 'NAXIS2', v: '48'}, {k: 'NAXIS3', v: '3'},
@@ -124,24 +124,11 @@ def selection_toggle(spark, sf):
     return T.toggle(entries(spark, sf), "invert").select("idx", "selected")
 
 
-#: The id subsets in LIBRARY, which the queries over whole tables leave out.
-LIBRARY_IDS = (" WHERE s_suppkey < 100", " WHERE p_partkey < 200")
-
-
 @query("validate_project", f"""WITH {ENTRIES}, {LIBRARY}, gone AS (SELECT idx, split_part(path, '/', 4) AS b FROM entries WHERE selected AND idx % 50 = 1), top AS (SELECT string_agg(b, ', ' ORDER BY idx) AS names FROM (SELECT * FROM gone ORDER BY idx LIMIT 3))
     SELECT 'warning' AS level, 'MISSING_LIGHT_FILES' AS code, n, names || CASE WHEN n > 3 THEN ' (+' || CAST(n - 3 AS VARCHAR) || ')' ELSE '' END AS detail FROM (SELECT count(*) AS n FROM gone), top WHERE n > 0
     UNION ALL SELECT 'warning', 'MISSING_' || upper(frame_type) || '_FILES', count(*), split_part(arg_min(path, ord), '/', 3) FROM lib WHERE ord % 10 = 3 GROUP BY frame_type""")
 def validate_project(spark, sf):
-    return issues(entries(spark, sf), library(spark, sf))
-
-
-@query("validate_project_all", without("validate_project", *LIBRARY_IDS))
-def validate_project_all(spark, sf):
-    return issues(entries(spark, sf), whole_library(spark, sf))
-
-
-def issues(e, library):
-    lib = library.where("ord % 10 = 3").selectExpr("frame_type as kind", "path", "ord")
+    e, lib = entries(spark, sf), library(spark, sf).where("ord % 10 = 3").selectExpr("frame_type as kind", "path", "ord")
     return T.validate(e, e.where("idx % 50 <> 1"), lib)
 
 
@@ -170,16 +157,7 @@ BEST = f"""best AS (SELECT * FROM (SELECT a.light_id, b.ord, b.path, b.frame_typ
 
 @query("calibration_best_match", f"""WITH {LIGHTS}, {LIBRARY}, {BEST} SELECT light_id, ord, path, {s6('CAST(score AS DOUBLE)')} AS score FROM best QUALIFY row_number() OVER (PARTITION BY light_id ORDER BY score DESC, ord) = 1""")
 def calibration_best_match(spark, sf):
-    return best_matches(lights(spark, sf), library(spark, sf))
-
-
-@query("calibration_best_match_all", without("calibration_best_match", *LIBRARY_IDS))
-def calibration_best_match_all(spark, sf):
-    return best_matches(lights(spark, sf), whole_library(spark, sf))
-
-
-def best_matches(lights, library):
-    return T.best_match(lights, library).select("light_id", "ord", "path", r6("score").alias("score"))
+    return T.best_match(lights(spark, sf), library(spark, sf)).select("light_id", "ord", "path", r6("score").alias("score"))
 
 
 MATCHES = f"""{LIGHTS}, {LIBRARY}, {BEST}, one AS (SELECT light_id, frame_type, path FROM best QUALIFY row_number() OVER (PARTITION BY light_id, frame_type ORDER BY score DESC, ord) = 1),
@@ -189,16 +167,7 @@ MATCHES = f"""{LIGHTS}, {LIBRARY}, {BEST}, one AS (SELECT light_id, frame_type,
 @query("calibration_coverage", f"""WITH {MATCHES} SELECT count(*) AS n, {s6('avg(CAST(dark IS NOT NULL AS DOUBLE))')} AS dark_coverage, {s6('avg(CAST(flat IS NOT NULL AS DOUBLE))')} AS flat_coverage,
     {s6('avg(CAST(dark IS NOT NULL AND flat IS NOT NULL AS DOUBLE))')} AS coverage FROM matches""")
 def calibration_coverage(spark, sf):
-    return coverage_of(T.batch_match(lights(spark, sf), library(spark, sf)))
-
-
-@query("calibration_coverage_all", without("calibration_coverage", *LIBRARY_IDS))
-def calibration_coverage_all(spark, sf):
-    return coverage_of(T.batch_match(lights(spark, sf), whole_library(spark, sf)))
-
-
-def coverage_of(matches):
-    c = T.coverage(matches)
+    c = T.coverage(T.batch_match(lights(spark, sf), library(spark, sf)))
     return c.select("n", *[r6(k).alias(k) for k in ("dark_coverage", "flat_coverage", "coverage")])
 
 
@@ -208,11 +177,6 @@ def calibration_config(spark, sf):
     return T.suggested_paths(T.batch_match(lights(spark, sf), library(spark, sf)))
 
 
-@query("calibration_config_all", without("calibration_config", *LIBRARY_IDS))
-def calibration_config_all(spark, sf):
-    return T.suggested_paths(T.batch_match(lights(spark, sf), whole_library(spark, sf)))
-
-
 @query("license_lookup", """SELECT o_orderkey AS machine, c_custkey AS license, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 def license_lookup(spark, sf):
     o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
@@ -287,14 +251,8 @@ def step_states(spark, sf):
     return T.step_states(log).selectExpr("ord as event_id", "active")
 
 
-@query("frame_sort", f"WITH {ENTRIES} SELECT idx, row_number() OVER (ORDER BY coalesce(quality, -1) DESC, idx) AS pos FROM entries QUALIFY pos <= 100")
+@query("frame_sort", f"WITH {ENTRIES} SELECT idx, row_number() OVER (ORDER BY coalesce(quality, -1) DESC, idx) AS pos FROM entries")
 def frame_sort(spark, sf):
-    top = T.frame_sort(entries(spark, sf), "quality", descending=True).limit(100)
-    return top.select("idx", F.row_number().over(T.Window.orderBy(F.coalesce("quality", F.lit(-1.0)).desc(), "idx")).cast("bigint").alias("pos"))
-
-
-@query("frame_sort_all", without("frame_sort", " QUALIFY pos <= 100"))
-def frame_sort_all(spark, sf):
     return T.frame_ranks(entries(spark, sf), "quality", descending=True).select("idx", "pos")
 
 

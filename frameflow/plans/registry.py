@@ -16,13 +16,3 @@ def query(key: str, sql: str | None = None):
         return f
 
     return add
-
-
-def without(key: str, *cuts: str) -> str:
-    """The DuckDB text of a query, less the given id subsets: the counterpart of the same query over whole tables."""
-    sql = ORACLE[key]
-    for cut in cuts:
-        if cut not in sql:
-            raise ValueError(f"{key} has no {cut!r}")
-        sql = sql.replace(cut, "")
-    return sql

@@ -10,8 +10,8 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_descriptors_and_panels_are_compared(spark):
     q = catalog.queries()
-    assert q["mutual_nn_descriptors_all"](spark, SF).where("a_id >= 400 or b_id >= 400").count() > 0
-    panels = q["overlap_medians_all"](spark, SF).agg({"b": "max"}).first()[0]
+    assert q["mutual_nn_descriptors"](spark, SF).where("a_id >= 400 or b_id >= 400").count() > 0
+    panels = q["overlap_medians"](spark, SF).agg({"b": "max"}).first()[0]
     assert panels == spark.read.parquet(f"{SF}/embeddings.parquet").agg({"vec_id": "max"}).first()[0]
 
 
@@ -36,24 +36,24 @@ def test_mutual_nearest_in_blocks(spark):
 
 
 def test_every_part_is_measured(spark):
-    """At sf0.01 the parts go beyond the ids of the older queries."""
+    """Stars, samples and frames of all parts."""
     sf, q = "/root/testdata/sf0.01", catalog.queries()
     parts = spark.read.parquet(f"{sf}/part.parquet")
     n, last = parts.count(), parts.agg({"p_partkey": "max"}).first()[0]
-    assert q["aperture_flux_all"](spark, sf).select("star_id").distinct().count() == n
-    assert q["tile_grid_all"](spark, sf).select("frame_id").distinct().count() == n
-    assert q["idw_grid_all"](spark, sf).agg({"frame_id": "max"}).first()[0] == last // 20
+    assert q["aperture_flux"](spark, sf).select("star_id").distinct().count() == n
+    assert q["tile_grid"](spark, sf).select("frame_id").distinct().count() == n
+    assert q["idw_grid"](spark, sf).agg({"frame_id": "max"}).first()[0] == last // 20
 
 
 def test_library_beyond_the_first_ids_is_matched(spark):
-    """At sf0.1 suppliers and parts go beyond the ids of the older queries; validation reads all of them."""
+    """The library holds all suppliers and parts, and validation reads all of them."""
     from frameflow.plans import fixtures
 
     sf = "/root/testdata/sf0.1"
     suppliers, parts = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("supplier", "part"))
-    whole = fixtures.whole_library(spark, sf)
-    assert whole.count() == suppliers + parts > fixtures.library(spark, sf).count()
-    got = {r["code"]: r["n"] for r in catalog.queries()["validate_project_all"](spark, sf).collect()}
+    whole = fixtures.library(spark, sf)
+    assert whole.count() == suppliers + parts
+    got = {r["code"]: r["n"] for r in catalog.queries()["validate_project"](spark, sf).collect()}
     want = {f"MISSING_{r['frame_type'].upper()}_FILES": r["count"] for r in whole.where("ord % 10 = 3").groupBy("frame_type").count().collect()}
     assert {k: got[k] for k in want} == want
 
@@ -68,7 +68,7 @@ def test_equal_library_settings_match_their_smallest_ord(spark):
 
 
 def test_every_entry_has_its_position(spark):
-    got = catalog.queries()["frame_sort_all"](spark, SF)
+    got = catalog.queries()["frame_sort"](spark, SF)
     n = spark.read.parquet(f"{SF}/events.parquet").count()
     assert n > 100 and sorted(r["pos"] for r in got.collect()) == list(range(1, n + 1))
 
