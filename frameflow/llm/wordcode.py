@@ -41,9 +41,10 @@ class WordEncoder(dict):
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers (bytes).
 
     The dictionary holds the ids of the parts seen so far. A key is a word that follows a space; a newline with its word;
-    or, after a mark, any other part as it stands: a text's first word, a word's marks, a word after more white space."""
+    or, after a mark, any other part as it stands: a text's first word, a word's marks, a word after more white space.
+    Past ``limit`` parts it starts anew, and what is met again comes over from the parts before; so memory is bounded."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 250_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tokenizers
@@ -57,9 +58,11 @@ class WordEncoder(dict):
         self.added_start = re.match(r"[^\w]*", os.path.commonprefix(added))[0]  # a quick look for it rules out nearly all texts
         self.drops_spaces = kind.get("normalizer") is not None  # the lower-casing vocabulary drops white space
         self.limit = limit
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self) > self.limit:
+            self.older = dict(self)
             self.clear()
         return [self._text(t) if t else b"" for t in texts]
 
@@ -97,6 +100,9 @@ class WordEncoder(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, key: bytes) -> bytes:
+        if (ids := self.older.get(key)) is not None:
+            self[key] = ids
+            return ids
         head = key.rstrip(_MARKS)
         if len(head) < len(key) and head and head[-1] in _LETTERS:
             ids = self[head] + self[_FIRST + key[len(head) :]]

@@ -22,3 +22,16 @@ def test_added_tokens_encode_as_the_library_does(path, texts):
 
 def test_end_of_text_is_one_id():
     assert np.frombuffer(FRESH[PATHS[0]][1].encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_ids_don_t_depend_on_what_is_remembered():
+    import public_tokenizers
+
+    from frameflow.llm.wordcode import WordEncoder
+
+    texts = [" ".join(f"w{(k * j) % 211} zeta{j % 7}, É{k % 5}" for j in range(40)) for k in range(300)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        small, whole = WordEncoder(public_tokenizers.path(name), limit=20), WordEncoder(public_tokenizers.path(name))
+        for k in range(0, 300, 10):
+            assert small.encode(texts[k : k + 10]) == whole.encode(texts[k : k + 10])
+        assert len(small) + len(small.older) < len(whole) * 2 and small.older
