@@ -21,6 +21,7 @@ from frameflow.llm.wordcode import encoder
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 ROWS = 128
+REMEMBERED = 250_000  # parts of texts, twice at most, that a worker keeps
 
 
 class HarmonicBins:
@@ -77,7 +78,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        code, bins, number = encoder(tokenizer), HarmonicBins(capacity, slack), (ctx.partitionId() if ctx else 0) << 33
+        code, bins, number = encoder(tokenizer, REMEMBERED), HarmonicBins(capacity, slack), (ctx.partitionId() if ctx else 0) << 33
 
         def table(sequences: list[list]):
             nonlocal number

@@ -44,7 +44,7 @@ class WordEncoder(dict):
     or, after a mark, any other part as it stands: a text's first word, a word's marks, a word after more white space.
     Past ``limit`` parts it starts anew, and what is met again comes over from the parts before; so memory is bounded."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 500_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tokenizers
@@ -134,11 +134,11 @@ class WordEncoder(dict):
         return space + word.decode("latin-1").translate(_CHARACTERS)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder a worker process and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, limit: int = 500_000) -> WordEncoder:
+    """One encoder a worker process, vocabulary and limit."""
+    if (path, limit) not in _encoders:
+        _encoders[path, limit] = WordEncoder(path, limit)
+    return _encoders[path, limit]
