@@ -11,11 +11,14 @@ from frameflow.llm.langid import language
 from frameflow.llm.line_dedup import dedup_lines
 from frameflow.llm.lm import score as lm_score
 from frameflow.llm.packing import pack
+from frameflow.llm.pit import features_at
 from frameflow.llm.quality import quality
 from frameflow.llm.sharding import shard_by_bytes
 from frameflow.llm.simhash import near_duplicates
+from frameflow.llm.token_counts import token_counts
 from frameflow.llm.token_output import token_round_trip
 from frameflow.llm.topk import top_k
+from frameflow.llm.trie import conversation_trie
 
 N_SHARDS = 16
 
@@ -84,6 +87,21 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_pit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, t, version_id, age, status, n_chars, lang for each label."""
+    return features_at(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), fresh=60)
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 for each node."""
+    return conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit."""
+    return token_counts(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_codes": op2_token_codes,
@@ -95,6 +113,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_langid": op9_langid,
     "op10_decontam": op10_decontam,
+    "op11_pit": op11_pit,
+    "op12_trie": op12_trie,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL = {
@@ -140,4 +161,57 @@ ORACLE_SQL = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM dw d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)""",
+    "op11_pit": r"""
+        WITH d AS (
+            SELECT doc_id, source, n_chars, lang, event, event - 60 + CAST('0x' || substr(h, 9, 8) AS BIGINT) % 300 AS arrival, event + CAST('0x' || substr(h, 17, 8) AS BIGINT) % 900 AS expiry
+            FROM (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 20000 AS event FROM (SELECT *, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents))
+        ), ask AS (
+            SELECT row_number() OVER () AS n, l.doc_id, CAST('0x' || substr(sha256(CAST(l.doc_id AS VARCHAR)), 25, 8) AS BIGINT) % 20000 AS t, s.source
+            FROM labels l LEFT JOIN (SELECT doc_id, min(source) AS source FROM documents GROUP BY doc_id) s ON l.doc_id = s.doc_id
+        ), won AS (
+            SELECT ask.n, ask.doc_id, t, d.doc_id AS version_id, t - event AS age, n_chars, lang
+            FROM ask LEFT JOIN d ON ask.source = d.source AND event <= t AND arrival <= t AND t < expiry
+            QUALIFY row_number() OVER (PARTITION BY ask.n ORDER BY event DESC NULLS LAST, arrival, d.doc_id DESC) = 1
+        )
+        SELECT doc_id, t, version_id, age, CASE WHEN age IS NULL THEN 'none' WHEN age > 60 THEN 'stale' ELSE 'fresh' END AS status,
+               CASE WHEN age <= 60 THEN n_chars END AS n_chars, CASE WHEN age <= 60 THEN lang END AS lang
+        FROM won""",
+    "op12_trie": r"""
+        WITH own AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), conv AS (
+            SELECT c, c - c % 20 AS base, CAST(xor(4294967295, list_reduce(list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(c AS VARCHAR), CAST(i AS INT), 1)) AS BIGINT)),
+                lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)), lambda a, i: xor(a >> 1, 3988292384 * (a & 1))), CAST(4294967295 AS BIGINT))) AS BIGINT) % 4 AS h
+            FROM (SELECT DISTINCT c FROM own)
+        ), heads AS (
+            SELECT conv.c, pos, role, text FROM conv JOIN own ON own.c = base AND pos <= h
+        ), taken AS (
+            SELECT conv.c, h, count(heads.c) AS n FROM conv LEFT JOIN heads ON conv.c = heads.c GROUP BY ALL
+        ), turns AS (
+            SELECT * FROM heads UNION ALL SELECT own.c, pos - h + n, role, text FROM own JOIN taken ON own.c = taken.c WHERE pos > h
+        ), marked AS (
+            SELECT c, pos, text, md5(length(role) || ':' || role || text) AS d FROM turns
+        ), path AS (
+            SELECT c, pos AS depth, text, md5(string_agg(d, '' ORDER BY pos) OVER (PARTITION BY c ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS node FROM marked
+            UNION ALL SELECT c, 0, '', '' FROM conv
+        ), ended AS (
+            SELECT c, arg_max(node, depth) AS node FROM path GROUP BY c
+        ), ends AS (
+            SELECT node, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS told FROM ended GROUP BY node
+        ), up AS (
+            SELECT c, depth, text, node, lag(node) OVER (PARTITION BY c ORDER BY depth) AS parent FROM path
+        ), node AS (
+            SELECT node, any_value(depth) AS depth, any_value(parent) AS parent, min(c) AS c, count(*) AS n,
+                   (count(*) - 1) * len(list_filter(regexp_split_to_array(any_value(text), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS own
+            FROM up GROUP BY node
+        ), kids AS (
+            SELECT parent, count(*) AS kids FROM node WHERE parent IS NOT NULL GROUP BY parent
+        ), below AS (
+            SELECT path.node, sum(CASE WHEN kids.kids IS NULL THEN 1 ELSE 0 END) AS leaves, sum(node.own) AS saved
+            FROM node JOIN path ON path.c = node.c AND path.depth <= node.depth LEFT JOIN kids ON kids.parent = node.node GROUP BY path.node
+        )
+        SELECT node.c AS conv_id, node.depth AS depth, above.c AS parent_conv_id, node.n AS n_convs, coalesce(kids, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+               CAST(saved AS BIGINT) AS saved_tokens, coalesce(told, sha256('')) AS ends_sha256
+        FROM node LEFT JOIN node above ON above.node = node.parent LEFT JOIN kids ON kids.parent = node.node JOIN below ON below.node = node.node LEFT JOIN ends ON ends.node = node.node""",
 }

@@ -24,6 +24,8 @@ _PLAIN_PART = re.compile(rf"[ \n][^{_WHITE}]+")
 _MARKS = b".,;:!?#$%&*|"
 _LETTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _FIRST = b"\0"
+LONGEST = 64  # bytes of a part that is remembered
+ENTRY = 120  # bytes that an entry takes besides its key and ids
 _LATIN = 0x250  # letters below stay themselves under normalisation; only U+0130 has a longer lower case
 
 
@@ -42,9 +44,10 @@ class WordEncoder(dict):
 
     The dictionary holds the ids of the parts seen so far. A key is a word that follows a space; a newline with its word;
     or, after a mark, any other part as it stands: a text's first word, a word's marks, a word after more white space.
-    Past ``limit`` parts it starts anew, and what is met again comes over from the parts before; so memory is bounded."""
+    Past ``limit`` bytes it starts anew, and what is met again comes over from the parts before; parts of more than
+    ``LONGEST`` bytes are never kept. So memory is bounded by twice the limit, whatever the texts hold."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 72 << 20):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tokenizers
@@ -57,28 +60,32 @@ class WordEncoder(dict):
         self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None  # any case: it may be matched after normalising
         self.added_start = re.match(r"[^\w]*", os.path.commonprefix(added))[0]  # a quick look for it rules out nearly all texts
         self.drops_spaces = kind.get("normalizer") is not None  # the lower-casing vocabulary drops white space
-        self.limit = limit
+        self.limit, self.held = limit, 0
         self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self) > self.limit:
-            self.older = dict(self)
-            self.clear()
         return [self._text(t) if t else b"" for t in texts]
 
     def _text(self, text: str) -> bytes:
-        data = text.encode("utf-8", "surrogatepass")
+        if self.held > self.limit:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        keys = self.keys_of(text, text.encode("utf-8", "surrogatepass"))
+        return self.whole(text) if keys is None else b"".join(map(self.__getitem__, keys))
+
+    def keys_of(self, text: str, data: bytes) -> list[bytes] | None:
+        """A text's parts in order, ``data`` being its UTF-8; None if it has to go to the library whole."""
         if _FIRST in data or self.added and self.added_start in text and self.added.search(text):
-            return self._whole(text)
+            return None
         if self.drops_spaces:
             if b"\xcc" in data or b"\xcd" in data:  # the first bytes of U+0300 to U+037F in UTF-8
-                return self._whole(text)
-            return b"".join(map(self.__getitem__, data.lower().replace(b"\n", b" ").split(b" ")))
+                return None
+            return data.lower().replace(b"\n", b" ").split(b" ")
         if not self._plain(text, data):
-            return b"".join(map(self.__getitem__, self._parts(text)))
+            return self._parts(text)
         keys = data.replace(b"\n", b" \n").split(b" ")
         keys[0] = _FIRST + keys[0]
-        return b"".join(map(self.__getitem__, keys))
+        return keys
 
     @staticmethod
     def _plain(text: str, data: bytes) -> bool:
@@ -96,21 +103,25 @@ class WordEncoder(dict):
             parts.append(_FIRST + b if not _PLAIN_PART.fullmatch(p) else b if p[0] == "\n" else b[1:])
         return parts
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, key: bytes) -> bytes:
-        if (ids := self.older.get(key)) is not None:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.ids(key)
+        if len(key) <= LONGEST:
             self[key] = ids
-            return ids
+            self.held += len(key) + len(ids) + ENTRY
+        return ids
+
+    def ids(self, key: bytes) -> bytes:
+        """A part's ids from the library."""
         head = key.rstrip(_MARKS)
         if len(head) < len(key) and head and head[-1] in _LETTERS:
-            ids = self[head] + self[_FIRST + key[len(head) :]]
-        else:
-            word = self._word(key)
-            ids = self._whole(self._literal(key)) if word is None else array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        self[key] = ids
-        return ids
+            return self[head] + self[_FIRST + key[len(head) :]]
+        word = self._word(key)
+        return self.whole(self._literal(key)) if word is None else array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _literal(self, key: bytes) -> str:
         """The text that a key stands for."""
@@ -137,8 +148,9 @@ class WordEncoder(dict):
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str, limit: int = 500_000) -> WordEncoder:
-    """One encoder a worker process, vocabulary and limit."""
+def encoder(path: str, limit: int = 72 << 20) -> WordEncoder:
+    """A worker process's encoder for this vocabulary and limit; a former one goes, with what it remembered."""
     if (path, limit) not in _encoders:
+        _encoders.clear()
         _encoders[path, limit] = WordEncoder(path, limit)
     return _encoders[path, limit]
