@@ -1,21 +1,22 @@
-"""Near copies by the exact similarity of word shingles, with candidates from bands of minima.
+"""Near copies by the exact similarity of word shingles, with candidates from SimHash groups and bands of minima.
 
-Fingerprints of 64 bits can't give this: at a similarity of 0.8 two of them differ in some ten bits, a radius at which a
-vantage-point tree's triangle bounds rule nothing out. So this operator stands beside the trees of ``simhash``.
+Fingerprints of 64 bits alone can't give this: at a similarity of 0.8 two of them differ in some ten bits, a radius at
+which a vantage-point tree's triangle bounds rule nothing out. So the groups that the trees of ``simhash`` find (3 bits)
+are candidates here, as are bands of minima.
 
 1. One pass turns each text into its set of hashed shingles, of which it keeps a 128-bit digest and 20 bands of 5 minima
-   (of 100 hash functions). Texts with equal sets become one. Two sets with similarity 0.8 share no band in 0.04 % of
-   all cases; more alike ones in fewer.
+   (of 100 hash functions). A text's SimHash group is one more band. Texts with equal sets become one. Two sets with
+   similarity 0.8 share no band in 0.04 % of all cases; more alike ones in fewer.
 2. Sets that share a band are candidates. Their whole shingle sets are compared, and only pairs with a Jaccard
-   similarity of ``least`` or more are links; so nothing is a copy because its minima or bands say so.
-3. The smallest id of a band is its hub. A set is first compared with the smallest of its bands' hubs, and with their
-   other hubs only if that is no link. What is linked to a smaller id is settled in all bands, so a large group of copies
-   costs few comparisons a member. (A copy that is similar to settled ones only isn't joined to their group.)
-4. What isn't settled is compared with all others of its bands, in blocks: a wide band is dealt into blocks of about
-   ``BLOCK`` sets, and each two blocks meet once, where a matrix product counts what their sets share. Pairs are never
-   rows: a set goes to as many places as its band has blocks, and two blocks return at most a link for each member, to
-   the smallest one it hangs together with. No comparison is capped, so no two documents that both stay and share a band
-   are similar.
+   similarity of ``least`` or more are links; so nothing is a copy because its minima, bands or fingerprint say so.
+3. The smallest id of a band is its hub. A set is first compared with the smallest of its bands' hubs, then with each
+   other hub that isn't known to be in its group by then. So a large group of copies costs few comparisons a member.
+4. The others of a band are compared in blocks. Members of the band's largest group aren't compared with each other, but
+   with all others, and those with each other; a band with one group is left out. A wide band is dealt into blocks of
+   about ``BLOCK`` sets, and each two blocks meet once, where a matrix product counts what their sets share. Pairs are
+   never rows: a set goes to as many places as it meets blocks, and two blocks return at most a link for each member, to
+   the smallest one it hangs together with. So any two sets that share a band are compared, or are in one group already;
+   no comparison is capped.
 5. Groups are the connected components of the links.
 
 Defined results: a text with fewer words than a shingle is one shingle of all its words; null, empty and blank texts are
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from frameflow.llm.common import materialise
 from frameflow.llm.graph import connected_components
-from frameflow.llm.simhash import Groups, _hashes
+from frameflow.llm.simhash import Groups, _hashes, near_duplicates
 
 BANDS, ROWS = 20, 5
 MEMBERS = 64  # pairs that share one copy of a hub's set
@@ -168,8 +169,8 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], first: int, least: floa
     return [(int(ordered[r]), int(ordered[k])) for k, r in enumerate(roots) if r != k]
 
 
-def _in_blocks(open_bands: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) among the sets (id, n, bands) that share a band, all pairs of a band compared in blocks."""
+def _in_blocks(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) among the sets (id, n, bands, component) that share a band and have different components so far."""
 
     def work(table):
         import pyarrow as pa
@@ -182,34 +183,50 @@ def _in_blocks(open_bands: DataFrame, sets: DataFrame, least: float) -> DataFram
         links = block_links(ids, found, first, least) if alone or 0 < first < len(ids) else []
         return pa.table({"a": [x for x, _ in links], "b": [y for _, y in links]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    banded = open_bands.select("id", "n", F.explode("bands").alias("band"))
-    blocks = F.ceil(F.greatest(F.col("width") / BLOCK, F.col("hashes") / BLOCK_HASHES))
-    wide = banded.groupBy("band").agg(F.count(F.lit(1)).alias("width"), F.sum("n").alias("hashes")).where("width > 1").select("band", F.least(blocks, "width").alias("blocks"))
-    dealt = banded.join(wide, "band").select("id", "band", "blocks", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).alias("own"))
-    places = dealt.select("id", "band", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("with"))
+    banded = members.select("id", "n", "component", F.explode("bands").alias("band"))
+    each = banded.groupBy("band", "component").agg(F.count(F.lit(1)).alias("width"), F.sum("n").alias("hashes"))
+    wide = each.groupBy("band").agg(F.max(F.struct("width", "hashes", "component")).alias("main"), F.sum("width").alias("width"), F.sum("hashes").alias("hashes")).where("width > main.width")
+    blocks = lambda width, hashes: F.least(F.ceil(F.greatest(width / BLOCK, hashes / BLOCK_HASHES)), width).cast("bigint")
+    # Blocks 0 to others - 1 hold all but the main component's members, and those from others to all - 1 the main ones.
+    others, main = blocks(F.col("width") - F.col("main.width"), F.col("hashes") - F.col("main.hashes")), blocks(F.col("main.width"), F.col("main.hashes"))
+    wide = wide.select("band", F.col("main.component").alias("main"), others.alias("others"), main.alias("mains"), (F.col("width") - F.col("main.width") == 1).alias("single"))
+    dealt = banded.join(wide, "band").withColumn("is_main", F.col("component") == F.col("main"))
+    own = F.when(F.col("is_main"), F.col("others") + F.pmod(F.xxhash64("id", "band"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("id", "band"), F.col("others")))
+    first, last = F.when(F.col("single") & ~F.col("is_main"), F.col("others")).otherwise(F.lit(0).cast("bigint")), F.when(F.col("is_main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    places = dealt.select("id", "band", own.alias("own"), F.explode(F.sequence(first, last)).alias("with"))
     keyed = places.select("id", "band", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), (F.col("own") > F.col("with")).alias("second"))
     return keyed.join(sets, "id").select("band", "lo", "hi", "second", "id", "s").groupBy("band", "lo", "hi").applyInArrow(work, "a bigint, b bigint")
 
 
-def _links(distinct: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Links (a, b) of ids."""
-    met = materialise(_proposals(distinct.select("id", "n", "bands"), least), "proposals")
-    sets = materialise(_sets(texts.join(met.select(F.col("id").alias("row")), "row", "left_semi"), shingle), "sets")
+def _groups(distinct: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(id, component) for each id that shares a band with another one."""
+    met = materialise(_proposals(distinct, least), "proposals")
+    wanted = materialise(met.select(F.col("id").alias("row")), "wanted")  # small enough, it is broadcast by its size, and no text is shuffled
+    sets = materialise(_sets(texts.join(wanted, "row", "left_semi"), shingle), "sets")
     to_smallest = met.where("size(hubs) > 0").select(F.col("hubs")[0].alias("a"), F.col("id").alias("b"))
     links = materialise(_verify(to_smallest, sets, least), "links")
-    unlinked = met.join(links.select(F.col("b").alias("id")), "id", "left_anti")
-    rest = unlinked.where("size(hubs) > 1").select(F.explode(F.slice("hubs", 2, F.size("hubs"))).alias("a"), F.col("id").alias("b"))
+    parent = links.select(F.col("b").alias("id"), F.col("a").alias("parent"))  # one each
+    rest = met.where("size(hubs) > 1").join(parent, "id", "left").select(F.explode(F.slice("hubs", 2, F.size("hubs"))).alias("a"), F.col("id").alias("b"), F.coalesce("parent", "id").alias("root"))
+    rest = rest.join(parent.select(F.col("id").alias("a"), F.col("parent").alias("of_hub")), "a", "left").where(F.coalesce("of_hub", "a") != F.col("root")).select("a", "b")
     links = links.unionByName(materialise(_verify(rest, sets, least), "links"))
-    alive = materialise(met.where("size(bands) > 0").join(links.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", "n", "bands"), "alive")
-    return links.unionByName(materialise(_in_blocks(alive, sets, least), "links"))
+    named = lambda groups: groups.select(F.col("node").alias("id"), "component")
+    so_far = materialise(met.select("id", "n", "bands").join(named(connected_components(links)), "id", "left").withColumn("component", F.coalesce("component", "id")), "so_far")
+    blocks = materialise(_in_blocks(so_far.where("size(bands) > 0"), sets, least), "links")
+    of = lambda end: so_far.select(F.col("id").alias(end), F.col("component").alias(f"{end}_component"))
+    bridges = blocks.join(of("a"), "a").join(of("b"), "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
+    met_again = named(connected_components(bridges)).select(F.col("id").alias("component"), F.col("component").alias("last"))
+    return so_far.select("id", "component").join(met_again, "component", "left").select("id", F.coalesce("last", "component").alias("component"))
 
 
-def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, least: float = 0.8, bits: int = 3) -> DataFrame:
     """Per row its ``id_col``, which is unique and not null (see ``common.numbered``), and component: the smallest one of
     its group by links of similarity ``least`` or more."""
-    texts = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).alias("text"))
+    prints = near_duplicates(texts, "row", "text", shingle, bits).select("row", F.col("component_id").alias("group"))
     seen = materialise(_signatures(texts, shingle), "signatures")
-    distinct = materialise(seen.groupBy("sig").agg(F.min("row").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct")
-    groups = connected_components(_links(distinct, texts, shingle, least))
-    named = distinct.join(groups, distinct["id"] == groups["node"], "left").select("sig", F.coalesce("component", "id").alias("component"))
+    of_group = F.when(F.size("bands") > 0, F.array(F.xxhash64(F.lit("group"), "group"))).otherwise(F.array().cast("array<bigint>"))
+    distinct = seen.join(prints, "row").groupBy("sig").agg(F.min("row").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("group").alias("group"))
+    distinct = materialise(distinct.select("sig", "id", "n", F.array_union("bands", of_group).alias("bands")), "distinct")
+    groups = _groups(distinct.select("id", "n", "bands"), texts, shingle, least)
+    named = distinct.select("sig", "id").join(groups, "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
     return seen.select("row", "sig").join(named, "sig", "left").select(F.col("row").alias(id_col), "component")

@@ -91,3 +91,65 @@ def test_copies_of_one_text_that_differ_from_each_other(spark, sf, monkeypatch):
     sets = [near.shingles(t) for t in texts]
     both = [(i, j) for i in kept for j in kept if i < j and near.similar(sets[i], sets[j], 0.8)]
     assert not [p for p in both if set(near.bands(sets[p[0]])) & set(near.bands(sets[p[1]]))]
+
+
+def test_groups_are_complete(spark, sf):
+    """Chains of which the first two and the last two texts are similar, but not the first and the last: all hang together."""
+    rng, rows = random.Random(11), []
+    for _ in range(150):
+        first = [f"w{rng.randrange(9000)}" for _ in range(200)]
+        second, third = list(first), None
+        second[60] = "x"
+        third = list(second)
+        for k in (10, 110, 160):
+            third[k] = f"v{k}"
+        rows += [" ".join(w) for w in (first, second, third)]
+    assert jaccard(rows[0], rows[1]) > 0.9 and jaccard(rows[1], rows[2]) > 0.8
+    low = sum(jaccard(rows[k], rows[k + 2]) < 0.83 for k in range(0, 450, 3))
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in enumerate(rows)], DOCS)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_groups(spark, docs, sf).collect()}
+    assert low > 100 and kept == set(range(0, 450, 3))
+
+
+def test_two_groups_that_meet_late_become_one(spark):
+    """Members of two groups, settled by their hubs, are similar across: the groups are one."""
+    base = [f"w{k}" for k in range(200)]
+
+    def changed(*at):
+        return " ".join(f"v{k}" if k in at else w for k, w in enumerate(base))
+
+    texts = [changed(*range(0, 200, 30)), changed(0, 30, 60), changed(0, 30), changed(5, 15), changed(5), changed(5, 15, 45, 75, 105, 135, 165)]
+    close = {(i, j) for i in range(6) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8}
+    group = list(range(6))
+    for _ in range(6):
+        for i, j in close:
+            group[i] = group[j] = min(group[i], group[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
+    assert [r["component"] for r in near.near_copies(docs, "row").orderBy("row").collect()] == group
+
+
+def test_recall_on_a_whole_table(spark):
+    """Of all pairs of sf0.01 with a similarity of 0.8 or more, nine in ten at least are in one group, and groups hold no others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("row_number() over (order by doc_id) as row", "text")
+    group = {r["row"]: r["component"] for r in near.near_copies(docs, "row").collect()}
+    sets = {r["row"]: near.shingles(r["text"]) for r in docs.collect()}
+    holders = {}
+    for k, s in sets.items():
+        for h in s.tolist():
+            holders.setdefault(h, []).append(k)
+    met = {(a, b) for ks in holders.values() if len(ks) < 60 for i, a in enumerate(ks) for b in ks[:i]}
+    close = [(a, b) for a, b in met if near.similar(sets[a], sets[b], 0.8)]
+    found = sum(group[a] == group[b] for a, b in close)
+    print(f"recall {found} of {len(close)}")
+    assert close and found >= 0.9 * len(close)
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in close:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    blank = [k for k in sets if not len(sets[k])]
+    assert all(find(k) == group[k] for k in sets if k not in blank) or found < len(close)
