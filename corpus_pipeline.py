@@ -40,13 +40,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word similarity of 0.8 or more one row stays: the smallest doc_id's, null ids last."""
+    """Of each group linked by five-word similarity of 0.8 or more one row stays: the smallest doc_id's, null ids last.
+
+    Candidates are SimHash groups of 3 bits and bands of minima; each link is verified."""
     row, component = unused("__row", docs.columns), unused("component", docs.columns)
     rows = numbered(docs, row)
-    groups = near_copies(rows, row, shingle=5, least=0.8).withColumnRenamed("component", component)
+    groups = near_copies(rows, row, shingle=5, least=0.8, bits=3).withColumnRenamed("component", component)
     placed = materialise(rows.select(row, "doc_id").join(groups, row), "groups")
     stays = placed.groupBy(component).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias(row))
-    gone = placed.select(row).join(stays.select(row), row, "left_anti")
+    gone = materialise(placed.select(row).join(stays.select(row), row, "left_anti"), "gone")
     return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
