@@ -5,11 +5,12 @@ sum over all its segmentations into pieces, by the forward algorithm; a text's i
 piece crosses a word's start. The piece probabilities are learnt by expectation-maximisation, whose expected counts come
 from the forward and backward sums. Words are scored in blocks of equal length for all languages at once, and remembered.
 
-The fit uses at most ``MAX_SAMPLE`` rows of a language, those with the smallest hashes of their ids, and learns every language present;
-scoring covers every row and whole texts, very long ones and words of any length too; an empty table gives an empty
-result. Defined results: a text that is null or has no letter is 'und' with score 0;
-repeated rows get equal results; equal scores go to the language that sorts first; with no labelled rows every text is
-'und'; extra columns are ignored.
+The fit uses at most ``MAX_SAMPLE`` rows of a language, those with the smallest hashes of their ids, each with its own text
+and label, and of these the words of at most ``FIT_LETTERS`` letters; it learns every language present. Scoring covers
+every row and whole texts, very long ones and words of any length too (these take some 0.5 ms a letter); an empty table
+gives an empty result. Defined results: a text that is null or has no letter is 'und' with score 0; repeated rows count
+each when they are learnt, and get equal results; equal scores go to the language that sorts first; with no labelled rows
+every text is 'und'; extra columns are ignored. Of what is remembered between texts no word has over ``SHORT`` letters.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ START = "▁"
 UNDEFINED = "und"
 MAX_PIECE = 16  # code points of the longest piece of the public vocabulary; the sums go by ``Pieces.longest``
 MAX_SAMPLE = 400
+FIT_LETTERS = 128
 ROUNDS = 4
 UNKNOWN = 1e-7  # of a character that no piece covers
 SHORT = 40  # code points of a word whose sums of products don't underflow
@@ -183,13 +185,15 @@ class Model:
         if len(self._known) + len(new) > REMEMBERED:
             self._known.clear()
             new = list(set().union(*counts))
-        self._known.update(zip(new, self.log_probabilities([START + w for w in new])))
+        made = dict(zip(new, self.log_probabilities([START + w for w in new])))
+        long = {w: made.pop(w) for w in new if len(w) > SHORT}
+        self._known.update(made)
         out = []
         for count in counts:
             if not count:
                 out.append((UNDEFINED, 0.0))
                 continue
-            total = np.fromiter(count.values(), float, len(count)) @ np.array([self._known[w] for w in count])
+            total = np.fromiter(count.values(), float, len(count)) @ np.array([long[w] if len(w) > SHORT else self._known[w] for w in count])
             odds = np.exp(total - total.max())
             best = int(np.argmax(odds))
             out.append((self.languages[best], float(odds[best] / odds.sum())))
@@ -219,14 +223,12 @@ def fit(pieces: Pieces, counts: dict[str, Counter], rounds: int = ROUNDS) -> Mod
 
 def train(docs: DataFrame, vocabulary: str, folds: int = 5, label_col: str = "lang") -> Model:
     """A model of ``label_col``, learnt from a bounded sample of the rows outside the held-out fold."""
-    rows = docs.where(learnable(F.col("doc_id"), folds) & F.col(label_col).isNotNull() & (F.col(label_col) != UNDEFINED)).select(F.col("doc_id").alias("__id"), F.col(label_col).cast("string").alias("__lang"))
-    common = F.broadcast(rows.groupBy("__lang").count())  # a row a language
-    # a share of each language's rows by their hash, some four times the sample, before they are ranked in one place
-    share = (F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) / float(1 << 30)) * F.col("count") < 4 * MAX_SAMPLE
-    nth = F.row_number().over(Window.partitionBy("__lang").orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)), "__id"))
-    picked = rows.join(common, "__lang").where(share).withColumn("__nth", nth).where(F.col("__nth") <= MAX_SAMPLE).select("__id", "__lang")
-    # MAX_SAMPLE ids a language at most
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("__lang", "text")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("__place")
+    rows = docs.where(learnable(F.col("doc_id"), folds) & F.col(label_col).isNotNull() & (F.col(label_col) != UNDEFINED)).select(F.col(label_col).cast("string").alias("__lang"), place, "doc_id", "text")
+    # The last place of each language's sample by ids alone; then texts up to it, of which repeated ids may leave too many.
+    first = lambda rows, *more: rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__lang").orderBy("__place", *more))).where(F.col("__nth") <= MAX_SAMPLE)
+    cuts = F.broadcast(first(rows.select("__lang", "__place")).groupBy("__lang").agg(F.max("__place").alias("__last")))  # a row a language
+    sample = first(rows.join(cuts, "__lang").where("__place <= __last"), "doc_id", F.xxhash64("text")).select("__lang", "text")
 
     def work(batches):
         import pyarrow as pa
@@ -234,11 +236,11 @@ def train(docs: DataFrame, vocabulary: str, folds: int = 5, label_col: str = "la
         for batch in batches:
             count: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                count.setdefault(lang, Counter()).update(_WORD.findall((text.as_py() or "").lower()))
+                count.setdefault(lang, Counter()).update(w for w in _WORD.findall((text.as_py() or "").lower()) if len(w) <= FIT_LETTERS)
             rows = [(lang, w, n) for lang, c in count.items() for w, n in c.items()] + [(lang, None, 0) for lang in count]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
-    # the distinct words of the sample
+    # the distinct words of the sample, of FIT_LETTERS letters at most
     counts: dict[str, Counter] = {}
     for r in sample.mapInArrow(work, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_pylist():
         counts.setdefault(r["lang"], Counter()).update({r["word"]: r["n"]} if r["word"] is not None else {})

@@ -31,7 +31,8 @@ from frameflow.llm.held_out import held_out, learnable
 MAX_SAMPLE = 8_000
 PARTS = 8  # tasks that sum the neighbours of the sample's words
 BUCKETS, SHAPES, DIMS, NONZERO, HIDDEN = 1 << 15, 1 << 12, 64, 6, 32
-REMEMBERED = 300_000
+REMEMBERED = 300_000  # words of at most LONGEST bytes
+LONGEST = 64
 _KINDS = bytes(ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c for c in range(256))
 AGAIN = zlib.crc32(b"=") % SHAPES
 _RUN = re.compile(rb"(.)\1+", re.S)
@@ -52,9 +53,11 @@ def keys(word: bytes) -> tuple[int, int]:
     """The buckets of a word and of its shape."""
     got = _keys.get(word)
     if got is None:
-        if len(_keys) > REMEMBERED:
-            _keys.clear()
-        got = _keys[word] = (zlib.crc32(word.lower()) % BUCKETS, zlib.crc32(_RUN.sub(rb"\1", word.translate(_KINDS))) % SHAPES)
+        got = (zlib.crc32(word.lower()) % BUCKETS, zlib.crc32(_RUN.sub(rb"\1", word.translate(_KINDS))) % SHAPES)
+        if len(word) <= LONGEST:
+            if len(_keys) > REMEMBERED:
+                _keys.clear()
+            _keys[word] = got
     return got
 
 
