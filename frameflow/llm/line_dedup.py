@@ -1,7 +1,7 @@
 """Line deduplication with DataFrame functions only.
 
 1. Texts are split once: occurrences of lines travel as 128-bit hashes with their document and place, in a table that is
-   written once.
+   written once. Where rows are repeated (found by their hashes), one of them is split.
 2. Hashes are uniform, so fixed ranges of them are even; only a line with more than a share of all occurrences needs more
    room. A sample of the table finds such lines (a few for each partition at most) and their documents subdivide the
    range. So a line that stands in a third of all documents has as many parts as its count asks for.
@@ -46,6 +46,17 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def once(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The id and text columns of ``docs``, rows that are equal in both once; texts move only if they are repeated."""
+    rows = docs.select(F.col(id_col).alias(DOC[0]), F.xxhash64(F.col(text_col)).alias(DOC[1]), F.col(text_col).alias("text"))
+    again = materialise(rows.groupBy(*DOC).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(DOC[0]).alias("d"), F.col(DOC[1]).alias("h")), "again")
+    named = lambda df: df.select(F.col(DOC[0]).alias(id_col), F.col("text").alias(text_col))
+    if again.isEmpty():
+        return named(rows)
+    marked = rows.join(again, rows[DOC[0]].eqNullSafe(again["d"]) & (rows[DOC[1]] == again["h"]), "left")
+    return named(marked.where("h is null")).unionByName(named(marked.where("h is not null").groupBy(*DOC).agg(F.first("text").alias("text"))))
+
+
 def ranged(seen: DataFrame) -> DataFrame:
     """``seen`` by ranges of its hashes (range, sub), sorted by hash, document and position. ``sub`` is 0, or from 1 on
     for the documents that subdivide a line's range."""
@@ -70,7 +81,7 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if keep not in ("none", "first"):
         raise ValueError(f"keep must be 'none' or 'first', not {keep!r}")
-    seen = materialise(occurrences(docs, id_col, text_col, min_chars), "lines")
+    seen = materialise(occurrences(once(docs, id_col, text_col), id_col, text_col, min_chars), "lines")
     line = Window.partitionBy("range", "sub", "h1", "h2")
     in_doc = F.row_number().over(Window.partitionBy("range", "sub", "h1", "h2", *DOC).orderBy("pos"))
     place = F.struct(*DOC, "pos")

@@ -71,3 +71,15 @@ def test_texts_are_split_once_and_no_range_is_shuffled_again(spark, sf):
     seen = line_dedup.occurrences(spark.read.parquet(f"{sf}/documents.parquet"))
     plan = line_dedup.ranged(seen).withColumn("n", F.sum(F.lit(1)).over(Window.partitionBy("range", "sub", "h1", "h2")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_repeated_rows_are_split_once(spark):
+    text = "one\ntwo\none"
+    rows = [(1, text)] * 3000 + [(None, "null id\ntwo")] * 20 + [(1, "other text\ntwo"), (2, "two"), (2, None), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    seen = line_dedup.occurrences(line_dedup.once(docs, "doc_id", "text"))
+    assert seen.count() == 3 + 2 + 2 + 1  # an empty line has no key
+    kept = plain(rows, 1, 3)
+    want = {(d, t, "\n".join(kept[d, t])) for d, t in set(rows)}
+    assert {(r["doc_id"], r["text"], r["kept_text"]) for r in dedup_lines(docs, min_docs=3).collect()} == want
+    assert dedup_lines(docs, min_docs=3).count() == len(rows)
