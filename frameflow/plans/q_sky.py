@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from frameflow.functions import sky
+from frameflow.functions import sky, sphere
+from frameflow.operators import match
 from frameflow.plans.fixtures import SKY, r6, s6
 from frameflow.plans.fixtures import sky as sky_table
 from frameflow.plans.registry import query
@@ -113,3 +114,60 @@ def format_radec(spark, sf):
 @query("grid_step", "SELECT p_partkey AS k, CAST(CASE " + " ".join(f"WHEN (p_partkey % 500 + 1) * 0.77 / {s} <= 12 THEN {s}" for s in sky.GRID_STEPS) + " ELSE 30 END AS DOUBLE) AS step FROM part")
 def grid_step(spark, sf):
     return spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("k"), sky.grid_step((F.col("p_partkey") % 500 + 1) * 0.77).alias("step"))
+
+
+CHORD = "degrees(2 * asin(sqrt(least(1.0, pow(sin((radians({d2}) - radians({d1})) / 2), 2) + cos(radians({d1})) * cos(radians({d2})) * pow(sin((radians({r2}) - radians({r1})) / 2), 2)))))"
+PAIRS = f"""{SKY}, cones AS (SELECT k AS cone, fmod(ra + 0.25, 360.0) AS ra, greatest(least(dec + 0.125, 90.0), -90.0) AS dec, 0.75 + k % 4 AS radius FROM sky),
+    met AS (SELECT cone, k, mag, {CHORD.format(r1='c.ra', d1='c.dec', r2='s.ra', d2='s.dec')} AS sep, radius FROM cones c JOIN sky s ON s.dec BETWEEN c.dec - radius - 0.001 AND c.dec + radius + 0.001)"""
+
+
+def cones(spark, sf):
+    """A cone beside each place of the sky table, the poles and right ascension 0 among them."""
+    s = sky_table(spark, sf)
+    return s.selectExpr("k as cone", "pmod(ra + 0.25D, 360.0D) as ra", "greatest(least(dec + 0.125D, 90.0D), -90.0D) as dec", "0.75D + k % 4 as radius")
+
+
+@query("cone_join", f"WITH {PAIRS} SELECT cone, k, {s6('sep')} AS sep FROM met WHERE sep <= radius")
+def cone_join(spark, sf):
+    return match.cone_join(cones(spark, sf), sky_table(spark, sf), 2.0).select("cone", "k", r6("sep").alias("sep"))
+
+
+@query("cone_counts", f"""WITH {PAIRS}, f AS (SELECT cone, count(*) AS n, min(sep) AS nearest, sum(pow(10.0, mag * -0.4)) AS flux FROM met WHERE sep <= radius GROUP BY cone)
+    SELECT cone, coalesce(n, 0) AS n, {s6('nearest')} AS nearest, {s6('flux')} AS flux FROM cones LEFT JOIN f USING (cone)""")
+def cone_counts(spark, sf):
+    return match.cone_counts(cones(spark, sf), sky_table(spark, sf), 2.0).select("cone", "n", r6("nearest").alias("nearest"), r6("flux").alias("flux"))
+
+
+def tan_sql(ra: str, dec: str, ra0: str, dec0: str) -> tuple[str, str]:
+    """Standard coordinates by plain trigonometry; null on the far side."""
+    da, d, d0 = f"radians({ra} - {ra0})", f"radians({dec})", f"radians({dec0})"
+    depth = f"(sin({d0}) * sin({d}) + cos({d0}) * cos({d}) * cos({da}))"
+    return tuple(f"CASE WHEN {depth} > 1e-12 THEN degrees({v} / {depth}) END" for v in (f"cos({d}) * sin({da})", f"(cos({d0}) * sin({d}) - sin({d0}) * cos({d}) * cos({da}))"))
+
+
+#: Each place seen from the place with the key after it, turned to a plate that touches the sphere 20 degrees from there.
+PLATES = f"{SKY}, plates AS (SELECT k, ra, dec, fmod(ra + 20.0, 360.0) AS ra0, CAST(CASE WHEN dec > 0 THEN dec - 15 ELSE dec + 15 END AS DOUBLE) AS dec0 FROM sky)"
+_XI, _ETA = tan_sql("ra", "dec", "ra0", "dec0")
+
+
+def plates(spark, sf):
+    return sky_table(spark, sf).selectExpr("k", "ra", "dec", "pmod(ra + 20.0D, 360.0D) as ra0", "cast(case when dec > 0 then dec - 15 else dec + 15 end as double) as dec0")
+
+
+@query("tan_project", f"WITH {PLATES} SELECT k, {s6(_XI)} AS xi, {s6(_ETA)} AS eta FROM plates")
+def tan_project(spark, sf):
+    xi, eta = sphere.project(*map(F.col, ("ra", "dec", "ra0", "dec0")))
+    return plates(spark, sf).select("k", r6(xi).alias("xi"), r6(eta).alias("eta"))
+
+
+@query("tan_pixel", f"""WITH {PLATES}, p AS (SELECT k, ra0, dec0, radians({WIDE.cd[0] / 60!r} * (k % 200 - 99.5) + {WIDE.cd[1] / 60!r} * (k % 150 - 74.5)) AS x, radians({WIDE.cd[2] / 60!r} * (k % 200 - 99.5) + {WIDE.cd[3] / 60!r} * (k % 150 - 74.5)) AS y FROM plates),
+    q AS (SELECT *, cos(radians(dec0)) - y * sin(radians(dec0)) AS o FROM p), s AS (SELECT k, ra0 + degrees(atan2(x, o)) AS ra, degrees(atan2(y * cos(radians(dec0)) + sin(radians(dec0)), sqrt(x * x + o * o))) AS dec FROM q)
+    SELECT k, {s6('fmod(fmod(ra, 360.0) + 360.0, 360.0)')} AS ra, {s6('dec')} AS dec, CAST(k % 200 AS DOUBLE) AS x, CAST(k % 150 AS DOUBLE) AS y FROM s""")
+def tan_pixel(spark, sf):
+    """Pixels to the sky and back."""
+    cd, crpix = [v / 60 for v in WIDE.cd], WIDE.crpix
+    x, y = (F.col("k") % 200).cast("double"), (F.col("k") % 150).cast("double")
+    ra, dec = sphere.pixel_to_sky(cd, crpix, F.col("ra0"), F.col("dec0"), x, y)
+    there = plates(spark, sf).select("k", "ra0", "dec0", ra.alias("ra"), dec.alias("dec"))
+    bx, by = sphere.sky_to_pixel(cd, crpix, F.col("ra0"), F.col("dec0"), F.col("ra"), F.col("dec"))
+    return there.select("k", r6("ra").alias("ra"), r6("dec").alias("dec"), r6(bx).alias("x"), r6(by).alias("y"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -75,17 +75,23 @@ def read_frames(spark: SparkSession, path: str, recursive: bool = False, metadat
 
 
 def scan_directory(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(path, frame_type, metadata) of the FITS files in a folder, sorted by path; only headers are decoded."""
-    heads = read_frames(spark, path, recursive, metadata_only=True).where(F.lower("path").rlike(r"\.(fits|fit|fts)$"))
+    """(path, frame_type, metadata) of the FITS files in a folder, sorted by path; only headers are read. A folder with a
+    scheme, which only Spark reaches, is listed by Spark, and there whole files are."""
+    if "://" in path:
+        heads = read_frames(spark, path, recursive, metadata_only=True).where(F.lower("path").rlike(r"\.(fits|fit|fts)$"))
+    else:
+        from frameflow.sources import fits
+
+        heads = fits.read_frames(spark, path, "path,header", recursive=recursive)
     kind = classify_frame_type(F.coalesce(F.element_at("header", "IMAGETYP"), F.element_at("header", "FRAME")))
     return heads.select("path", kind.alias("frame_type"), header_metadata(F.col("header")).alias("metadata")).orderBy("path")
 
 
 def calibration_library(scan: DataFrame) -> DataFrame:
-    """Darks, flats and bias frames of a scan as a library for matching, in path order."""
-    w = scan.where(F.col("frame_type").isin("dark", "flat", "bias"))
+    """Darks, flats and bias frames of a scan as a library for matching; ``ord`` rises with the path, by sorted ranges."""
+    w = scan.where(F.col("frame_type").isin("dark", "flat", "bias")).repartitionByRange("path").sortWithinPartitions("path")
     m = F.col("metadata")
-    return w.select(F.dense_rank().over(Window.orderBy("path")).cast("bigint").alias("ord"), "path", "frame_type", m["exposure"].alias("exposure"), m["gain_iso"].cast("bigint").alias("gain"), m["temperature"].alias("temperature"), m["width"].alias("width"), m["height"].alias("height"))
+    return w.select(F.monotonically_increasing_id().alias("ord"), "path", "frame_type", m["exposure"].alias("exposure"), m["gain_iso"].cast("bigint").alias("gain"), m["temperature"].alias("temperature"), m["width"].alias("width"), m["height"].alias("height"))
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:

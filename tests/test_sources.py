@@ -55,9 +55,11 @@ def test_read_frames_and_scan(spark, folder):
     assert len(rows) == 6 and {(r["h"], r["w"], r["c"]) for r in rows} == {(4, 6, 1), (4, 6, 3)}
     scan = images.scan_directory(spark, folder)
     assert [r["frame_type"] for r in scan.collect()] == ["light", "dark", "flat", "bias", "unknown"]
-    lib = images.calibration_library(scan).collect()
+    lib = images.calibration_library(scan).orderBy("ord").collect()
     assert [(r["frame_type"], r["exposure"], r["gain"], r["width"]) for r in lib] == [("dark", 60.0, 100, 6), ("flat", 120.0, 100, 6), ("bias", 180.0, 100, 6)]
-    assert images.read_frames(spark, folder + "/absent").count() == 0
+    assert [r["path"] for r in images.calibration_library(scan).orderBy("ord").collect()] == sorted(r["path"] for r in scan.where("frame_type in ('dark', 'flat', 'bias')").collect())
+    assert "SinglePartition" not in images.calibration_library(scan)._jdf.queryExecution().executedPlan().toString()
+    assert images.read_frames(spark, folder + "/absent").count() == images.scan_directory(spark, folder + "/absent").count() == 0
     with pytest.raises(images.NotSupported):
         images.read_raw(spark, folder)
 
