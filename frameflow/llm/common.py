@@ -62,6 +62,19 @@ def release(spark: SparkSession) -> None:
     files.delete(at, True)
 
 
+_remembered: dict[str, list] = {}
+
+
+def claim(owner: str, *caches) -> None:
+    """In a Python worker, which outlives a stage: what other operators remembered there goes; ``caches`` (with ``clear``)
+    are what this one remembers."""
+    for other in [o for o in _remembered if o != owner]:
+        for cache in _remembered.pop(other):
+            cache.clear()
+    held = _remembered.setdefault(owner, [])
+    held += [c for c in caches if not any(c is h for h in held)]
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, longer by as many underscores as it takes to differ from all ``columns``."""
     taken = {c.lower() for c in columns}

@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameflow.llm.common import claim
 from frameflow.llm.held_out import held_out, learnable
 
 START = "▁"
@@ -185,7 +186,7 @@ class Model:
         if len(self._known) + len(new) > REMEMBERED:
             self._known.clear()
             new = list(set().union(*counts))
-        made = dict(zip(new, self.log_probabilities([START + w for w in new])))
+        made = {w: row.tobytes() for w, row in zip(new, self.log_probabilities([START + w for w in new]))}
         long = {w: made.pop(w) for w in new if len(w) > SHORT}
         self._known.update(made)
         out = []
@@ -193,7 +194,8 @@ class Model:
             if not count:
                 out.append((UNDEFINED, 0.0))
                 continue
-            total = np.fromiter(count.values(), float, len(count)) @ np.array([long[w] if len(w) > SHORT else self._known[w] for w in count])
+            rows = np.frombuffer(b"".join([long[w] if len(w) > SHORT else self._known[w] for w in count])).reshape(len(count), -1)
+            total = np.fromiter(count.values(), float, len(count)) @ rows
             odds = np.exp(total - total.max())
             best = int(np.argmax(odds))
             out.append((self.languages[best], float(odds[best] / odds.sum())))
@@ -259,6 +261,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         import pyarrow as pa
 
         own = held.value
+        claim("langid", own._known)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 cut = batch.slice(at, ROWS)

@@ -103,21 +103,30 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Of distinct pairs (a, b) those whose sets are similar. A hub's set is copied once for some pairs, not for each."""
+    """Of distinct pairs (a, b) those whose sets are similar.
+
+    A hub's set is copied once for MEMBERS pairs or so; rows with one set each are sorted by copy, the hub first."""
 
     def work(batches):
         import pyarrow as pa
 
+        now, hub = None, None
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = []
+            for a, copy, b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                own = np.frombuffer(s.as_buffer(), np.uint64)
+                if b is None:
+                    now, hub = (a, copy), own.copy()
+                elif now == (a, copy) and similar(hub, own, least):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("copies"))
-    dealt = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).alias("copy"))
-    hubs = copies.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy")).join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    met = dealt.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(hubs, ["a", "copy"])
-    return met.select("a", "b", "sa", "sb").mapInArrow(work, "a bigint, b bigint")
+    dealt = pairs.join(copies, "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).alias("copy"), "b")
+    members = dealt.join(sets.select(F.col("id").alias("b"), "s"), "b").select("a", "copy", "b", "s")
+    hubs = copies.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy")).join(sets.select(F.col("id").alias("a"), "s"), "a")
+    rows = members.unionByName(hubs.select("a", "copy", F.lit(None).cast("bigint").alias("b"), "s"))
+    return rows.repartition("a", "copy").sortWithinPartitions("a", "copy", F.asc_nulls_first("b")).mapInArrow(work, "a bigint, b bigint")
 
 
 def _proposals(distinct: DataFrame, least: float) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameflow.llm.common import materialise
+from frameflow.llm.common import claim, materialise
 from frameflow.llm.held_out import held_out, learnable
 
 MAX_SAMPLE = 8_000
@@ -200,6 +200,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         import pyarrow as pa
 
         own = held.value
+        claim("quality", _keys)
         for batch in batches:
             x = np.array([own.pooled(t.as_py()) for t in batch.column(1)], np.float32).reshape(batch.num_rows, 2 * DIMS + 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.scores(x).astype(np.float64))], names=["doc_id", "score"])

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameflow.llm.common import materialise
+from frameflow.llm.common import claim, materialise
 from frameflow.llm.graph import connected_components
 
 HALVES = (0xFFFFFFFF00000000, 0x00000000FFFFFFFF)
@@ -194,6 +194,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def work(batches):
         import pyarrow as pa
 
+        claim("near")
         for batch in batches:
             fps = np.array([simhash(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])

@@ -18,6 +18,8 @@ import os
 import re
 from array import array
 
+from frameflow.llm.common import claim
+
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # what \s matches in the library
 _PARTS = re.compile(rf"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _PLAIN_PART = re.compile(rf"[ \n][^{_WHITE}]+")
@@ -150,6 +152,7 @@ _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 def encoder(path: str, limit: int = 72 << 20) -> WordEncoder:
     """A worker process's encoder for this vocabulary and limit; a former one goes, with what it remembered."""
+    claim("tokens", _encoders)
     if (path, limit) not in _encoders:
         _encoders.clear()
         _encoders[path, limit] = WordEncoder(path, limit)
