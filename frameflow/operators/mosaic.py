@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameflow.functions import sky
+from frameflow.functions import sky, sphere
 from frameflow.operators import geometry as G
 from frameflow.operators import kernels as K
 from frameflow.operators import pixels as P
@@ -51,51 +51,96 @@ def overlap_graph(panels: DataFrame, cell: float) -> DataFrame:
     return pairs.mapInPandas(work, "a bigint, b bigint, area double, fraction double")
 
 
-def output_wcs(panels: list[sky.Wcs], output_scale: float = 1.0) -> sky.Wcs:
-    """A grid that holds all footprints, at the first panel's scale over ``output_scale``."""
-    corners = [c for w in panels for c in footprint(w)]
-    ras, decs = [c[0] for c in corners], [c[1] for c in corners]
-    ra, dec = (min(ras) + max(ras)) / 2, (min(decs) + max(decs)) / 2
-    a, b, c, d = panels[0].cd
-    s = math.sqrt(abs(a * d - b * c)) / output_scale
-    nx = math.ceil((max(ras) - min(ras)) * math.cos(math.radians(dec)) / s) + 1
-    ny = math.ceil((max(decs) - min(decs)) / s) + 1
-    return sky.Wcs(ra, dec, (-s, 0.0, 0.0, s), (nx / 2, ny / 2), nx, ny)
-
-
-def reproject(pixels: DataFrame, source: sky.Wcs, target: sky.Wcs) -> DataFrame:
-    """A panel on the target's grid, bilinear; only places inside the source's frame have rows."""
-    spark = pixels.sparkSession
-    keys = pixels.select("frame_id", "ch").distinct()
-    grid = spark.range(target.width * target.height).select(F.expr(f"cast(id div {target.width} as int)").alias("y"), (F.col("id") % target.width).cast("int").alias("x"))
-    ra, dec = sky.pixel_to_radec(target, F.col("x"), F.col("y"))
-    sx, sy = sky.radec_to_pixel(source, ra, dec)
-    inside = grid.withColumns({"sx": sx, "sy": sy}).where((F.col("sx") >= -1e-9) & (F.col("sx") <= source.width - 1 + 1e-9) & (F.col("sy") >= -1e-9) & (F.col("sy") <= source.height - 1 + 1e-9))
-    places = inside.join(F.broadcast(keys), how="cross")  # a panel's few channels
-    return G.warp(pixels, places, F.col("sx"), F.col("sy"))
-
-
-def edge_weight(w: sky.Wcs, target: sky.Wcs, how: str = "average"):
-    """How far a target place lies inside the source's frame, as a share of the most; 'feather' takes a cosine of it."""
-    ra, dec = sky.pixel_to_radec(target, F.col("x"), F.col("y"))
-    sx, sy = sky.radec_to_pixel(w, ra, dec)
-    d = F.least(sx + 1, sy + 1, w.width - sx, w.height - sy) / ((min(w.width, w.height) + 1) / 2)
+SOLUTION = "frame_id bigint, ra double, dec double, cd array<double>, crpix array<double>, width int, height int, channels int"
+
+
+def solutions(spark: SparkSession, found: dict[int, sky.Wcs], channels: int = 1) -> DataFrame:
+    """Plate solutions by frame as a table."""
+    return spark.createDataFrame([(int(k), float(w.ra), float(w.dec), list(map(float, w.cd)), list(map(float, w.crpix)), int(w.width), int(w.height), channels) for k, w in found.items()], SOLUTION)
+
+
+def _parts(prefix: str = "") -> tuple:
+    """cd, crpix, ra and dec of a solution's columns, as ``sphere`` takes them."""
+    c = lambda n: F.col(prefix + n)
+    return [c("cd")[k] for k in range(4)], [c("crpix")[k] for k in range(2)], c("ra"), c("dec")
+
+
+def sky_corners(panels: DataFrame) -> DataFrame:
+    """Each panel's columns with its four corners' places, cra and cdec, on the sphere."""
+    places = F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((F.lit(0), F.lit(0)), (F.col("width") - 1, F.lit(0)), (F.col("width") - 1, F.col("height") - 1), (F.lit(0), F.col("height") - 1))])
+    at = panels.withColumn("corner", F.explode(places))
+    ra, dec = sphere.pixel_to_sky(*_parts(), F.col("corner.x"), F.col("corner.y"))
+    return at.withColumns({"cra": ra, "cdec": dec})
+
+
+def output_wcs(panels: DataFrame, output_scale: float = 1.0) -> sky.Wcs:
+    """A grid that holds all panels (solutions), at the first one's scale over ``output_scale``. It touches the sphere at
+    the mean direction of their corners, so that neither right ascension 0 nor a pole is an edge. Two rows of sums and
+    extremes come to the driver."""
+    corners = sky_corners(panels)
+    sums = corners.agg(*[F.sum(v).alias(n) for v, n in zip(sphere.unit_vector(F.col("cra"), F.col("cdec")), "xyz")], F.min_by(F.sqrt(F.abs(F.expr("cd[0] * cd[3] - cd[1] * cd[2]"))), "frame_id").alias("s")).first()
+    if sums["s"] is None:
+        raise ValueError("a mosaic needs a panel")
+    ra, dec = math.degrees(math.atan2(sums["y"], sums["x"])) % 360, math.degrees(math.atan2(sums["z"], math.hypot(sums["x"], sums["y"])))
+    xi, eta = sphere.project(F.col("cra"), F.col("cdec"), ra, dec)
+    e = corners.select(xi.alias("xi"), eta.alias("eta")).agg(F.min("xi").alias("x0"), F.max("xi").alias("x1"), F.min("eta").alias("y0"), F.max("eta").alias("y1"), F.count_if(F.col("xi").isNull()).alias("hidden")).first()
+    if e["hidden"]:
+        raise ValueError("panels lie more than 90 degrees from the mosaic's centre")
+    s = sums["s"] / output_scale
+    size = lambda lo, hi: math.ceil(round((hi - lo) / s, 6)) + 1
+    return sky.Wcs(ra, dec, (-s, 0.0, 0.0, s), (e["x1"] / s + 1, 1 - e["y0"] / s), size(e["x0"], e["x1"]), size(e["y0"], e["y1"]))
+
+
+def source_places(places: DataFrame, target: tuple) -> DataFrame:
+    """``places`` (x, y on the target's grid, and the columns of a source's solution) with sx and sy in the source, on the
+    sphere; those outside the source's frame go. ``target``: cd, crpix, ra, dec, numbers or columns."""
+    cd, crpix, ra0, dec0 = target
+    ra, dec = sphere.pixel_to_sky(cd, crpix, ra0, dec0, F.col("x").cast("double"), F.col("y").cast("double"))
+    seen = places.withColumns({"__ra": ra, "__dec": dec})
+    sx, sy = sphere.sky_to_pixel(*_parts(), F.col("__ra"), F.col("__dec"))
+    near = seen.withColumns({"sx": sx, "sy": sy}).drop("__ra", "__dec")
+    return near.where("sx >= -1e-9 and sx <= width - 1 + 1e-9 and sy >= -1e-9 and sy <= height - 1 + 1e-9")
+
+
+def reproject(pixels: DataFrame, panels: DataFrame, target: sky.Wcs, how: str | None = None) -> DataFrame:
+    """All panels on the target's grid, bilinear, in one plan: frame_id, ch, y, x, v, and with ``how`` a weight (see
+    ``edge_weight``). Only places inside a panel's frame have rows.
+
+    A panel's corners bound its places, as straight lines stay straight between tangent planes; so a panel costs places
+    by its own size and not by the mosaic's."""
+    at = (list(target.cd), list(target.crpix), target.ra, target.dec)
+    tx, ty = sphere.sky_to_pixel(*at, F.col("cra"), F.col("cdec"))
+    named = ["ra", "dec", "cd", "crpix", "width", "height", "channels"]
+    box = sky_corners(panels).withColumns({"tx": tx, "ty": ty}).groupBy("frame_id").agg(*[F.first(c).alias(c) for c in named], F.min("tx").alias("x0"), F.max("tx").alias("x1"), F.min("ty").alias("y0"), F.max("ty").alias("y1"))
+    line = lambda lo, hi, n: F.sequence(F.greatest(F.floor(lo).cast("int") - 1, F.lit(0)), F.least(F.ceil(hi).cast("int") + 1, F.lit(n - 1)))
+    rows = box.where(f"x1 >= -1 and y1 >= -1 and x0 <= {target.width} and y0 <= {target.height}").withColumn("y", F.explode(line("y0", "y1", target.height)))
+    rows = rows.repartition("frame_id", "y").withColumn("x", F.explode(line("x0", "x1", target.width)))
+    inside = source_places(rows.select("frame_id", "y", "x", *named), at)
+    each = inside.withColumn("ch", F.explode(F.sequence(F.lit(0), F.col("channels") - 1)))
+    out = G.warp(pixels, each.select("frame_id", "ch", "y", "x", "sx", "sy"), F.col("sx"), F.col("sy"))
+    if how is None:
+        return out
+    return out.join(inside.select("frame_id", "y", "x", edge_weight(how).alias("weight")), ["frame_id", "y", "x"])
+
+
+def edge_weight(how: str = "average"):
+    """How far a place (sx, sy) lies inside its source's frame, as a share of the most; 'feather' takes a cosine of it."""
+    d = F.least(F.col("sx") + 1, F.col("sy") + 1, F.col("width") - F.col("sx"), F.col("height") - F.col("sy")) / ((F.least("width", "height") + 1) / 2)
     d = F.least(F.greatest(d, F.lit(1e-6)), F.lit(1.0))
     return 0.5 * (1 - F.cos(d * math.pi)) if how == "feather" else d
 
 
-def stitch(panels: list[tuple[DataFrame, sky.Wcs]], output_scale: float = 1.0, blend: str = "average", level: bool = True, least: int = 10) -> tuple[DataFrame, sky.Wcs]:
-    """Reproject, move each panel by an offset that evens out the overlaps' medians (panel 0 fixed), and blend."""
-    target = output_wcs([w for _, w in panels], output_scale)
-    moved = None
-    for k, (px, w) in enumerate(panels):
-        one = reproject(px.withColumn("frame_id", F.lit(k).cast("bigint")), w, target).withColumn("weight", edge_weight(w, target, blend))
-        moved = one if moved is None else moved.unionByName(one)
-    if level and len(panels) > 1:
-        edges = [(r["a"], r["b"], r["offset"]) for r in P.overlap_medians(moved.where("ch = 0"), least).collect()]  # a row a pair of panels
-        offsets = K.solve_offsets(len(panels), edges)
-        shift = F.element_at(F.array(*map(F.lit, offsets.tolist())), F.col("frame_id").cast("int") + 1)
-        moved = moved.withColumn("v", F.col("v") - shift)
+def stitch(pixels: DataFrame, panels: DataFrame, output_scale: float = 1.0, blend: str = "average", level: bool = True, least: int = 10) -> tuple[DataFrame, sky.Wcs]:
+    """Reproject, move each panel by an offset that evens out the overlaps' medians (the first is fixed), and blend."""
+    target = output_wcs(panels, output_scale)
+    moved = reproject(pixels, panels, target, blend)
+    ids = [r[0] for r in panels.select("frame_id").orderBy("frame_id").collect()] if level else []  # a row a panel
+    if len(ids) > 1:
+        number = {k: n for n, k in enumerate(ids)}
+        edges = [(number[r["a"]], number[r["b"]], r["offset"]) for r in P.overlap_medians(moved.where("ch = 0"), least).collect()]  # a row a pair of panels
+        offsets = K.solve_offsets(len(ids), edges)
+        shifts = moved.sparkSession.createDataFrame([(k, float(offsets[n])) for k, n in number.items()], "frame_id bigint, __shift double")
+        moved = moved.join(shifts, "frame_id").withColumn("v", F.col("v") - F.col("__shift")).drop("__shift")
     out = P.weighted_stack(moved, ("ch", "y", "x"), F.col("weight"))
     return out.select(F.lit(0).cast("bigint").alias("frame_id"), "ch", "y", "x", "v"), target
 

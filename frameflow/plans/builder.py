@@ -398,15 +398,17 @@ def _mosaic(c: Config) -> Step:
     """The frames as panels, by their plate solutions; without those the bundle stays as it is."""
 
     def apply(b: Bundle) -> Bundle:
-        from frameflow.operators.mosaic import stitch
+        from frameflow.operators.mosaic import solutions, stitch
 
         found = _solutions(b)
         if not found or None in found:
             return b
         l1 = b.frames.select("frame_id", "h", "w", "c", "data")
-        panels = [(frames_to_pixels(l1.where(F.col("frame_id") == k)), w) for k, w in sorted(found.items())]
-        result, target = stitch(panels, c.mosaic_output_scale, c.mosaic_blend_mode, c.mosaic_gradient_correct)
-        return replace(b, result=result).noting(mosaic_wcs=target, mosaic_panels=len(panels))
+        known = solutions(l1.sparkSession, found).drop("width", "height", "channels")
+        panels = l1.select("frame_id", F.col("w").alias("width"), F.col("h").alias("height"), F.col("c").alias("channels")).join(known, "frame_id")
+        result, target = stitch(frames_to_pixels(l1), panels, c.mosaic_output_scale, c.mosaic_blend_mode, c.mosaic_gradient_correct)
+        cells = result.select("ch", F.col("y").alias("oy"), F.col("x").alias("ox"), "v")
+        return replace(b, result=_filled(cells, target.height, target.width)).noting(mosaic_wcs=target, mosaic_panels=len(found))
 
     return Step("mosaic", Stage.MOSAIC, apply)
 

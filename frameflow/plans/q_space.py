@@ -286,3 +286,34 @@ def rate_limit_tumbling(spark, sf):
     from frameflow.streaming.windows import rate_limit_batch
 
     return rate_limit_batch(events(spark, sf), "user_id", "1 hour", 2, "event_id").select("event_id", "allowed")
+
+
+#: Each frame as a panel somewhere on the sphere, 0.1 degrees a pixel and turned by its number, and a grid beside it, a tenth
+#: coarser and turned back, on which it is read.
+PANELS = """panels AS (SELECT frame_id, fmod(frame_id * 137.50776405, 360.0) AS ra, degrees(asin(2 * ((frame_id + 0.5) / (SELECT max(vec_id) + 1 FROM embeddings)) - 1)) AS dec,
+    0.1 * cos(radians(frame_id % 90 + 0.0)) AS c, 0.1 * sin(radians(frame_id % 90 + 0.0)) AS s FROM (SELECT DISTINCT frame_id FROM px))"""
+
+
+@query("reproject", f"""WITH {PX}, {PANELS}, g AS (SELECT frame_id, ra, dec, c, s, y, x, radians(-0.11 * (x - 3.25) + 0.01 * (y - 3.75)) AS tx, radians(0.01 * (x - 3.25) + 0.11 * (y - 3.75)) AS ty FROM panels JOIN (SELECT frame_id, y, x FROM px) USING (frame_id)),
+    w AS (SELECT *, cos(radians(dec)) - ty * sin(radians(dec)) AS o FROM g),
+    p AS (SELECT *, atan2(tx, o) AS da, atan2(ty * cos(radians(dec)) + sin(radians(dec)), sqrt(tx * tx + o * o)) AS d, radians(dec) AS d0 FROM w),
+    z AS (SELECT *, sin(d0) * sin(d) + cos(d0) * cos(d) * cos(da) AS depth FROM p),
+    q AS (SELECT *, degrees(cos(d) * sin(da) / depth) AS xi, degrees((cos(d0) * sin(d) - sin(d0) * cos(d) * cos(da)) / depth) AS eta FROM z),
+    h AS (SELECT frame_id, y, x, (c * xi - s * eta) / (-c * c - s * s) + 3.5 AS sx, (-c * eta - s * xi) / (-c * c - s * s) + 3.5 AS sy FROM q),
+    i AS (SELECT *, floor(sx) AS x0, floor(sy) AS y0 FROM h WHERE sx >= -1e-9 AND sx <= 7 + 1e-9 AND sy >= -1e-9 AND sy <= 7 + 1e-9),
+    t AS (SELECT frame_id, y, x, y0 + j AS ny, x0 + k AS nx, (CASE j WHEN 1 THEN sy - y0 ELSE 1 - (sy - y0) END) * (CASE k WHEN 1 THEN sx - x0 ELSE 1 - (sx - x0) END) AS f FROM i, (VALUES (0), (1)) a(j), (VALUES (0), (1)) b(k))
+    SELECT t.frame_id, t.y, t.x, {s6('sum(coalesce(v * f, 0.0))')} AS v FROM t LEFT JOIN px ON px.frame_id = t.frame_id AND px.y = ny AND px.x = nx GROUP BY 1, 2, 3""")
+def reproject(spark, sf):
+    from frameflow.operators import mosaic as MO
+
+    px = pixels(spark, sf)
+    n = table(spark, sf, "embeddings").agg((F.max("vec_id") + 1).alias("n"))
+    turn = F.radians((F.col("frame_id") % 90).cast("double"))
+    c, s = F.cos(turn) * 0.1, F.sin(turn) * 0.1
+    panels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id")).crossJoin(F.broadcast(n)).select(
+        "frame_id", F.expr("pmod(frame_id * 137.50776405D, 360.0D)").alias("ra"), F.expr("degrees(asin(2 * ((frame_id + 0.5D) / n) - 1))").alias("dec"),
+        F.array(-c, s, s, c).alias("cd"), F.array(F.lit(4.5), F.lit(4.5)).alias("crpix"), F.lit(8).alias("width"), F.lit(8).alias("height"),
+    )
+    places = px.select("frame_id", "y", "x").join(panels, "frame_id")
+    inside = MO.source_places(places, ([-0.11, 0.01, 0.01, 0.11], [4.25, 4.75], F.col("ra"), F.col("dec"))).withColumn("ch", F.lit(0))
+    return G.warp(px, inside.select("frame_id", "ch", "y", "x", "sx", "sy"), F.col("sx"), F.col("sy")).select("frame_id", "y", "x", r6("v").alias("v"))

@@ -1,6 +1,10 @@
+import math
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from frameflow.functions import sky
+from frameflow.functions import sky, sphere
 from frameflow.operators import mosaic, photometry
 from frameflow.sources.formats import fits_decode, fits_encode, fits_table_decode
 
@@ -11,20 +15,44 @@ def wcs(ra, dec, w=24, h=20):
     return sky.Wcs(ra, dec, (-S, 0.0, 0.0, S), ((w + 1) / 2, (h + 1) / 2), w, h)
 
 
-def test_two_panels_become_one_plane(spark):
-    """Panels of one linear sky, the second lifted by a constant, come out as the first continues."""
-    rows, panels = [], [wcs(10.0, 0.0), wcs(10.0 - 12 * S, 0.0)]
-    for w, lift in zip(panels, (0.0, 5.0)):
-        for y in range(w.height):
-            for x in range(w.width):
-                ra, dec = w.ra - S * (x - w.crpix[0] + 1), S * (y - w.crpix[1] + 1)
-                rows.append((lift, 0, 0, y, x, (ra - 10) / S * 0.1 + dec / S * 0.2 + lift))
-    all_ = spark.createDataFrame(rows, "lift double, frame_id bigint, ch int, y int, x int, v double")
-    out, t = mosaic.stitch([(all_.where(f"lift = {k}").drop("lift"), w) for k, w in zip((0.0, 5.0), panels)])
-    for r in out.collect():
-        ra, dec = t.ra - S * (r["x"] - t.crpix[0] + 1), t.dec + S * (r["y"] - t.crpix[1] + 1)
-        assert abs(r["v"] - ((ra - 10) / S * 0.1 + dec / S * 0.2)) < 1e-3
-    assert t.width >= 36 and out.count() > 20 * 30
+def plane(spark, panels, centre, lifts):
+    """Panels of one plane over the tangent plane at ``centre``, each lifted by a constant."""
+    rows = []
+    for k, (w, lift) in enumerate(zip(panels, lifts)):
+        grid = spark.range(w.width * w.height).select((F.col("id") % w.width).cast("double").alias("x"), F.floor(F.col("id") / w.width).cast("double").alias("y"))
+        ra, dec = sphere.pixel_to_sky(list(w.cd), list(w.crpix), w.ra, w.dec, F.col("x"), F.col("y"))
+        xi, eta = sphere.project(ra, dec, *centre)
+        rows.append(grid.select(F.lit(k).cast("bigint").alias("frame_id"), F.lit(0).alias("ch"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), (xi / S * 0.1 + eta / S * 0.2 + lift).alias("v")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@pytest.mark.parametrize("centre", [(10.0, 0.0), (0.0, 20.0), (359.9995, -35.0), (77.0, 89.9999), (5.0, -90.0)])
+def test_panels_become_one_plane(spark, centre):
+    """The second panel lifted by a constant and turned, around right ascension 0 and at the poles too, comes out as the
+    first continues."""
+    ra, dec = spark.range(1).select(*sphere.deproject(F.lit(-12 * S), F.lit(3 * S), *centre)).first()
+    turned = S * math.cos(0.3), S * math.sin(0.3)
+    panels = [wcs(*centre), sky.Wcs(ra, dec, (-turned[0], turned[1], turned[1], turned[0]), (12.5, 10.5), 24, 20)]
+    found = mosaic.solutions(spark, dict(enumerate(panels)))
+    out, t = mosaic.stitch(plane(spark, panels, centre, (0.0, 5.0)), found)
+    at = out.select("*", *[v.alias(n) for v, n in zip(sphere.pixel_to_sky(list(t.cd), list(t.crpix), t.ra, t.dec, F.col("x").cast("double"), F.col("y").cast("double")), ("ra", "dec"))])
+    xi, eta = sphere.project(F.col("ra"), F.col("dec"), *centre)
+    rows = at.select("v", (xi / S * 0.1 + eta / S * 0.2).alias("want")).collect()
+    assert len(rows) > 500 and max(abs(r["v"] - r["want"]) for r in rows) < 2e-3
+    assert 24 <= t.width < 70 and 20 <= t.height < 70
+
+
+def test_mosaic_is_one_plan_without_products(spark):
+    panels = [wcs(0.0, 20.0), wcs(0.001, 20.0), wcs(0.002, 20.0)]
+    found = mosaic.solutions(spark, dict(enumerate(panels)))
+    px = plane(spark, panels, (0.0, 20.0), (0, 0, 0))
+    plan = mosaic.reproject(px, found, mosaic.output_wcs(found), "feather")._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
+    with pytest.raises(ValueError, match="90 degrees"):
+        mosaic.output_wcs(mosaic.solutions(spark, {0: wcs(0.0, 0.0), 1: wcs(0.0, 0.1), 2: wcs(170.0, 0.0)}))
 
 
 def test_footprints_overlap(spark):
