@@ -488,7 +488,12 @@ def _background(c: Config) -> Callable[[DataFrame], DataFrame]:
         warnings.warn(f"background method {c.background_removal_method!r} is taken as 'rbf'", stacklevel=3)
 
     def f(px: DataFrame) -> DataFrame:
-        model = frames_to_pixels(K.background_model(pixels_to_frames(px), method, c.background_removal_tile_size)).select("frame_id", *P.PLACE, F.col("v").alias("bg"))
+        if method == "polynomial":
+            from frameflow.operators.background import polynomial_background
+
+            model = polynomial_background(px, c.background_removal_tile_size)
+        else:
+            model = frames_to_pixels(K.background_model(pixels_to_frames(px), method, c.background_removal_tile_size)).select("frame_id", *P.PLACE, F.col("v").alias("bg"))
         return P.gradient_remove(px, model, c.background_removal_preserve_median)
 
     return f

@@ -327,6 +327,19 @@ def tile_background(spark, sf):
     return P.tile_values(pixels(spark, sf).drop("target"), 4).select("frame_id", "ty", "tx", r6("v").alias("v"))
 
 
+@query("polynomial_background", f"""WITH {PX}, t AS (SELECT frame_id, ch, y // 4 AS ty, x // 4 AS tx, v FROM px), c AS (SELECT *, quantile_cont(v, 0.8) OVER (PARTITION BY frame_id, ch, ty, tx) AS cut FROM t),
+    l AS (SELECT *, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s, count(*) OVER w AS n FROM c WHERE v <= cut WINDOW w AS (PARTITION BY frame_id, ch, ty, tx)),
+    g AS (SELECT frame_id, ty, tx, any_value(n) AS n, any_value(m) AS m, any_value(s) AS s, count(*) FILTER (abs(v - m) <= 2.5 * s) AS k, median(v) FILTER (abs(v - m) <= 2.5 * s) AS med FROM l GROUP BY 1, 2, 3),
+    z AS (SELECT frame_id, ty * 4 + 2.0 AS y, tx * 4 + 2.0 AS x, CASE WHEN s < 1e-10 OR k < 2 THEN m ELSE med END AS v FROM g WHERE n >= 4),
+    u AS (SELECT frame_id, count(*) AS n, avg(y) AS my, avg(x) AS mx, avg(v) AS mv, covar_pop(y, y) AS yy, covar_pop(x, x) AS xx, covar_pop(y, x) AS yx, covar_pop(y, v) AS yv, covar_pop(x, v) AS xv FROM z GROUP BY 1),
+    f AS (SELECT *, (yv * xx - xv * yx) / (yy * xx - yx * yx) AS b, (xv * yy - yv * yx) / (yy * xx - yx * yx) AS a FROM u)
+    SELECT px.frame_id, px.y, px.x, {s6('mv + b * (px.y - my) + a * (px.x - mx)')} AS bg FROM px JOIN f USING (frame_id)""")
+def polynomial_background(spark, sf):
+    from frameflow.operators.background import polynomial_background as model
+
+    return model(pixels(spark, sf).drop("target"), 4, degree=1, soften=0).select("frame_id", "y", "x", r6("bg").alias("bg"))
+
+
 CLOUD = "cl AS (SELECT frame_id, 1 - avg(CAST(m > med * 1.3 AND s < 0.09 AS DOUBLE)) AS cloud FROM (SELECT frame_id, y // 4 AS ty, x // 4 AS tx, median(v) AS m, stddev_pop(v) AS s FROM un GROUP BY 1, 2, 3) JOIN (SELECT frame_id, median(v) AS med FROM un GROUP BY 1) USING (frame_id) GROUP BY 1)"
 
 
