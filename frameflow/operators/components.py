@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Through a table in spark.checkpoint.dir, which all executors share; a local session has a folder of its own without it."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = _own.setdefault("dir", tempfile.mkdtemp(prefix="frameflow-"))
-    path = f"{base.rstrip('/')}/frameflow/{spark.sparkContext.applicationId}/labels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from frameflow.scratch import materialise
 
 
 def propagate(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> DataFrame:
     """(frame_id, run, label): the smallest run number reachable over ``edges`` (frame_id, run, above)."""
-    now = _kept(edges.select("frame_id", F.greatest("run", "above").alias("a"), F.least("run", "above").alias("b")).where("a > b").distinct())
+    now = materialise(edges.select("frame_id", F.greatest("run", "above").alias("a"), F.least("run", "above").alias("b")).where("a > b").distinct(), "labels")
     state, k = None, 0
     while rounds is None or k < rounds:
         fresh = now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("frame_id", "a", "b"), F.lit(1 << 31)))).first()
@@ -39,6 +22,6 @@ def propagate(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) ->
         large = both.join(least, ["frame_id", "u"]).where("v > u").selectExpr("frame_id", "v as a", "m as b").distinct()
         low = large.groupBy("frame_id", "a").agg(F.min("b").alias("m"))
         small = large.join(low, ["frame_id", "a"]).select("frame_id", F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("frame_id", "e.*").where("a > b").distinct()
-        now = _kept(small)
+        now = materialise(small, "labels")
     best = now.groupBy("frame_id", F.col("a").alias("run")).agg(F.min("b").alias("label"))
     return nodes.join(best, ["frame_id", "run"], "left").select("frame_id", "run", F.coalesce("label", "run").alias("label"))

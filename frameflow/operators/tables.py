@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameflow.functions.text import basename
+from frameflow.scratch import materialise
 
 BROADCAST_ROWS = 200_000
 
@@ -145,6 +146,31 @@ def frame_ranks(entries: DataFrame, key: str, descending: bool = False, ranges:
     return placed.withColumn("pos", F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + start).drop("__k", "__range")
 
 
+def positions(df: DataFrame, order: list) -> tuple[DataFrame, int]:
+    """``df`` with ``pos``, from 0, in the order of ``order`` (equal rows in any), and its number of rows.
+
+    Sorted ranges are written once; a row's position is its place in its range after the numbers of rows in the ranges
+    before, of which one a range comes to the driver. No window holds all rows."""
+    ranged = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    part, before, starts = F.shiftright("__at", 33), 0, []
+    for r in ranged.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((r["part"], before))
+        before += r["count"]
+    offsets = df.sparkSession.createDataFrame(starts, "__part bigint, __start bigint")
+    placed = ranged.withColumn("__part", part).join(F.broadcast(offsets), "__part")  # a row a range
+    return placed.withColumn("pos", F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__start"), before
+
+
+def positional_join(left: DataFrame, right: DataFrame, left_order: list, right_order: list, check: bool = True) -> DataFrame:
+    """Rows of two tables side by side by their positions, each in its own order: pos, left's and right's columns. Unequal
+    lengths raise, unless ``check`` is off: then the longer one's last rows go."""
+    a, n = positions(left, left_order)
+    b, m = positions(right, right_order)
+    if check and n != m:
+        raise ValueError(f"a positional join needs equal lengths, not {n} and {m}")
+    return a.join(b, "pos")
+
+
 def new_paths(found: DataFrame, existing: DataFrame) -> DataFrame:
     """Paths that aren't there yet, once each."""
     return found.join(existing.select("path"), "path", "left_anti").dropDuplicates(["path"])

@@ -8,6 +8,8 @@ a pair of panels; a colour fit's medians; and the files that an export writes.
 
 from __future__ import annotations
 
+import threading
+import uuid
 import warnings
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields, replace
@@ -68,17 +70,46 @@ class Pipeline:
         self.steps.append(step)
         return self
 
-    def run(self, bundle: Bundle, progress: Callable[[str, int, int], None] | None = None, cancelled: Callable[[], bool] | None = None) -> Bundle:
-        """Compose the plan. ``cancelled`` is asked between steps; a running Spark job is stopped by its job tag."""
+    def run(self, bundle: Bundle, progress: Callable[[str, int, int], None] | None = None, cancelled: Callable[[], bool] | None = None, poll: float = 0.2) -> Bundle:
+        """Compose the plan. ``cancelled`` is asked between steps, and every ``poll`` seconds while one runs: its Spark jobs
+        carry a tag of this run's own and are interrupted by it. InterruptedError tells where."""
+        spark = SparkSession.getActiveSession() if cancelled else None
         for k, step in enumerate(self.steps):
             if cancelled and cancelled():
                 raise InterruptedError(f"cancelled before {step.name}")
             if progress:
                 progress(step.stage.value, k, len(self.steps))
-            bundle = step.apply(bundle)
+            bundle = step.apply(bundle) if spark is None else _interruptible(spark, step, bundle, cancelled, poll)
         return bundle
 
 
+def _interruptible(spark: SparkSession, step: Step, bundle: Bundle, cancelled: Callable[[], bool], poll: float) -> Bundle:
+    tag, over, stopped = f"frameflow-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        while not over.wait(poll):
+            if cancelled():
+                stopped.set()
+                spark.sparkContext.cancelJobsWithTag(tag)  # again and again: a step may start another job meanwhile
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    spark.sparkContext.addJobTag(tag)  # the session's own tags are known to their thread only
+    watcher.start()
+    try:
+        done = step.apply(bundle)
+    except Exception as e:
+        if stopped.is_set():
+            raise InterruptedError(f"cancelled during {step.name}") from e
+        raise
+    finally:
+        over.set()
+        watcher.join()
+        spark.sparkContext.removeJobTag(tag)
+    if stopped.is_set():
+        raise InterruptedError(f"cancelled during {step.name}")
+    return done
+
+
 @dataclass(frozen=True)
 class Config:
     frame_selection_enabled: bool = False

@@ -313,3 +313,13 @@ def ridge_zero_point(spark, sf):
     pairs = table(spark, sf, "events").selectExpr("event_type", "value as x", "2 * value + user_id % 10 as y")
     fit = T.magnitude_fit(pairs, ["event_type"])
     return fit.select("event_type", "n", *[r6(c).alias(c) for c in ("slope", "intercept", "r2")])
+
+
+@query("positional_join", """WITH a AS (SELECT c_custkey AS left_key, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS pos FROM customer),
+    b AS (SELECT c_custkey AS right_key, c_nationkey AS nation, row_number() OVER (ORDER BY c_nationkey DESC, c_custkey) - 1 AS pos FROM customer)
+    SELECT pos, left_key, right_key, nation FROM a JOIN b USING (pos)""")
+def positional_join(spark, sf):
+    c = table(spark, sf, "customer")
+    left = c.select(F.col("c_custkey").alias("left_key"), "c_acctbal")
+    right = c.select(F.col("c_custkey").alias("right_key"), F.col("c_nationkey").alias("nation"))
+    return T.positional_join(left, right, ["c_acctbal", "left_key"], [F.desc("nation"), F.col("right_key")]).select("pos", "left_key", "right_key", "nation")
