@@ -22,6 +22,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     state = _state(now)
+    if not state[0]:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(MAX_ROUNDS):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))

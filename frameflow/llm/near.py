@@ -4,9 +4,10 @@ Fingerprints of 64 bits alone can't give this: at a similarity of 0.8 two of the
 which a vantage-point tree's triangle bounds rule nothing out. So the groups that the trees of ``simhash`` find (3 bits)
 are candidates here, as are bands of minima.
 
-1. One pass turns each text into its set of hashed shingles, of which it keeps a 128-bit digest and 20 bands of 5 minima
-   (of 100 hash functions). A text's SimHash group is one more band. Texts with equal sets become one. Two sets with
-   similarity 0.8 share no band in 0.04 % of all cases; more alike ones in fewer.
+1. One pass turns each text into its set of hashed shingles, of which it keeps a 128-bit digest, the SimHash fingerprint
+   and 20 bands of 5 minima (of 100 hash functions). Texts with equal sets become one. Two sets with similarity 0.8 share
+   no band in 0.04 % of all cases; more alike ones in fewer. Fingerprints go through the vantage-point trees of
+   ``simhash``; those that a shard links (at most ``bits`` bits apart) share one more band.
 2. Sets that share a band are candidates. Their whole shingle sets are compared, and only pairs with a Jaccard
    similarity of ``least`` or more are links; so nothing is a copy because its minima, bands or fingerprint say so.
 3. The smallest id of a band is its hub. A set is first compared with the smallest of its bands' hubs, then with each
@@ -30,9 +31,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameflow.llm.common import materialise
+from frameflow.llm.common import claim, materialise
 from frameflow.llm.graph import connected_components
-from frameflow.llm.simhash import Groups, _hashes, near_duplicates
+from frameflow.llm.simhash import Groups, _hashes, majority, shard_links
 
 BANDS, ROWS = 20, 5
 MEMBERS = 64  # pairs that share one copy of a hub's set
@@ -77,16 +78,30 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        claim("near")
         for batch in batches:
-            sigs, ns, keys = [], [], []
+            sigs, fps, ns, keys = [], [], [], []
             for t in batch.column(1):
-                s = shingles(t.as_py(), shingle)
+                parts = list(_hashes((t.as_py() or "").encode("utf-8", "surrogatepass"), shingle, 42))
+                s = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
                 sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
+                fps.append(majority(parts))
                 ns.append(len(s))
                 keys.append(bands(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), pa.array(ns, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "sig", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(ns, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "sig", "fp", "n", "bands"])
 
-    return docs.mapInArrow(work, "row bigint, sig binary, n bigint, bands array<bigint>")
+    return docs.mapInArrow(work, "row bigint, sig binary, fp bigint, n bigint, bands array<bigint>")
+
+
+def _simhash_bands(distinct: DataFrame, bits: int) -> DataFrame:
+    """(id, n, band): sets whose fingerprints are equal, or linked in a shard of the trees, in a band with their smallest."""
+    alike = distinct.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"))
+    alike = materialise(alike, "prints")
+    links = shard_links(alike, alike.count(), bits).select(F.col("a").alias("id"), F.col("b").alias("hub"))
+    equal = distinct.where("n > 0").join(alike, "fp").where("id <> rep").select("id", F.col("rep").alias("hub"))
+    pairs = materialise(links.unionByName(equal).distinct(), "prints")
+    both = pairs.unionByName(pairs.select(F.col("hub").alias("id"), "hub")).distinct()
+    return both.join(distinct.select("id", "n"), "id").select("id", "n", F.xxhash64(F.lit("print"), "hub").alias("band"))
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -129,11 +144,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return rows.repartition("a", "copy").sortWithinPartitions("a", "copy", F.asc_nulls_first("b")).mapInArrow(work, "a bigint, b bigint")
 
 
-def _proposals(distinct: DataFrame, least: float) -> DataFrame:
-    """Per id with a partner in any band: the smaller hubs that fit its size, and the bands where it is no hub itself.
+def _proposals(distinct: DataFrame, more: DataFrame, least: float) -> DataFrame:
+    """Per id with a partner in any band, of its own or in ``more`` (id, n, band): the smaller hubs that fit its size, and
+    the bands where it is no hub itself.
 
     The join keeps a row for each set and band, whether or not the band is shared."""
-    banded = distinct.select("id", "n", F.explode("bands").alias("band"))
+    banded = distinct.select("id", "n", F.explode("bands").alias("band")).unionByName(more)
     hubs = banded.groupBy("band").agg(F.count(F.lit(1)).alias("width"), F.min(F.struct("id", "n")).alias("hub")).where("width > 1")
     met = banded.join(hubs.select("band", "hub"), "band", "left")
     fits = F.least("hub.n", "n") + 1e-9 >= F.greatest("hub.n", "n") * least
@@ -207,9 +223,9 @@ def _in_blocks(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return keyed.join(sets, "id").select("band", "lo", "hi", "second", "id", "s").groupBy("band", "lo", "hi").applyInArrow(work, "a bigint, b bigint")
 
 
-def _groups(distinct: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+def _groups(distinct: DataFrame, texts: DataFrame, shingle: int, least: float, bits: int) -> DataFrame:
     """(id, component) for each id that shares a band with another one."""
-    met = materialise(_proposals(distinct, least), "proposals")
+    met = materialise(_proposals(distinct.select("id", "n", "bands"), _simhash_bands(distinct, bits), least), "proposals")
     wanted = materialise(met.select(F.col("id").alias("row")), "wanted")  # small enough, it is broadcast by its size, and no text is shuffled
     sets = materialise(_sets(texts.join(wanted, "row", "left_semi"), shingle), "sets")
     to_smallest = met.where("size(hubs) > 0").select(F.col("hubs")[0].alias("a"), F.col("id").alias("b"))
@@ -231,11 +247,8 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", shingle: i
     """Per row its ``id_col``, which is unique and not null (see ``common.numbered``), and component: the smallest one of
     its group by links of similarity ``least`` or more."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).alias("text"))
-    prints = near_duplicates(texts, "row", "text", shingle, bits).select("row", F.col("component_id").alias("group"))
     seen = materialise(_signatures(texts, shingle), "signatures")
-    of_group = F.when(F.size("bands") > 0, F.array(F.xxhash64(F.lit("group"), "group"))).otherwise(F.array().cast("array<bigint>"))
-    distinct = seen.join(prints, "row").groupBy("sig").agg(F.min("row").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("group").alias("group"))
-    distinct = materialise(distinct.select("sig", "id", "n", F.array_union("bands", of_group).alias("bands")), "distinct")
-    groups = _groups(distinct.select("id", "n", "bands"), texts, shingle, least)
+    distinct = materialise(seen.groupBy("sig").agg(F.min("row").alias("id"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct")
+    groups = _groups(distinct, texts, shingle, least, bits)
     named = distinct.select("sig", "id").join(groups, "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
     return seen.select("row", "sig").join(named, "sig", "left").select(F.col("row").alias(id_col), "component")

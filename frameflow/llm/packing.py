@@ -21,7 +21,7 @@ from frameflow.llm.wordcode import encoder
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 ROWS = 128
-REMEMBERED = 36 << 20  # bytes of texts' parts, twice at most, that a worker keeps
+REMEMBERED = 18 << 20  # bytes of texts' parts, twice at most, that a worker keeps
 
 
 class HarmonicBins:

@@ -60,8 +60,13 @@ def _hashes(text: bytes, n: int, seed: int):
 
 def simhash(text: str | None, n: int = 3, seed: int = 42) -> int:
     """A bit is 1 if it is set in over half of the shingles' XXH64; 0 for a text without words."""
+    return majority(_hashes((text or "").encode("utf-8", "surrogatepass"), n, seed))
+
+
+def majority(hashes) -> int:
+    """The fingerprint of arrays of hashes."""
     total, ones = 0, np.zeros(64, np.int64)
-    for h in _hashes((text or "").encode("utf-8", "surrogatepass"), n, seed):
+    for h in hashes:
         total += len(h)
         for k in range(0, len(h), 1 << 16):
             ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
