@@ -105,18 +105,28 @@ def coordinates(header: Column, objects: Column | None = None) -> Column:
     return F.coalesce(*offers, F.struct(F.lit(0.0).alias("ra"), F.lit(0.0).alias("dec"), F.lit("none").alias("method"), F.lit(0.0).alias("confidence")).cast(kind))
 
 
+def _sexagesimal(tenths: Column, form: str) -> Column:
+    """Whole units, minutes and seconds of a number of tenths of a second; so no part ever prints as 60."""
+    whole = lambda n: F.floor(tenths / n)
+    return F.format_string(form, whole(36000), whole(600) % 60, (tenths % 600) / 10)
+
+
 def format_ra(ra: Column) -> Column:
-    hours = F.pmod(ra, F.lit(360.0)) / 15
-    h = F.floor(hours).cast("int")
-    m = F.floor((hours - h) * 60).cast("int")
-    return F.format_string("%02dh%02dm%04.1fs", h, m, ((hours - h) * 60 - m) * 60)
+    """Hours, minutes and seconds to a tenth; what rounds up to 24 hours is 0."""
+    return _sexagesimal(F.floor(F.pmod(ra, F.lit(360.0)) * 2400 + 0.5) % 864000, "%02dh%02dm%04.1fs")
 
 
 def format_dec(dec: Column) -> Column:
-    a = F.abs(dec)
-    d = F.floor(a).cast("int")
-    m = F.floor((a - d) * 60).cast("int")
-    return F.concat(F.when(dec >= 0, "+").otherwise("-"), F.format_string("%02d°%02d'%04.1f\"", d, m, ((a - d) * 60 - m) * 60))
+    return F.concat(F.when(dec >= 0, "+").otherwise("-"), _sexagesimal(F.floor(F.abs(dec) * 36000 + 0.5), "%02d°%02d'%04.1f\""))
+
+
+def header_hint(header: Column) -> Column:
+    """(ra, dec) where a header has both as plain numbers: from RA, OBJCTRA or CRVAL1 and DEC, OBJCTDEC or CRVAL2, whichever
+    comes first with a value other than an empty text or zero; else null."""
+    h = lambda k: F.element_at(header, k)
+    told = lambda k: F.when((F.length(h(k)) > 0) & ~F.coalesce(h(k).try_cast("double") == 0, F.lit(False)), h(k))
+    ra, dec = (F.coalesce(told(a), told(b), h(c)).try_cast("double") for a, b, c in (("RA", "OBJCTRA", "CRVAL1"), ("DEC", "OBJCTDEC", "CRVAL2")))
+    return F.when(ra.isNotNull() & dec.isNotNull(), F.struct(ra.alias("ra"), dec.alias("dec")))
 
 
 # The steps that a coordinate grid may have.

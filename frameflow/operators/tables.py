@@ -43,7 +43,9 @@ def best_match(lights: DataFrame, library: DataFrame) -> DataFrame:
     on = same[0]
     for s in same[1:]:
         on = on & s
-    return lights.join(hinted(best), on).select(*[lights[c] for c in lights.columns], F.col("m.ord").alias("ord"), F.col("m.path").alias("path"), "score")
+    # best has no more rows than kinds, whose count needs no theta join
+    found = F.broadcast(best) if kinds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else best
+    return lights.join(found, on).select(*[lights[c] for c in lights.columns], F.col("m.ord").alias("ord"), F.col("m.path").alias("path"), "score")
 
 
 def batch_match(lights: DataFrame, library: DataFrame, match_bias: bool = False) -> DataFrame:
@@ -214,6 +216,46 @@ def exposure_groups(entries: DataFrame) -> DataFrame:
     return entries.where("selected and exposure is not null").groupBy(F.bround("exposure", 2).alias("exposure_s")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def selected_existing(entries: DataFrame, present: DataFrame) -> DataFrame:
+    """Selected frames whose path is among ``present``."""
+    return entries.where("selected").join(present.select("path"), "path", "left_semi")
+
+
+def partition_by_type(frames: DataFrame) -> dict[str, DataFrame]:
+    """A scan's frames by their type, of which there are a handful."""
+    kinds = [r[0] for r in frames.select("frame_type").distinct().orderBy("frame_type").collect()]
+    return {k: frames.where(F.col("frame_type") == k) for k in kinds}
+
+
+def validation_summary(issues: DataFrame, by: list[str]) -> DataFrame:
+    """Per group of ``by`` (those of ``issues`` with a level or null): whether it has errors and warnings, and how many, in
+    words."""
+    n = lambda level: F.count_if(F.col("level") == level)
+    made = issues.groupBy(*by).agg(n("error").alias("errors"), n("warning").alias("warnings"))
+    # The words of the summary.
+    parts = F.array_compact(F.array(F.when(F.col("errors") > 0, F.concat(F.col("errors").cast("string"), F.lit(" Fehler"))), F.when(F.col("warnings") > 0, F.concat(F.col("warnings").cast("string"), F.lit(" Warnung(en)")))))
+    return made.select(*by, "errors", "warnings", F.when(F.size(parts) == 0, "Projekt OK").otherwise(F.array_join(parts, ", ")).alias("summary"))
+
+
+def alignment_counts(aligned: DataFrame, by: list[str]) -> DataFrame:
+    """Per group how many frames were aligned (accepted) and left out, and the mean confidence of each."""
+    ok = F.col("accepted")
+    return aligned.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("aligned"), F.count_if(~ok).alias("skipped"), F.avg(F.when(ok, F.col("confidence"))).alias("confidence"), F.avg(F.when(~ok, F.col("confidence"))).alias("skipped_confidence"))
+
+
+def value_histogram(values: DataFrame, by: list[str], value: str, most: int = 40) -> DataFrame:
+    """Per group the counts of min(n, ``most``) bins of equal width from its least to its largest value, which the last bin
+    holds too; one value's bins reach half a unit to each side. Empty bins have rows."""
+    known = values.where(F.col(value).isNotNull())
+    ends = known.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.least(F.count(F.lit(1)), F.lit(most)).cast("int").alias("bins"))
+    flat = F.col("__lo") == F.col("__hi")
+    ends = ends.withColumns({"lo": F.when(flat, F.col("__lo") - 0.5).otherwise(F.col("__lo")), "width": F.when(flat, F.lit(1.0)).otherwise(F.col("__hi") - F.col("__lo")) / F.col("bins")}).drop("__lo", "__hi")
+    placed = known.join(ends, by).withColumn("bin", F.least(F.floor((F.col(value) - F.col("lo")) / F.col("width")).cast("int"), F.col("bins") - 1))
+    counts = placed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+    every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
+    return every.join(counts, [*by, "bin"], "left").select(*by, "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("low"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def license_status(records: DataFrame, grace_days: int = 7, max_starts: int = 50) -> DataFrame:
     """The first rule that fails, in order: activation, machine, clock rollback over 60 s, grace period, starts."""
     last = F.coalesce("attested", "last_online")

@@ -351,6 +351,8 @@ def _register(c: Config) -> Step:
 
 def _stack(c: Config) -> Step:
     def apply(b: Bundle) -> Bundle:
+        if b.frames.select("h", "w", "c").distinct().limit(2).count() > 1:  # sizes alone are read
+            raise ValueError("frames of a stack must have the same shape")
         px = frames_to_pixels(b.frames.select("frame_id", "h", "w", "c", "data"))
         one = P.stack(px, c.stacking_method, (), c.stacking_sigma_low, c.stacking_sigma_high)
         return replace(b, result=one.select(F.lit(0).cast("bigint").alias("frame_id"), *P.PLACE, "v")).noting(stacking_method=c.stacking_method)
@@ -513,6 +515,24 @@ def _comet(c: Config) -> Step:
     return Step("comet stack", Stage.COMET_STACKING, apply)
 
 
+def photometry_step(catalog: DataFrame, **options) -> Step:
+    """Star magnitudes of the first frame, by its plate solution in ``meta['wcs']`` and a catalog (name, ra, dec, mag):
+    ``meta['photometry']`` has the star rows, ``meta['photometry_fit']`` one row of the fit. Without a solution nothing is
+    done."""
+
+    def apply(b: Bundle) -> Bundle:
+        from frameflow.operators.photometry import photometry
+
+        found = _solutions(b)
+        if not found or b.frames is None and b.result is None:
+            return b
+        frame = pixels_to_frames(b.result) if b.result is not None else b.frames.select("frame_id", "h", "w", "c", "data")
+        stars, fit = photometry(frame, found[None] if None in found else found[min(found)], catalog, **options)
+        return b.noting(photometry=stars, photometry_fit=fit)
+
+    return Step("photometry", Stage.PHOTOMETRY, apply)
+
+
 def _background(c: Config) -> Callable[[DataFrame], DataFrame]:
     method = "polynomial" if c.background_removal_method == "polynomial" else "rbf"
     if c.background_removal_method not in ("polynomial", "rbf"):

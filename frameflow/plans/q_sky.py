@@ -104,9 +104,8 @@ def coordinate_cascade(spark, sf):
     return c.select("k", r6("c.ra").alias("ra"), r6("c.dec").alias("dec"), "c.method", "c.confidence")
 
 
-@query("format_radec", f"""WITH {SKY}, h AS (SELECT k, ra / 15 AS h, abs(dec) AS d, dec >= 0 AS p FROM sky)
-    SELECT k, printf('%02dh%02dm%04.1fs', CAST(floor(h) AS INTEGER), CAST(floor((h - floor(h)) * 60) AS INTEGER), ((h - floor(h)) * 60 - floor((h - floor(h)) * 60)) * 60) AS ra,
-        CASE WHEN p THEN '+' ELSE '-' END || printf('%02d°%02d''%04.1f"', CAST(floor(d) AS INTEGER), CAST(floor((d - floor(d)) * 60) AS INTEGER), ((d - floor(d)) * 60 - floor((d - floor(d)) * 60)) * 60) AS dec FROM h""")
+@query("format_radec", f"""WITH {SKY}, t AS (SELECT k, CAST(floor(ra * 2400 + 0.5) AS BIGINT) % 864000 AS r, CAST(floor(abs(dec) * 36000 + 0.5) AS BIGINT) AS d, dec >= 0 AS p FROM sky)
+    SELECT k, printf('%02dh%02dm%04.1fs', r // 36000, r // 600 % 60, r % 600 / 10.0) AS ra, CASE WHEN p THEN '+' ELSE '-' END || printf('%02d°%02d''%04.1f"', d // 36000, d // 600 % 60, d % 600 / 10.0) AS dec FROM t""")
 def format_radec(spark, sf):
     return sky_table(spark, sf).select("k", sky.format_ra(F.col("ra")).alias("ra"), sky.format_dec(F.col("dec")).alias("dec"))
 
@@ -171,3 +170,12 @@ def tan_pixel(spark, sf):
     there = plates(spark, sf).select("k", "ra0", "dec0", ra.alias("ra"), dec.alias("dec"))
     bx, by = sphere.sky_to_pixel(cd, crpix, F.col("ra0"), F.col("dec0"), F.col("ra"), F.col("dec"))
     return there.select("k", r6("ra").alias("ra"), r6("dec").alias("dec"), r6(bx).alias("x"), r6(by).alias("y"))
+
+
+@query("header_hint", """WITH h AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN '12 30 00' WHEN 1 THEN '0.0' WHEN 2 THEN CAST(p_partkey % 360 AS VARCHAR) END AS ra, CASE WHEN p_partkey % 3 > 0 THEN '45.5' ELSE '' END AS dec, CAST(p_partkey % 90 AS VARCHAR) AS v FROM part),
+    f AS (SELECT k, TRY_CAST(CASE WHEN ra IS NOT NULL AND ra <> '0.0' THEN ra ELSE v END AS DOUBLE) AS ra, TRY_CAST(CASE WHEN dec <> '' THEN dec ELSE v END AS DOUBLE) AS dec FROM h)
+    SELECT k, CASE WHEN ra IS NOT NULL AND dec IS NOT NULL THEN ra END AS ra, CASE WHEN ra IS NOT NULL AND dec IS NOT NULL THEN dec END AS dec FROM f""")
+def header_hint(spark, sf):
+    header = F.expr("""map_filter(map('RA', case p_partkey % 4 when 0 then '12 30 00' when 1 then '0.0' when 2 then cast(p_partkey % 360 as string) end, 'DEC', case when p_partkey % 3 > 0 then '45.5' else '' end,
+        'CRVAL1', cast(p_partkey % 90 as string), 'CRVAL2', cast(p_partkey % 90 as string)), (k, v) -> v is not null)""")
+    return spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("k"), sky.header_hint(header).alias("h")).select("k", "h.ra", "h.dec")

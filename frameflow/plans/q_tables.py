@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from frameflow.functions import claims as L
 from frameflow.functions import sky, text
 from frameflow.operators import tables as T
 from frameflow.plans.fixtures import ENTRIES, LIBRARY, LIGHTS, SKY, entries, library, lights, r6, s6, table
@@ -323,3 +324,43 @@ def positional_join(spark, sf):
     left = c.select(F.col("c_custkey").alias("left_key"), "c_acctbal")
     right = c.select(F.col("c_custkey").alias("right_key"), F.col("c_nationkey").alias("nation"))
     return T.positional_join(left, right, ["c_acctbal", "left_key"], [F.desc("nation"), F.col("right_key")]).select("pos", "left_key", "right_key", "nation")
+
+
+@query("token_claims", """WITH c AS (SELECT c_custkey AS k, c_custkey % 5 AS m FROM customer)
+    SELECT k, CASE WHEN m < 3 THEN 'user-' || CAST(k AS VARCHAR) || '?é' END AS sub, CASE WHEN m < 4 THEN 'j' || CAST(k AS VARCHAR) END AS jti, CAST(CASE WHEN m < 4 THEN k * 10 END AS DOUBLE) AS exp,
+        CAST(CASE WHEN m < 4 THEN CASE WHEN k % 2 = 0 THEN 3 ELSE 1 END END AS INTEGER) AS seats_max, CASE m WHEN 3 THEN 'missing sub' WHEN 4 THEN 'malformed' ELSE CASE WHEN k * 10 <= 900 THEN 'expired' END END AS problem FROM c""")
+def token_claims(spark, sf):
+    c = table(spark, sf, "customer").selectExpr("c_custkey as k", "c_custkey % 5 as m")
+    payload = F.expr("""concat('{', if(m = 3, '', concat('"sub":"user-', k, '?é",')), '"jti":"j', k, '","iat":5,"exp":', k * 10, ',"tier":"pro","machine_id":"m"', if(k % 2 = 0, ',"seats_max":3', ''), '}')""")
+    token = F.when(F.col("m") == 4, F.lit("only.two")).otherwise(F.concat_ws(".", F.lit("e30"), L.to_base64url(payload), F.lit("sig")))
+    found = c.select("k", L.claims(token).alias("c"))
+    return found.select("k", "c.sub", "c.jti", "c.exp", F.when(F.col("c.jti").isNotNull(), F.coalesce("c.seats_max", F.lit(1))).alias("seats_max"), L.problem(F.col("c"), L.TOKEN, F.lit(900.0)).alias("problem"))
+
+
+@query("selected_existing", f"WITH {ENTRIES} SELECT idx FROM entries WHERE selected AND idx % 3 <> 1")
+def selected_existing(spark, sf):
+    e = entries(spark, sf)
+    return T.selected_existing(e, e.where("idx % 3 <> 1").select("path")).select("idx")
+
+
+@query("validation_summary", """WITH i AS (SELECT user_id, CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' END AS level FROM events WHERE user_id % 3 > 0 OR event_id % 4 > 1),
+    n AS (SELECT user_id, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings FROM i GROUP BY 1)
+    SELECT user_id, errors, warnings, CASE WHEN errors = 0 AND warnings = 0 THEN 'Projekt OK' ELSE concat_ws(', ', CASE WHEN errors > 0 THEN CAST(errors AS VARCHAR) || ' Fehler' END, CASE WHEN warnings > 0 THEN CAST(warnings AS VARCHAR) || ' Warnung(en)' END) END AS summary FROM n""")
+def validation_summary(spark, sf):
+    issues = table(spark, sf, "events").where("user_id % 3 > 0 or event_id % 4 > 1").select("user_id", F.expr("case event_id % 4 when 0 then 'error' when 1 then 'warning' end").alias("level"))
+    return T.validation_summary(issues, ["user_id"])
+
+
+@query("alignment_counts", f"""WITH a AS (SELECT event_type, event_id % 1000 / 1000.0 AS confidence, event_id % 1000 >= 300 AS accepted FROM events)
+    SELECT event_type, count(*) AS n, count(*) FILTER (accepted) AS aligned, count(*) FILTER (NOT accepted) AS skipped, {s6('CAST(avg(confidence) FILTER (accepted) AS DOUBLE)')} AS confidence, {s6('CAST(avg(confidence) FILTER (NOT accepted) AS DOUBLE)')} AS skipped_confidence FROM a GROUP BY 1""")
+def alignment_counts(spark, sf):
+    e = table(spark, sf, "events").selectExpr("event_type", "event_id % 1000 / 1000.0D as confidence", "event_id % 1000 >= 300 as accepted")
+    return T.alignment_counts(e, ["event_type"]).select("event_type", "n", "aligned", "skipped", r6("confidence").alias("confidence"), r6("skipped_confidence").alias("skipped_confidence"))
+
+
+@query("fwhm_histogram", f"""WITH e AS (SELECT user_id, min(value) AS lo, max(value) AS hi, CAST(least(count(*), 40) AS INTEGER) AS bins FROM events WHERE value IS NOT NULL GROUP BY 1),
+    w AS (SELECT user_id, bins, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, (CASE WHEN lo = hi THEN 1.0 ELSE hi - lo END) / bins AS width FROM e),
+    n AS (SELECT user_id, least(CAST(floor((value - lo) / width) AS INTEGER), bins - 1) AS bin, count(*) AS n FROM events JOIN w USING (user_id) WHERE value IS NOT NULL GROUP BY 1, 2)
+    SELECT user_id, bin, {s6('lo + bin * width')} AS low, coalesce(n, 0) AS n FROM (SELECT *, CAST(unnest(range(bins)) AS INTEGER) AS bin FROM w) LEFT JOIN n USING (user_id, bin)""")
+def fwhm_histogram(spark, sf):
+    return T.value_histogram(table(spark, sf, "events"), ["user_id"], "value").select("user_id", "bin", r6("low").alias("low"), "n")
