@@ -183,7 +183,12 @@ def test_lm_is_normalised_and_learns():
     target = rng.integers(0, 40, 30_000)
     windows = np.stack([(target * 7 + 3) % 40, rng.integers(0, 40, 30_000), (target + rng.integers(0, 2, 30_000)) % 40, target], 1)
     base = np.bincount(target, minlength=40) / len(target)
-    model = lm.train(windows, base, classes=8)
+
+    def run(step, tables, fixed, seed):
+        step(tables, windows, fixed, seed)
+        return tables
+
+    model = lm.train(run, base, classes=8)
     contexts = np.repeat(windows[:50, :3], 40, 0)
     log = model.log_probabilities(contexts, np.tile(np.arange(40), 50)).reshape(50, 40)
     assert np.allclose(np.exp(log).sum(1), 1, atol=1e-5) and len(model.starts) == 8
@@ -191,6 +196,39 @@ def test_lm_is_normalised_and_learns():
     assert model.log_probabilities(windows[:, :3], target).mean() > np.log(base)[target].mean() + 1
 
 
+def test_lm_trains_in_groups_whose_mean_learns(spark, monkeypatch):
+    """Windows grow with the corpus, groups with the windows; a parameter is the mean over the groups that moved it."""
+    monkeypatch.setattr(lm, "WINDOWS", 100)
+    monkeypatch.setattr(lm, "EVERY", 2)
+    monkeypatch.setattr(lm, "CHUNK", 64)
+    rng = np.random.default_rng(6)
+    own = {b"w%d" % k: k for k in range(30)}
+    texts = [" ".join(f"W{(k + i) % 30}" for i in range(rng.integers(20, 60))) for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").repartition(3, "id")
+    windows = lm.sampled_windows(docs, own, 0.5, 4)
+    tokens = sum(len(t.split()) + 1 for t in texts)
+    rows = np.concatenate([np.frombuffer(r["w"], "<u2").reshape(-1, 4) for r in windows.collect()])
+    assert abs(len(rows) - tokens / 2) < 4 * tokens**0.5 and {r["grp"] for r in windows.collect()} == set(range(4))
+    inside = rows[(rows < 30).all(1)]
+    assert ((inside[:, 0] + 1) % 30 == inside[:, 3]).all()
+
+    def step(tables, own_rows, fixed, seed):
+        tables[0].value[:2] += len(own_rows)
+        tables[0].seen[:2] += 1
+
+    start = [lm.Table.of(np.ones((5, 3)))]
+    sizes = Counter()
+    for r in windows.collect():
+        sizes[r["grp"]] += len(r["w"]) // 8
+    got = lm.groups_of(windows, 30)(step, start, None, 1)[0]
+    assert np.allclose(got.value[:2], 1 + sum(sizes.values()) / 4) and np.allclose(got.value[2:], 1) and np.allclose(got.seen[:2], 1.001)
+    base = np.bincount(rows[:, 3], minlength=32) + 0.1
+    model = lm.train(lm.groups_of(windows, 30), base / base.sum(), classes=4)
+    assert model.log_probabilities(inside[:, :3].astype(int), inside[:, 3].astype(int)).mean() > -1.5 > np.log(1 / 30)
+    nothing = lm.groups_of(windows.where("false"), 30)(step, [lm.Table.of(np.ones((5, 3)))], None, 1)[0]
+    assert (nothing.value == 1).all()
+
+
 def test_lm_score_against_brute_force(spark, monkeypatch, no_docs):
     """Scores of documents in one row and in slices, from the model's own tables a token at a time."""
     rng, kept = np.random.default_rng(4), {}
