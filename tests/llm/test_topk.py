@@ -38,6 +38,20 @@ def test_edge_cases_and_blocks_of_queries(spark, monkeypatch, limit):
     assert topk.top_k(v.where("false"), v).count() == 0 and topk.top_k(v.where("vec_id % 50 = 0"), v.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("slice_bytes", [1 << 30, 3000, 200])
+def test_large_query_sets_meet_all_slices(spark, monkeypatch, slice_bytes):
+    """Many blocks of queries and slices of candidates, with repeated rows and a third of all rows alike."""
+    monkeypatch.setattr(topk, "QUERY_BYTES", 256)
+    monkeypatch.setattr(topk, "SLICE_BYTES", slice_bytes)
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in rng.normal(0, 1, 4)]) for i in rng.integers(0, 900, 300)] + [(7, [0.25, 0.5, 0.5, 0.0])] * 150
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    asked = v.where("vec_id % 30 = 0")
+    got = topk.top_k(asked, v, k=4)
+    assert "BroadcastExchange" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == plain(rows, 4, 30)
+
+
 @settings(max_examples=60, deadline=None)
 @given(seed=st.integers(0, 10**6), n=st.integers(1, 900), dims=st.integers(1, 20), spread=st.sampled_from([2, 300, 1 << 40]))
 def test_pruning_keeps_the_exact_best(seed, n, dims, spread):
