@@ -68,9 +68,21 @@ def header_panel(header: Column) -> Column:
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["v"].isNotNull()))
 
 
+def fixed(x: Column, places: int) -> Column:
+    """``places`` decimals (5 at most) of the double's exact value, halves to even, as C's printf has them; format_string
+    rounds its shortest decimal text instead."""
+    scale, size = 10**places, F.abs(x)
+    high = size * 134217729.0 - (size * 134217729.0 - size)  # the upper half of the bits, so that both products are exact
+    whole = F.floor(size * scale)
+    past = (high * scale - whole - 0.5) + (size - high) * scale  # its sign is exact
+    n = F.when(past > 0, whole + 1).when(past < 0, whole).otherwise(whole + whole % 2)
+    text = F.concat(F.when(x.cast("string").startswith("-"), "-").otherwise(""), F.floor(n / scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), places, "0"))
+    return F.when(size < 9e15 / scale, text).otherwise(F.format_string(f"%.{places}f", x))
+
+
 def cache_key(catalog: Column, ra: Column, dec: Column, radius: Column, extra: Column) -> Column:
     """SHA-256 of the query's parts; coordinates to 4 decimals and the radius to 5."""
-    return F.sha2(F.concat_ws("|", catalog, F.format_string("%.4f", ra), F.format_string("%.4f", dec), F.format_string("%.5f", radius), extra), 256)
+    return F.sha2(F.concat_ws("|", catalog, fixed(ra, 4), fixed(dec, 4), fixed(radius, 5), extra), 256)
 
 
 def machine_id(host: Column) -> Column:

@@ -82,3 +82,25 @@ def test_photometry_step(spark):
     w = Wcs(180.0, 45.0, (-1 / 3600, 0.0, 0.0, 1 / 3600), (24.5, 24.5), 48, 48)
     done = builder.Pipeline([step]).run(builder.Bundle(frames=frames, meta={"wcs": w}))
     assert "photometry" in done.meta and done.meta["photometry_fit"].count() == 1
+
+
+def test_cache_key_rounds_the_exact_value(spark):
+    from frameflow.functions import text
+
+    values = [249.87645, 0.00005, 0.00015, 2.00005, -7.00025, 359.99995, -0.00001]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(text.fixed(F.col("v"), 4)).collect()]
+    assert got == [f"{v:.4f}" for v in values]
+    odd = spark.createDataFrame([(None,), (float("inf"),)], "v double").select(text.fixed(F.col("v"), 4)).collect()
+    assert [r[0] for r in odd] == ["null", "Infinity"]
+
+
+def test_places_of_large_keys_are_exact_products(spark, tmp_path):
+    from frameflow.plans.fixtures import sky
+    from frameflow.plans.q_sky import format_radec
+
+    keys = [37_500, 62_500, 899_999]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["k"]: r["ra"] for r in sky(spark, str(tmp_path)).collect()}
+    assert got == {k: float(k * 13750776405) / 1e8 % 360 for k in keys}
+    shown = {r["k"]: r["ra"] for r in format_radec(spark, str(tmp_path)).collect()}
+    assert (shown[37_500], shown[62_500]) == ("17h24m36.5s", "21h01m00.8s")
