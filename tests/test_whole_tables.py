@@ -84,3 +84,13 @@ def test_ranks_by_name_and_with_equal_keys(spark):
             got = {r["pos"]: r["idx"] for r in tables.frame_ranks(df, key, down, ranges=7, sample=sample).collect()}
             assert [got[k + 1] for k in range(300)] == want
     assert tables.frame_ranks(df.limit(0), "quality").count() == 0
+
+
+def test_mutual_nearest_of_copies_and_vectors_without_direction(spark):
+    """Copies give way to the smallest id; zero, null and odd vectors take no part."""
+    rows = [(k, [1.0, float(k % 5), 0.5]) for k in range(40)] + [(40, [0.0, 0.0, 0.0]), (41, None), (42, [float("nan"), 1.0, 0.0])]
+    df = spark.createDataFrame([(0, *r) for r in rows], "g int, id bigint, d array<float>")
+    got = {(r["a_id"], r["b_id"]) for r in match.mutual_nearest(df.where("id % 2 = 0"), df.where("id % 2 = 1"), ["g"]).collect()}
+    assert got == {(a, b) for a in range(0, 10, 2) for b in range(1, 10, 2) if a % 5 == b % 5}
+    plan = match.mutual_nearest(df, df, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan  # pairs are matrix products, not rows
