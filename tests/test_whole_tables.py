@@ -94,3 +94,17 @@ def test_mutual_nearest_of_copies_and_vectors_without_direction(spark):
     assert got == {(a, b) for a in range(0, 10, 2) for b in range(1, 10, 2) if a % 5 == b % 5}
     plan = match.mutual_nearest(df, df, ["g"])._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan  # pairs are matrix products, not rows
+
+
+def test_overlaps_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    box = [(k, *(float(v) for v in (x, y, x + w, y + h))) for k, (x, y, w, h) in enumerate(zip(rng.integers(-40, 40, 300), rng.integers(-40, 40, 300), rng.integers(0, 20, 300), rng.integers(1, 15, 300), strict=True))]
+    df = match.overlap_graph(spark.createDataFrame(box, "id bigint, x0 double, y0 double, x1 double, y1 double"), 8.0)
+    got = sorted((r["a"], r["b"], r["area"]) for r in df.collect())
+    want = []
+    for p in box:
+        for q in box[p[0] + 1 :]:
+            w, h = min(p[3], q[3]) - max(p[1], q[1]), min(p[4], q[4]) - max(p[2], q[2])
+            want += [(p[0], q[0], w * h)] if w > 0 and h > 0 else []
+    assert got == want and len(want) > 100
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()  # a cell's boxes are not joined with one another
