@@ -108,3 +108,21 @@ def test_overlaps_against_brute_force(spark):
             want += [(p[0], q[0], w * h)] if w > 0 and h > 0 else []
     assert got == want and len(want) > 100
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()  # a cell's boxes are not joined with one another
+
+
+def test_nearest_within_against_brute_force(spark):
+    """Dense and sparse places, copies and ties, by radii that grow."""
+    rng = np.random.default_rng(9)
+    right = [(k, float(x), float(y)) for k, (x, y) in enumerate(np.concatenate([rng.integers(0, 12, (500, 2)) / 4, rng.integers(0, 300, (60, 2))]))]
+    left = [(k, float(x), float(y)) for k, (x, y) in enumerate(np.concatenate([rng.integers(0, 24, (200, 2)) / 8, rng.integers(-20, 320, (200, 2))]))]
+    frame = lambda rows: spark.createDataFrame(rows, "id bigint, x double, y double")
+    found = match.nearest_within(frame(left), frame(right), 25.0)
+    got = {r["left_id"]: (r["right_id"], r["distance"]) for r in found.collect()}
+    want = {}
+    for k, x, y in left:
+        d2, best = min(((x - u) ** 2 + (y - v) ** 2, j) for j, u, v in right)
+        if d2 <= 625:
+            want[k] = (best, d2**0.5)
+    assert got == want and 200 < len(want) < 400
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") > 1  # small radii come first
