@@ -77,12 +77,23 @@ def aperture_flux(pixels: DataFrame, stars: DataFrame, radius: float, parity: bo
     return s.select("frame_id", "star_id", "bg", "n", F.greatest(F.col("total") - F.col("n") * F.col("bg"), F.lit(1e-10)).alias("flux"))
 
 
+NODES = 16  # nodes of a grid that one group sums
+
+
 def idw_grid(stars: DataFrame, height: int, width: int, step: int, power: float = 2.0, smooth: float = 4.0) -> DataFrame:
-    """Inverse-distance mean of the stars' value on a grid of at most (height / step) * (width / step) nodes a frame."""
-    grid = stars.select("frame_id").distinct().select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1), F.lit(step))).alias("gy")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1), F.lit(step))).alias("gx"))
-    d2 = (F.col("gy") - F.col("sy")) ** 2 + (F.col("gx") - F.col("sx")) ** 2 + smooth
-    w = 1 / F.pow(d2, F.lit(power / 2))
-    return grid.join(stars, "frame_id").groupBy("frame_id", "gy", "gx").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"))
+    """Inverse-distance mean of the stars' value on a grid of at most (height / step) * (width / step) nodes a frame.
+
+    Each star goes to slabs of ``NODES`` nodes, whose sums are columns of one group."""
+    across = -(-width // step)
+    nodes = across * -(-height // step)
+    node = [F.col("slab") * NODES + k for k in range(NODES)]
+    at = lambda n: (F.floor(n / across) * step, n % across * step)
+    w = [1 / F.pow((at(n)[0] - F.col("sy")) ** 2 + (at(n)[1] - F.col("sx")) ** 2 + smooth, F.lit(power / 2)) for n in node]
+    dealt = stars.where("frame_id is not null").select("frame_id", "sy", "sx", "value", F.explode(F.sequence(F.lit(0), F.lit((nodes - 1) // NODES))).alias("slab"))
+    sums = dealt.groupBy("frame_id", "slab").agg(*[F.sum(w[k] * F.col("value")).alias(f"a{k}") for k in range(NODES)], *[F.sum(w[k]).alias(f"b{k}") for k in range(NODES)])
+    each = F.array(*[F.struct(node[k].alias("n"), (F.col(f"a{k}") / F.col(f"b{k}")).alias("value")) for k in range(NODES)])
+    out = sums.select("frame_id", F.explode(each).alias("o")).where(f"o.n < {nodes}")
+    return out.select("frame_id", at(F.col("o.n"))[0].cast("int").alias("gy"), at(F.col("o.n"))[1].cast("int").alias("gx"), F.col("o.value").alias("value"))
 
 
 def connected_labels(mask: DataFrame, rounds: int | None = None) -> DataFrame:
