@@ -6,7 +6,7 @@ mean over all its words of their vectors and of their shapes' vectors. A tanh la
 temperature, fitted on a part of the training sample that the network didn't see, calibrates it.
 
 The fit uses at most ``MAX_SAMPLE`` labelled rows, those with the smallest hashes of their ids; the model's size is
-fixed. Their whole texts stay on the executors: the driver gets ``PARTS`` sums of neighbours, and a pooled vector a row.
+fixed. Their whole texts stay on the executors: the driver gets one sum of neighbours, and a pooled vector a row.
 Scoring covers every row and whole texts. Defined results: a null or empty text pools to zeros and gets a score; a very
 long text is pooled whole, in its task; repeated rows get equal scores; an empty table gives an empty result; with one class or no labels the score is the smoothed share of label 1; null labels are
 ignored; extra columns of either table are ignored.
@@ -30,6 +30,7 @@ from frameflow.llm.held_out import held_out, learnable
 
 MAX_SAMPLE = 8_000
 PARTS = 8  # tasks that sum the neighbours of the sample's words
+SLABS = 64  # parts of those sums, added up by Spark
 BUCKETS, SHAPES, DIMS, NONZERO, HIDDEN = 1 << 15, 1 << 12, 64, 6, 32
 REMEMBERED = 300_000  # words of at most LONGEST bytes
 LONGEST = 64
@@ -172,11 +173,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
         total = np.zeros((BUCKETS, DIMS), np.float32)
         for batch in batches:
             total += neighbours(batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+        slabs = total.reshape(SLABS, -1)
+        used = np.flatnonzero(slabs.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([slabs[k].tobytes() for k in used], pa.binary())], names=["slab", "sums"])
 
-    # PARTS rows at most, of the model's size
-    parts = sample.repartition(PARTS, "doc_id").select("text").mapInArrow(sums, "sums binary").toArrow().column(0)
-    context = sum((np.frombuffer(p.as_buffer(), np.float32).reshape(BUCKETS, DIMS) for p in parts), np.zeros((BUCKETS, DIMS), np.float32))
+    def add(key, rows):
+        import pyarrow as pa
+
+        total = sum(np.frombuffer(p.as_buffer(), np.float32) for p in rows.column("sums"))
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slab", "sums"])
+
+    # SLABS rows at most, of the model's size together, however many tasks have summed
+    parts = sample.coalesce(PARTS).select("text").mapInArrow(sums, "slab int, sums binary").groupBy("slab").applyInArrow(add, "slab int, sums binary").toArrow()
+    context = np.zeros((SLABS, BUCKETS * DIMS // SLABS), np.float32)
+    for k, p in zip(parts.column("slab").to_pylist(), parts.column("sums"), strict=True):
+        context[k] = np.frombuffer(p.as_buffer(), np.float32)
+    context = context.reshape(BUCKETS, DIMS)
     words, shapes = word_vectors(context), index_vectors(SHAPES, 12)
     held = docs.sparkSession.sparkContext.broadcast((words.astype(np.float32), shapes))
 

@@ -62,3 +62,16 @@ def test_quality_learns_from_all_labelled_rows_outside_the_fold(spark, sf):
     want = quality.fit(words, shapes, np.array([r[2] for r in rows]), np.array([r[1] for r in rows]))
     some = np.array([r[2] for r in rows])
     assert np.allclose(model.scores(some), want.scores(some), atol=1e-5)
+
+
+def test_quality_sums_are_added_up_by_spark(spark, monkeypatch):
+    """The driver gets one sum of neighbours in all, not one a task; the model is the same from any number of files."""
+    from frameflow.llm import quality
+
+    docs = spark.createDataFrame([(k, f"alpha beta w{k % 7} gamma {k % 3}") for k in range(120)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id bigint, quality int")
+    sizes, fetch = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: sizes.append(fetch(df)) or sizes[-1])
+    one, many = quality.train(docs.coalesce(1), labels), quality.train(docs.repartition(40), labels)
+    assert (one.words == many.words).all() and (one.w1 == many.w1).all()
+    assert len(sizes) == 2 and all(0 < t.nbytes < 1.1 * quality.BUCKETS * quality.DIMS * 4 for t in sizes)
