@@ -4,8 +4,7 @@ Counts of all words of the training fold are made by Spark, stay a table and gro
 frequent words, the end, and one target for all other words are the model's targets. The prediction of a position is the
 sum of its three earlier words' vectors, each times the matrix of its place; a target's score is the prediction times the
 target's vector, plus a bias. All of that is trained by noise-contrastive estimation on mini-batches of real text:
-windows drawn with equal probability from all positions of the training fold, against noise sampled from the base.
-One position in ``EVERY`` is drawn (more where that is fewer than ``WINDOWS``), so the windows grow with the input. They
+the windows of all positions of the training fold, against noise sampled from the base. They
 stay on the executors: each ``TRAINER`` windows are one group, which takes mini-batch steps from the common parameters,
 and after each round a parameter becomes its mean over the groups that moved it. More text means more groups, and each
 takes as many steps as one would alone. Only averaged parameters reach the driver; their size is that of the targets.
@@ -36,11 +35,12 @@ from frameflow.llm.held_out import held_out, learnable
 
 WORDS, CLASSES = 16_384, 128
 LOCAL = 100_000
-EVERY, WINDOWS = 32, 1_000_000  # one position in EVERY is drawn, and at least WINDOWS of them where there are as many
+EVERY, WINDOWS = 1, 1_000_000  # one position in EVERY is learnt from (all of them), and at least WINDOWS where there are as many
+DRAWN = 1 << 18  # positions whose windows are made at once
 TRAINER = 1_000_000  # windows that one group learns from
 CHUNK = 4096  # windows that stay together
 PLACES, DIMS = 3, 16
-BATCH, NOISE, ROUNDS, STEPS, CLASS_STEPS, RATE = 2048, 128, 2, 450, 250, 0.15  # steps a round, at least one pass
+BATCH, NOISE, ROUNDS, STEPS, CLASS_STEPS, RATE = 2048, 128, 2, 450, 250, 0.15  # steps a round, or one pass where that is more
 ADD = 0.1
 SLICE = 1 << 16  # positions scored at once
 
@@ -85,17 +85,27 @@ def sampled_windows(docs: DataFrame, own: dict[bytes, int], share: float, groups
         import pyarrow as pa
 
         number = held.value
+
+        def windows_of(numbers: list[np.ndarray], drawn: list[np.ndarray]):
+            flat, at = _chain(numbers, n + 1, n + 1)
+            at = at[np.concatenate(drawn)]
+            found = np.stack([*(flat[at - i] for i in range(1, PLACES + 1)), flat[at]], 1).astype(_kind(n))
+            chunks = [found[k : k + CHUNK].tobytes() for k in range(0, len(found), CHUNK)]
+            grp = [zlib.crc32(c) % groups for c in chunks]
+            return pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(chunks, pa.binary())], names=["grp", "w"])
+
         for batch in batches:
-            found = []
+            numbers, drawn, size = [], [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                at = np.flatnonzero(np.random.default_rng(zlib.crc32(str(doc).encode())).random(len(words) + 1) < share)
-                for k in at.tolist():
-                    before = [number.get(words[k - i], n) if k >= i else n + 1 for i in range(1, PLACES + 1)]
-                    found.append([*before, number.get(words[k], n) if k < len(words) else n + 1])
-            chunks = [np.array(found[k : k + CHUNK], _kind(n)).tobytes() for k in range(0, len(found), CHUNK)]
-            grp = [zlib.crc32(c) % groups for c in chunks]
-            yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(chunks, pa.binary())], names=["grp", "w"])
+                numbers.append(np.array([number.get(w, n) for w in words], np.int64))
+                drawn.append(np.ones(len(words) + 1, bool) if share >= 1 else np.random.default_rng(zlib.crc32(str(doc).encode())).random(len(words) + 1) < share)
+                size += len(words) + 1
+                if size > DRAWN:
+                    yield windows_of(numbers, drawn)
+                    numbers, drawn, size = [], [], 0
+            if numbers:
+                yield windows_of(numbers, drawn)
 
     return materialise(docs.select("id", "text").mapInArrow(work, "grp int, w binary"), "windows")
 
@@ -208,10 +218,10 @@ def word_steps(tables: list[Table], windows: np.ndarray, base: np.ndarray, seed:
 
 
 def class_steps(tables: list[Table], windows: np.ndarray, fixed: tuple, seed: int) -> None:
-    """Class vectors by the same objective; ``fixed``: context tables, each target's class, the classes' shares."""
+    """Class vectors by the same objective, at least one pass too; ``fixed``: context tables, each target's class, the classes' shares."""
     contexts, cls, share = fixed
     rng, totals, log_share = np.random.default_rng(seed), np.cumsum(share) / share.sum(), np.log(NOISE * share)
-    for w in _batches(windows, CLASS_STEPS, rng):
+    for w in _batches(windows, max(CLASS_STEPS, -(-len(windows) // BATCH)), rng):
         noise = np.minimum(np.searchsorted(totals, rng.random(NOISE)), len(share) - 1)
         _contrast(sum(t[w[:, i]] for i, t in enumerate(contexts)), tables[0], cls[w[:, PLACES]], noise, log_share)
 

@@ -257,3 +257,14 @@ def test_lm_edge_cases(spark, edge_docs, no_docs):
     alone = spark.createDataFrame([(None, "a b")], "doc_id bigint, text string")
     r = lm.score(alone).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (3, 0, 0) and math.isfinite(r["score"])
+
+
+def test_lm_learns_from_all_positions(spark, monkeypatch):
+    """Every position of the training fold is a window, also where there are more than WINDOWS of them."""
+    monkeypatch.setattr(lm, "WINDOWS", 50)
+    monkeypatch.setattr(lm, "DRAWN", 100)
+    docs = spark.createDataFrame([(k, f"a b w{k % 9} a " * (k % 5)) for k in range(200)], "doc_id bigint, text string")
+    seen, make = [], lm.sampled_windows
+    monkeypatch.setattr(lm, "sampled_windows", lambda *args: seen.append(make(*args)) or seen[-1])
+    tokens = lm.score(docs, targets=20, classes=4).first()["train_tokens"]
+    assert sum(len(r["w"]) // 8 for r in seen[0].collect()) == tokens > 1000
