@@ -4,8 +4,8 @@ Counts of all words of the training fold are made by Spark, stay a table and gro
 frequent words, the end, and one target for all other words are the model's targets. The prediction of a position is the
 sum of its three earlier words' vectors, each times the matrix of its place; a target's score is the prediction times the
 target's vector, plus a bias. All of that is trained by noise-contrastive estimation on mini-batches of real text:
-the windows of all positions of the training fold, against noise sampled from the base. They
-stay on the executors: each ``TRAINER`` windows are one group, which takes mini-batch steps from the common parameters,
+the windows of all positions of the training fold, against noise sampled from the base. Positions are written as one
+number each and stay on the executors, where windows are made from them: each ``TRAINER`` windows are one group, which takes mini-batch steps from the common parameters,
 and after each round a parameter becomes its mean over the groups that moved it. More text means more groups, and each
 takes as many steps as one would alone. Only averaged parameters reach the driver; their size is that of the targets.
 
@@ -23,10 +23,12 @@ word; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +77,10 @@ def _chain(numbers: list[np.ndarray], start: int, end: int) -> tuple[np.ndarray,
 
 
 def sampled_windows(docs: DataFrame, own: dict[bytes, int], share: float, groups: int) -> DataFrame:
-    """grp and w, chunks of windows as bytes (the ``PLACES`` words before, nearest first, and the target); each position is
-    drawn with probability ``share``, and chunks are dealt to ``groups`` by their checksums."""
+    """grp, ids, share and w: chunks of text, dealt to ``groups`` by their checksums, and their windows as bytes (the
+    ``PLACES`` words before, nearest first, and the target); each position is drawn with probability ``share``.
+
+    Only ``ids`` are written, one number a position: windows, four times as long, are made where they are asked for."""
     n, held = len(own), docs.sparkSession.sparkContext.broadcast(own)
 
     def work(batches):
@@ -86,33 +90,45 @@ def sampled_windows(docs: DataFrame, own: dict[bytes, int], share: float, groups
 
         number = held.value
 
-        def windows_of(numbers: list[np.ndarray], drawn: list[np.ndarray]):
-            flat, at = _chain(numbers, n + 1, n + 1)
-            at = at[np.concatenate(drawn)]
-            found = np.stack([*(flat[at - i] for i in range(1, PLACES + 1)), flat[at]], 1).astype(_kind(n))
-            chunks = [found[k : k + CHUNK].tobytes() for k in range(0, len(found), CHUNK)]
+        def chunks_of(numbers: list[np.ndarray]):
+            flat, at = _chain(numbers, n + 2, n + 1)
+            flat = flat.astype(_kind(n))
+            chunks = [flat[at[k] - PLACES : at[min(k + CHUNK, len(at)) - 1] + 1].tobytes() for k in range(0, len(at), CHUNK)]
             grp = [zlib.crc32(c) % groups for c in chunks]
-            return pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(chunks, pa.binary())], names=["grp", "w"])
+            return pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(chunks, pa.binary())], names=["grp", "ids"])
 
         for batch in batches:
-            numbers, drawn, size = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            numbers, size = [], 0
+            for text in batch.column(0):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
                 numbers.append(np.array([number.get(w, n) for w in words], np.int64))
-                drawn.append(np.ones(len(words) + 1, bool) if share >= 1 else np.random.default_rng(zlib.crc32(str(doc).encode())).random(len(words) + 1) < share)
                 size += len(words) + 1
                 if size > DRAWN:
-                    yield windows_of(numbers, drawn)
-                    numbers, drawn, size = [], [], 0
+                    yield chunks_of(numbers)
+                    numbers, size = [], 0
             if numbers:
-                yield windows_of(numbers, drawn)
+                yield chunks_of(numbers)
+
+    @F.pandas_udf("binary")
+    def windows(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda c: windows_in(c, n, share).tobytes())
+
+    return materialise(docs.select("text").mapInArrow(work, "grp int, ids binary"), "windows").select("grp", "ids", F.lit(float(share)).alias("share"), windows("ids").alias("w"))
 
-    return materialise(docs.select("id", "text").mapInArrow(work, "grp int, w binary"), "windows")
+
+def windows_in(ids: bytes, n: int, share: float) -> np.ndarray:
+    """A row for each position drawn of a chunk, whose first ``PLACES`` numbers are context; starts (n + 2) are no targets."""
+    flat = np.frombuffer(ids, _kind(n)).copy()
+    at = np.flatnonzero(flat[PLACES:] != n + 2) + PLACES
+    if share < 1:
+        at = at[np.random.default_rng(zlib.crc32(ids)).random(len(at)) < share]
+    flat[flat == n + 2] = n + 1
+    return np.stack([flat[at - i] for i in (*range(1, PLACES + 1), 0)], 1)
 
 
 def _kind(n: int) -> str:
-    """How ``n`` words, the target for others and the end or start are stored."""
-    return "<u2" if n + 2 <= 1 << 16 else "<i4"
+    """How ``n`` words, the target for others, the end and the start are stored."""
+    return "<u2" if n + 3 <= 1 << 16 else "<i4"
 
 
 @dataclass
@@ -136,61 +152,82 @@ class Model:
         return out
 
     def _slice(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        q = sum(t[contexts[:, i]] for i, t in enumerate(self.places))
-        place = self.order[targets]
-        cls = np.searchsorted(self.starts, place, "right") - 1
-        out = _chosen(q @ self.class_vectors.T + self.class_bias, cls)
-        by = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[by], np.arange(len(self.starts) + 1))
-        bounds = [*self.starts.tolist(), len(self.bias)]
+        q = _with_ones(sum(t.take(contexts[:, i], 0) for i, t in enumerate(self.places)))
+        place, bounds = self.order[targets], [*self.starts.tolist(), len(self.bias)]
+        cls = np.repeat(np.arange(len(self.starts)), np.diff(bounds))[place]
+        out = _chosen(q, np.column_stack([self.class_vectors, self.class_bias]), cls)
+        by = np.argsort(cls.astype(np.uint16), kind="stable")
+        ends, q, place, inside = np.searchsorted(cls[by], np.arange(len(bounds))), q.take(by, 0), place[by], np.empty(len(by))
         for c in np.flatnonzero(np.diff(ends)).tolist():
-            rows, a, b = by[ends[c] : ends[c + 1]], bounds[c], bounds[c + 1]
-            out[rows] += _chosen(q[rows] @ self.vectors[a:b].T + self.bias[a:b], place[rows] - a)
+            rows, a, b = slice(ends[c], ends[c + 1]), bounds[c], bounds[c + 1]
+            inside[rows] = _chosen(q[rows], np.column_stack([self.vectors[a:b], self.bias[a:b]]), place[rows] - a)
+        out[by] += inside
         return out
 
 
-def _chosen(scores: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The log-softmax of one column a row."""
-    scores -= scores.max(1, keepdims=True)
-    picked = scores[np.arange(len(scores)), which].astype(np.float64)
-    np.exp(scores, out=scores)
-    return picked - np.log(scores.sum(1, dtype=np.float64))
+def _with_ones(q: np.ndarray) -> np.ndarray:
+    """A last column of ones, which meets the bias."""
+    out = np.ones((len(q), q.shape[1] + 1), np.float32)
+    out[:, :-1] = q
+    return out
+
+
+def _chosen(q: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The log-softmax of one row of ``rows`` (vectors and bias) a prediction, for a few at a time, so that scores stay in a
+    processor's cache."""
+    out, columns = np.empty(len(q)), np.ascontiguousarray(rows.T, np.float32)
+    for k in range(0, len(q), BATCH):
+        scores = q[k : k + BATCH] @ columns
+        scores -= scores.max(1, keepdims=True)
+        picked = scores[np.arange(len(scores)), which[k : k + BATCH]].astype(np.float64)
+        np.exp(scores, out=scores)
+        out[k : k + BATCH] = picked - np.log(scores.sum(1).astype(np.float64))
+    return out
 
 
 @dataclass
 class Table:
-    """Parameters under Adagrad; ``rows`` names the rows of a sparse gradient, which may repeat."""
+    """Parameters under Adagrad, of single precision; ``rows`` names the rows of a sparse gradient, which may repeat."""
 
     value: np.ndarray
     seen: np.ndarray
 
     @classmethod
     def of(cls, value: np.ndarray) -> Table:
-        return cls(value, np.full(value.shape, 1e-3))
+        return cls(value.astype(np.float32), np.full(value.shape, 1e-3, np.float32))
 
     def step(self, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
         if rows is None:
             self.seen += grad * grad
             self.value += RATE * grad / np.sqrt(self.seen)
             return
-        order = np.argsort(rows, kind="stable")
-        ids, first = np.unique(rows[order], return_index=True)
-        total = np.add.reduceat(grad[order], first)
-        self.seen[ids] += total * total
-        self.value[ids] += RATE * total / np.sqrt(self.seen[ids])
+        order = np.argsort(rows.astype(np.uint16) if len(self.value) <= 1 << 16 else rows, kind="stable")  # a radix sort
+        sorted_ = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+        ids, total = sorted_[first], np.add.reduceat(grad.take(order, 0), first)
+        seen = self.seen.take(ids, 0) + total * total
+        self.seen[ids] = seen
+        total *= np.float32(RATE)
+        total /= np.sqrt(seen)
+        self.value[ids] += total
 
 
 def _contrast(q: np.ndarray, targets: Table, target: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> np.ndarray:
     """One step of ``targets`` (vectors, and the bias as the last column) by the noise-contrastive objective, and the
-    gradient by prediction. All tokens share ``noise``."""
-    vectors, bias = targets.value[:, :-1], targets.value[:, -1]
-    own = np.einsum("ij,ij->i", q, vectors[target]) + bias[target] - log_noise[target]
-    other = q @ vectors[noise].T + bias[noise] - log_noise[noise]
-    up = 1 / (1 + np.exp(np.clip(own, -30, 30)))  # the probability that a token is taken for noise
-    down = -1 / (1 + np.exp(np.clip(-other, -30, 30)))
-    by_q = up[:, None] * vectors[target] + down @ vectors[noise]
-    by_vector, by_bias = np.concatenate([up[:, None] * q, down.T @ q]), np.concatenate([up, down.sum(0)])
-    targets.step(np.column_stack([by_vector, by_bias]), np.concatenate([target, noise]))
+    gradient by prediction; ``q`` has a last column of ones. All tokens share ``noise``; what was drawn twice counts twice."""
+    noise, times = np.unique(noise, return_counts=True)
+    mine, others = targets.value.take(target, 0), targets.value.take(noise, 0)
+    shifted = -others.T
+    shifted[-1] += log_noise[noise]
+    with np.errstate(over="ignore"):
+        up = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, mine) - log_noise[target]))  # the probability that a token is taken for noise
+        down = q @ shifted  # and that noise is taken for a token
+        np.exp(down, out=down)
+    down += 1
+    np.reciprocal(down, out=down)
+    times = times.astype(np.float32)[:, None]
+    by_q = up[:, None] * mine[:, :-1] - down @ (times * others[:, :-1])
+    targets.step(np.concatenate([up[:, None] * q, -times * (down.T @ q)]), np.concatenate([target, noise]))
     return by_q
 
 
@@ -206,24 +243,24 @@ def _batches(windows: np.ndarray, steps: int, rng: np.random.Generator):
 def word_steps(tables: list[Table], windows: np.ndarray, base: np.ndarray, seed: int) -> None:
     """One round of a group: at least one pass over its ``windows``, against noise from ``base``."""
     words, mixing, targets = tables
-    rng, totals, log_noise = np.random.default_rng(seed), np.cumsum(base) / base.sum(), np.log(NOISE * base)
+    rng, totals, log_noise = np.random.default_rng(seed), np.cumsum(base) / base.sum(), np.log(NOISE * base).astype(np.float32)
     for w in _batches(windows, max(STEPS, -(-len(windows) // BATCH)), rng):
-        contexts, target = w[:, :PLACES], w[:, PLACES]
+        contexts, target = w[:, :PLACES].ravel(), w[:, PLACES]
         noise = np.minimum(np.searchsorted(totals, rng.random(NOISE)), len(base) - 1)
-        before, places = [words.value[contexts[:, i]] for i in range(PLACES)], mixing.value.reshape(PLACES, DIMS, DIMS)
-        by_q = _contrast(sum(b @ p for b, p in zip(before, places, strict=True)), targets, target, noise, log_noise)
-        by_words = np.concatenate([by_q @ p.T for p in places])
-        mixing.step(np.concatenate([b.T @ by_q for b in before]))
-        words.step(by_words, contexts.T.ravel())
+        before = words.value.take(contexts, 0).reshape(len(w), -1)
+        by_q = _contrast(_with_ones(before @ mixing.value), targets, target, noise, log_noise)
+        by_words = (by_q @ mixing.value.T).reshape(len(contexts), -1)
+        mixing.step(before.T @ by_q)
+        words.step(by_words, contexts)
 
 
 def class_steps(tables: list[Table], windows: np.ndarray, fixed: tuple, seed: int) -> None:
     """Class vectors by the same objective, at least one pass too; ``fixed``: context tables, each target's class, the classes' shares."""
     contexts, cls, share = fixed
-    rng, totals, log_share = np.random.default_rng(seed), np.cumsum(share) / share.sum(), np.log(NOISE * share)
+    rng, totals, log_share = np.random.default_rng(seed), np.cumsum(share) / share.sum(), np.log(NOISE * share).astype(np.float32)
     for w in _batches(windows, max(CLASS_STEPS, -(-len(windows) // BATCH)), rng):
         noise = np.minimum(np.searchsorted(totals, rng.random(NOISE)), len(share) - 1)
-        _contrast(sum(t[w[:, i]] for i, t in enumerate(contexts)), tables[0], cls[w[:, PLACES]], noise, log_share)
+        _contrast(_with_ones(sum(t.take(w[:, i], 0) for i, t in enumerate(contexts))), tables[0], cls[w[:, PLACES]], noise, log_share)
 
 
 def groups_of(windows: DataFrame, n: int):
@@ -239,26 +276,26 @@ def groups_of(windows: DataFrame, n: int):
 
             start, fixed = held.value
             own = [Table(t.value.copy(), t.seen.copy()) for t in start]
-            chunks = sorted(rows.column("w").to_pylist())
-            step(own, np.frombuffer(b"".join(chunks), _kind(n)).reshape(-1, PLACES + 1), fixed, seed + key[0].as_py())
+            share = rows.column("share")[0].as_py()
+            step(own, np.concatenate([windows_in(c, n, share) for c in sorted(rows.column("ids").to_pylist())]), fixed, seed + key[0].as_py())
             out = []
             for k, (t, old) in enumerate(zip(own, start, strict=True)):
                 moved = np.flatnonzero((t.seen != old.seen).any(1))
-                both = np.concatenate([t.value[moved], t.seen[moved]], 1).astype(np.float32)
+                both = np.concatenate([t.value[moved], t.seen[moved]], 1)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(both.ravel()), both.shape[1]).cast(pa.list_(pa.float32()))
                 out.append(pa.table([pa.array(np.full(len(moved), k, np.int32)), pa.array(moved, pa.int32()), lists], ["k", "row", "v"]))
             return pa.concat_tables(out)
 
-        moved = windows.groupBy("grp").applyInArrow(work, "k int, row int, v array<float>")
+        moved = windows.select("grp", "ids", "share").groupBy("grp").applyInArrow(work, "k int, row int, v array<float>")
         width = 2 * max(t.value.shape[1] for t in tables)
-        means = moved.groupBy("k", "row").agg(*[F.avg(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(width)]).toArrow()
+        sums = moved.groupBy("k", "row").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(width)]).toArrow()
         held.unpersist()
-        which, rows = means.column("k").to_numpy(), means.column("row").to_numpy()
+        which, rows, times = (sums.column(c).to_numpy() for c in ("k", "row", "n"))
         for k, t in enumerate(tables):
             w, mine = t.value.shape[1], which == k
             for i in range(w):
-                t.value[rows[mine], i] = means.column(f"v{i}").to_numpy()[mine]
-                t.seen[rows[mine], i] = means.column(f"v{w + i}").to_numpy()[mine]
+                t.value[rows[mine], i] = sums.column(f"v{i}").to_numpy()[mine] / times[mine]
+                t.seen[rows[mine], i] = sums.column(f"v{w + i}").to_numpy()[mine] / times[mine]
         return tables
 
     return run
@@ -285,7 +322,7 @@ def train(run, base: np.ndarray, classes: int = CLASSES, seed: int = 3) -> Model
     for k in range(ROUNDS):
         tables = run(word_steps, tables, base, (seed + k) << 32)
     words, mixing, targets = (t.value for t in tables)
-    contexts, vectors = [words @ p for p in mixing.reshape(PLACES, DIMS, DIMS)], targets[:, :-1]
+    contexts, vectors = [np.ascontiguousarray(words @ p) for p in mixing.reshape(PLACES, DIMS, DIMS)], targets[:, :-1]
     groups = _halves(vectors, np.arange(n), max(0, min(classes, n).bit_length() - 1))
     in_order = np.concatenate(groups)
     starts = np.cumsum([0, *map(len, groups)])[:-1]

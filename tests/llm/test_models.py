@@ -268,3 +268,26 @@ def test_lm_learns_from_all_positions(spark, monkeypatch):
     monkeypatch.setattr(lm, "sampled_windows", lambda *args: seen.append(make(*args)) or seen[-1])
     tokens = lm.score(docs, targets=20, classes=4).first()["train_tokens"]
     assert sum(len(r["w"]) // 8 for r in seen[0].collect()) == tokens > 1000
+
+
+def test_lm_windows_are_kept_as_one_number_a_position(spark, monkeypatch):
+    """Windows of all positions, over chunks of long documents too, from two bytes a position: neither written nor shuffled."""
+    monkeypatch.setattr(lm, "CHUNK", 50)
+    monkeypatch.setattr(lm, "DRAWN", 100)
+    own = {b"w%d" % k: k for k in range(30)}
+    texts = [None, "", *(" ".join(f"w{(k * i) % 33}" for i in range(k * 5)) for k in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").repartition(3, "id")
+    df = lm.sampled_windows(docs, own, 1.0, 4)
+    rows = df.collect()
+    want = Counter()
+    for t in texts:
+        chain = [31, 31, 31, *[own.get(w.encode(), 30) for w in (t or "").split()], 31]
+        want += Counter(tuple(chain[k - i] for i in (1, 2, 3, 0)) for k in range(3, len(chain)))
+    got = Counter(tuple(map(int, x)) for r in rows for x in np.frombuffer(r["w"], "<u2").reshape(-1, 4))
+    assert got == want and max(want.values()) > 1
+    stored = spark.read.parquet(*df.inputFiles())
+    assert stored.columns == ["grp", "ids"] and sum(len(r["ids"]) for r in rows) < sum(len(r["w"]) for r in rows) / 3
+    seen = []
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *c, of=type(df).groupBy: seen.append(self) or of(self, *c))
+    lm.groups_of(df, 30)(lambda *a: None, [lm.Table.of(np.ones((5, 3)))], None, 1)
+    assert seen[0].columns == ["grp", "ids", "share"] and "windows" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
