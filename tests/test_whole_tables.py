@@ -126,3 +126,24 @@ def test_nearest_within_against_brute_force(spark):
     assert got == want and 200 < len(want) < 400
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") > 1  # small radii come first
+
+
+def test_nearest_within_deals_more_rows_into_more_partitions(spark, monkeypatch):
+    """A task sorts a bounded number of rows at any size, so its memory doesn't grow with the tables."""
+    rng = np.random.default_rng(10)
+    right = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(0, 60, (400, 2)))]
+    left = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(-20, 160, (300, 2)) / 2)]
+    frame = lambda rows: spark.createDataFrame(rows, "id bigint, x double, y double")
+    places = len({r[1:] for r in right})
+    want = {}
+    for k, x, y in left:
+        d2, best = min(((x - u) ** 2 + (y - v) ** 2, j) for j, u, v in right)
+        if d2 <= 25:
+            want[k] = (best, d2**0.5)
+    for asked in (10_000, 100, 50):
+        monkeypatch.setattr(match, "ASKED", asked)
+        found = match.nearest_within(frame(left), frame(right), 5.0)
+        assert {r["left_id"]: (r["right_id"], r["distance"]) for r in found.collect()} == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        n = -(-(4 * len(left) + places) // asked)
+        assert plan.count(f"L, {n}") + plan.count(f"], {n}\n") >= 2, plan
