@@ -24,7 +24,7 @@ word; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,25 +32,68 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameflow.llm.common import lower_ascii, materialise
+from frameflow.llm.common import materialise
 from frameflow.llm.held_out import held_out, learnable
 
 WORDS, CLASSES = 16_384, 128
 LOCAL = 100_000
 EVERY, WINDOWS = 1, 1_000_000  # one position in EVERY is learnt from (all of them), and at least WINDOWS where there are as many
-DRAWN = 1 << 18  # positions whose windows are made at once
+DRAWN = 1 << 18  # positions, or so, whose windows are made at once
 TRAINER = 1_000_000  # windows that one group learns from
 CHUNK = 4096  # windows that stay together
 PLACES, DIMS = 3, 16
 BATCH, NOISE, ROUNDS, STEPS, CLASS_STEPS, RATE = 2048, 128, 2, 450, 250, 0.15  # steps a round, or one pass where that is more
 ADD = 0.1
 SLICE = 1 << 16  # positions scored at once
+NEAR = 512  # predictions whose scores stay in a processor's cache
+PART = 4 << 20  # bytes of texts whose words are told apart at once; a longer text is one part
+
+
+def _parts(texts, most: int) -> Iterator:
+    """Slices of an Arrow column of some ``most`` bytes, or of one longer text."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+        yield texts.slice(first, last - first)
+        first = last
+
+
+def _words(texts) -> tuple:
+    """The words of an Arrow column of texts, lower-cased (ASCII) and end to end, and how many each text has."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    real = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return flat.filter(real).cast(pa.binary()), np.diff(before[ends])
+
+
+def _numbers(words, known) -> np.ndarray:
+    """The place of each word in the Arrow array ``known``, -1 for others."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word (lower-cased ASCII, bytes) and c over whole texts; the end isn't among them."""
-    words = F.split(lower_ascii(F.col(text_col)), r"[\x20\x09-\x0D]+")
-    return docs.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+
+    def work(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for part in _parts(batch.column(0), 4 * PART):
+                words, counts = pc.value_counts(_words(part)[0]).flatten()
+                yield pa.RecordBatch.from_arrays([words, counts], names=["word", "c"])
+
+    parts = docs.select(text_col).mapInArrow(work, "word binary, c bigint")
+    return parts.select(F.col("word").cast("string").alias("word"), "c").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def frequent(counts: DataFrame, most: int) -> list:
@@ -68,12 +111,14 @@ def frequent(counts: DataFrame, most: int) -> list:
     return sorted(counts.where(wanted).collect(), key=lambda r: (-r["c"], r["word"]))
 
 
-def _chain(numbers: list[np.ndarray], start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents laid end to end, each after ``PLACES`` starts and before its end, and the positions that are targets."""
-    flat = np.concatenate([x for ids in numbers for x in (np.full(PLACES, start), ids, [end])]).astype(np.int64)
-    lengths = np.array([len(ids) + 1 for ids in numbers])
-    firsts = np.cumsum(lengths + PLACES) - lengths
-    return flat, np.repeat(firsts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+def _chain(ids: np.ndarray, lengths: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of these ``lengths`` laid end to end, each after ``PLACES`` starts and before its end, and the positions
+    that are targets."""
+    firsts = np.cumsum(lengths + PLACES + 1) - lengths - 1
+    spread = lambda n: np.repeat(firsts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    flat = np.full(len(ids) + len(lengths) * (PLACES + 1), start, np.int64)
+    flat[spread(lengths)], flat[firsts + lengths] = ids, end
+    return flat, spread(lengths + 1)
 
 
 def sampled_windows(docs: DataFrame, own: dict[bytes, int], share: float, groups: int) -> DataFrame:
@@ -84,30 +129,18 @@ def sampled_windows(docs: DataFrame, own: dict[bytes, int], share: float, groups
     n, held = len(own), docs.sparkSession.sparkContext.broadcast(own)
 
     def work(batches):
-        import zlib
-
         import pyarrow as pa
 
-        number = held.value
-
-        def chunks_of(numbers: list[np.ndarray]):
-            flat, at = _chain(numbers, n + 2, n + 1)
-            flat = flat.astype(_kind(n))
-            chunks = [flat[at[k] - PLACES : at[min(k + CHUNK, len(at)) - 1] + 1].tobytes() for k in range(0, len(at), CHUNK)]
-            grp = [zlib.crc32(c) % groups for c in chunks]
-            return pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(chunks, pa.binary())], names=["grp", "ids"])
-
+        known = pa.array(list(held.value), pa.binary())
+        number = np.array([*held.value.values(), n])  # -1, of others, is the last
         for batch in batches:
-            numbers, size = [], 0
-            for text in batch.column(0):
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                numbers.append(np.array([number.get(w, n) for w in words], np.int64))
-                size += len(words) + 1
-                if size > DRAWN:
-                    yield chunks_of(numbers)
-                    numbers, size = [], 0
-            if numbers:
-                yield chunks_of(numbers)
+            for part in _parts(batch.column(0), 8 * DRAWN):
+                words, lengths = _words(part)
+                flat, at = _chain(number[_numbers(words, known)], lengths, n + 2, n + 1)
+                flat = flat.astype(_kind(n))
+                chunks = [flat[at[k] - PLACES : at[min(k + CHUNK, len(at)) - 1] + 1].tobytes() for k in range(0, len(at), CHUNK)]
+                grp = [zlib.crc32(c) % groups for c in chunks]
+                yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(chunks, pa.binary())], names=["grp", "ids"])
 
     @F.pandas_udf("binary")
     def windows(ids: pd.Series) -> pd.Series:
@@ -174,14 +207,17 @@ def _with_ones(q: np.ndarray) -> np.ndarray:
 
 def _chosen(q: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The log-softmax of one row of ``rows`` (vectors and bias) a prediction, for a few at a time, so that scores stay in a
-    processor's cache."""
-    out, columns = np.empty(len(q)), np.ascontiguousarray(rows.T, np.float32)
-    for k in range(0, len(q), BATCH):
-        scores = q[k : k + BATCH] @ columns
-        scores -= scores.max(1, keepdims=True)
-        picked = scores[np.arange(len(scores)), which[k : k + BATCH]].astype(np.float64)
+    processor's cache. Where no score can be large, none is taken off before the exponentials."""
+    out, columns, ones = np.empty(len(q)), np.ascontiguousarray(rows.T, np.float32), np.ones(len(rows), np.float32)
+    longest = lambda x: float(np.einsum("ij,ij->i", x, x).max(initial=0)) ** 0.5
+    small = longest(q) * longest(rows) < 60
+    for k in range(0, len(q), NEAR):
+        scores = q[k : k + NEAR] @ columns
+        if not small:
+            scores -= scores.max(1, keepdims=True)
+        picked = scores[np.arange(len(scores)), which[k : k + NEAR]].astype(np.float64)
         np.exp(scores, out=scores)
-        out[k : k + BATCH] = picked - np.log(scores.sum(1).astype(np.float64))
+        out[k : k + NEAR] = picked - np.log((scores @ ones).astype(np.float64))
     return out
 
 
@@ -204,12 +240,21 @@ class Table:
         order = np.argsort(rows.astype(np.uint16) if len(self.value) <= 1 << 16 else rows, kind="stable")  # a radix sort
         sorted_ = rows[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        ids, total = sorted_[first], np.add.reduceat(grad.take(order, 0), first)
+        ids, total = sorted_[first], _sums(grad.take(order, 0), first)
         seen = self.seen.take(ids, 0) + total * total
         self.seen[ids] = seen
         total *= np.float32(RATE)
         total /= np.sqrt(seen)
-        self.value[ids] += total
+        total += self.value.take(ids, 0)
+        self.value[ids] = total
+
+
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows, two columns at a time, as real and imaginary part."""
+    if x.shape[1] % 2:
+        x = np.column_stack([x, np.zeros(len(x), x.dtype)])
+        return _sums(x, first)[:, :-1]
+    return np.add.reduceat(x.view(np.complex64), first).view(np.float32)
 
 
 def _contrast(q: np.ndarray, targets: Table, target: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> np.ndarray:
@@ -235,8 +280,8 @@ def _batches(windows: np.ndarray, steps: int, rng: np.random.Generator):
     at = len(windows)
     for _ in range(steps if len(windows) else 0):
         if at + BATCH > len(windows):
-            mixed, at = rng.permutation(len(windows)), 0
-        yield windows[mixed[at : at + BATCH]].astype(np.int64)
+            mixed, at = windows.take(rng.permutation(len(windows)), 0), 0
+        yield mixed[at : at + BATCH].astype(np.int64)
         at += BATCH
 
 
@@ -346,10 +391,9 @@ def score(docs: DataFrame, folds: int = 10, targets: int = WORDS, classes: int =
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, kinds = words + ends, kinds + (ends > 0)
     often = [(r["word"].encode("utf-8", "surrogatepass"), r["c"]) for r in frequent(counts, local)]
-    number = {w: k for k, (w, _) in enumerate(often)}
     often_c = np.array([c for _, c in often], np.int64)
     n = min(targets, len(often))
-    own = {w: k for w, k in number.items() if k < n}
+    own = {w: k for k, (w, _) in enumerate(often[:n])}
     space = tokens + ADD * (kinds + 1)
     other_c, other_kinds = words - int(often_c[:n].sum()), kinds - n - (ends > 0)
     other_space = other_c + ADD * (other_kinds + 1)
@@ -357,7 +401,7 @@ def score(docs: DataFrame, folds: int = 10, targets: int = WORDS, classes: int =
     base /= base.sum()
     share = min(1.0, max(1 / EVERY, WINDOWS / max(1, tokens)))
     model = train(groups_of(sampled_windows(learn, own, share, max(1, round(tokens * share / TRAINER))), len(own)), base, classes)
-    held = spark.sparkContext.broadcast((number, np.log10(often_c + ADD), model))
+    held = spark.sparkContext.broadcast(([w for w, _ in often], np.log10(often_c + ADD), model))
     log_space, log_other, end_part = np.log10(space), np.log10(other_space), np.log10(ends + ADD)
     schema = "row bigint, word binary, tf bigint, id bigint, n_tokens bigint, n_known bigint, base double, model double"
 
@@ -367,50 +411,44 @@ def score(docs: DataFrame, folds: int = 10, targets: int = WORDS, classes: int =
 
         ctx = TaskContext.get()
         columns = ["row", "word", "tf", "id", "n_tokens", "n_known", "base", "model"]
-        row, (number, logs, model) = (ctx.partitionId() if ctx else 0) << 33, held.value
+        row, (words, logs, model) = (ctx.partitionId() if ctx else 0) << 33, held.value
+        known, logs = pa.array(words, pa.binary()), np.append(logs, 0.0)  # -1, of rarer words, is the last
+        long, real = pa.int64(), pa.float64()
 
-        def rows_of(docs: list[tuple]):
+        def rows_of(docs, texts):
             nonlocal row
-            out: list[list] = [[] for _ in range(6)]
-            rare_words, rare_tf, rare_kinds, first = [], [], [], row
-            flat, at = _chain([np.where((ids >= 0) & (ids < n), ids, n) for _, _, ids in docs], n + 1, n + 1)
+            found, lengths = _words(texts)
+            ids = _numbers(found, known)
+            flat, at = _chain(np.where((ids >= 0) & (ids < n), ids, n), lengths, n + 1, n + 1)
             log = np.empty(len(at))
             for k in range(0, len(at), SLICE):
                 part = at[k : k + SLICE]
                 log[k : k + SLICE] = model.log_probabilities(np.stack([flat[part - i] for i in range(1, PLACES + 1)], 1), flat[part])
-            sums = np.add.reduceat(log, np.cumsum([0, *[len(ids) + 1 for _, _, ids in docs]])[:-1]) / np.log(10)
-            for (doc, words, ids), own_sum in zip(docs, sums.tolist(), strict=True):
-                near, unknown = ids[ids >= n], np.flatnonzero(ids < 0)
-                base = logs[ids[ids >= 0]].sum() + end_part - (len(words) + 1) * log_space
-                others = logs[near].sum() - (len(near) + len(unknown)) * log_other
-                summary = (b"\0" + row.to_bytes(8, "big"), doc, len(words) + 1, len(ids) - len(unknown) + (ends > 0), float(base), float(own_sum + others))
-                for column, x in zip(out, summary, strict=True):
-                    column.append(x)
-                rare = Counter([words[k] for k in unknown.tolist()])
-                rare_words += rare
-                rare_tf += rare.values()
-                rare_kinds.append(len(rare))
-                row += 1
-            numbers = np.arange(first, row)
-            long, real = pa.int64(), pa.float64()
+            own = np.add.reduceat(log, np.cumsum(lengths + 1) - lengths - 1) / np.log(10)
+            doc, log = np.repeat(np.arange(len(lengths)), lengths), logs[ids]
+            of = lambda which, w=None: np.bincount(doc[which], None if w is None else w[which], len(lengths))
+            rare, near = np.flatnonzero(ids < 0), np.flatnonzero(ids >= n)
+            unknown = of(rare)
+            base = np.bincount(doc, log, len(lengths)) + end_part - (lengths + 1) * log_space
+            others = of(near, log) - (of(near) + unknown) * log_other
+            numbers, nothing = np.arange(row, row + len(lengths)), np.zeros(len(lengths), np.int64)
+            row += len(lengths)
             yield pa.RecordBatch.from_arrays([
-                pa.array(numbers), pa.array(out[0], pa.binary()), pa.array(np.zeros(len(docs), np.int64)), pa.array(out[1], long), pa.array(out[2], long), pa.array(out[3], long), pa.array(out[4], real), pa.array(out[5], real),
+                pa.array(numbers), pa.array([b"\0" + k.to_bytes(8, "big") for k in numbers.tolist()], pa.binary()), pa.array(nothing), docs.cast(long), pa.array(lengths + 1, long),
+                pa.array(lengths - unknown + (ends > 0), long), pa.array(base, real), pa.array(own + others, real),
             ], names=columns)
+            kinds = found.take(pa.array(rare)).dictionary_encode()
+            pairs, tf = np.unique(doc[rare] * max(1, len(kinds.dictionary)) + kinds.indices.to_numpy(), return_counts=True)
+            which, kind = np.divmod(pairs, max(1, len(kinds.dictionary)))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(numbers, rare_kinds)), pa.array(rare_words, pa.binary()), pa.array(rare_tf, long), *[pa.nulls(len(rare_tf), t) for t in (long, long, long, real, real)],
+                pa.array(numbers[which]), kinds.dictionary.take(pa.array(kind)), pa.array(tf, long), *[pa.nulls(len(tf), t) for t in (long, long, long, real, real)],
             ], names=columns)
 
         for batch in batches:
-            docs, size = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                docs.append((doc, words, np.array([number.get(w, -1) for w in words], np.int64)))
-                size += len(words) + 1
-                if size > SLICE:
-                    yield from rows_of(docs)
-                    docs, size = [], 0
-            if docs:
-                yield from rows_of(docs)
+            at = 0
+            for texts in _parts(batch.column(1), PART):
+                yield from rows_of(batch.column(0).slice(at, len(texts)), texts)
+                at += len(texts)
 
     parts = rows.mapInArrow(work, schema)
     known = counts.select(F.col("word").cast("binary").alias("word"), "c")

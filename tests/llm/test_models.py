@@ -291,3 +291,19 @@ def test_lm_windows_are_kept_as_one_number_a_position(spark, monkeypatch):
     monkeypatch.setattr(type(df), "groupBy", lambda self, *c, of=type(df).groupBy: seen.append(self) or of(self, *c))
     lm.groups_of(df, 30)(lambda *a: None, [lm.Table.of(np.ones((5, 3)))], None, 1)
     assert seen[0].columns == ["grp", "ids", "share"] and "windows" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lm_words_of_a_column_and_its_parts():
+    """Words are told apart and numbered a column at a time; only ASCII white space parts them."""
+    import pyarrow as pa
+
+    texts = ["", None, " \n\t ", "A\x0bb\x0cC  d\r", "x\x1cy z\x85w\u2003v \x00", "É é ẞ 中中 👍", "long " * 300, "last"]
+    column = pa.array(texts, pa.string())
+    want = [bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split() for t in texts]
+    parts = list(lm._parts(column.slice(1), 40))
+    assert [x for p in parts for x in p.to_pylist()] == texts[1:] and len(parts) > 2 and all(len(p) == 1 or sum(len((x or "").encode()) for x in p.to_pylist()) <= 40 for p in parts)
+    words, lengths = lm._words(column)
+    assert words.to_pylist() == [w for ws in want for w in ws] and lengths.tolist() == [len(ws) for ws in want]
+    assert lm._numbers(words, pa.array([b"last", b"long"])).tolist() == [{b"last": 0, b"long": 1}.get(w, -1) for ws in want for w in ws]
+    flat, at = lm._chain(np.arange(len(words)), lengths, -2, -1)
+    assert [flat[k] for k in at if flat[k] >= 0] == list(range(len(words))) and (flat[at] == -1).sum() == len(texts) and (flat == -2).sum() == lm.PLACES * len(texts)
