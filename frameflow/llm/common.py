@@ -24,6 +24,16 @@ def claim(owner: str, *caches) -> None:
     held += [c for c in caches if not any(c is h for h in held)]
 
 
+def forget(owner: str) -> None:
+    """At a task's end: what ``owner`` remembers goes, and so does what Arrow keeps for later, so that a worker which
+    waits through other stages is small."""
+    import pyarrow as pa
+
+    for cache in _remembered.get(owner, []):
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, longer by as many underscores as it takes to differ from all ``columns``."""
     taken = {c.lower() for c in columns}

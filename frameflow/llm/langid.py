@@ -10,7 +10,7 @@ and label, and of these the words of at most ``FIT_LETTERS`` letters; it learns
 every row and whole texts, very long ones and words of any length too (these take some 0.5 ms a letter); an empty table
 gives an empty result. Defined results: a text that is null or has no letter is 'und' with score 0; repeated rows count
 each when they are learnt, and get equal results; equal scores go to the language that sorts first; with no labelled rows
-every text is 'und'; extra columns are ignored. Of what is remembered between texts no word has over ``SHORT`` letters.
+every text is 'und'; extra columns are ignored. Of what is remembered between a task's texts no word has over ``SHORT`` letters.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameflow.llm.common import claim
+from frameflow.llm.common import claim, forget
 from frameflow.llm.held_out import held_out, learnable
 
 START = "▁"
@@ -262,11 +262,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
         own = held.value
         claim("langid", own._known)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                cut = batch.slice(at, ROWS)
-                done = own.predict(cut.column(where).to_pylist())
-                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.float64())], names=[*cut.schema.names, "lang_pred", "lang_score"])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    cut = batch.slice(at, ROWS)
+                    done = own.predict(cut.column(where).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*cut.columns, pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.float64())], names=[*cut.schema.names, "lang_pred", "lang_score"])
+        finally:
+            batch = cut = done = None
+            forget("langid")
 
     return rows.mapInArrow(work, schema)
 

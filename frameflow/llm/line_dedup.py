@@ -67,7 +67,8 @@ def ranged(seen: DataFrame) -> DataFrame:
     sampled = seen.where(F.pmod(F.xxhash64(*DOC, "pos"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # a line with SAMPLE / 4 rows there has a quarter of a partition's share; so there are about 4 * partitions at most
     often = sampled.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLE // 4)
-    parts = spark.createDataFrame([(r["h1"], r["h2"], -(-r["n"] // (SAMPLE // 4))) for r in often.collect()], "h1 bigint, h2 bigint, parts bigint")
+    # a table, as rows made in the driver would start Python workers on the executors
+    parts = materialise(often.select("h1", "h2", F.ceil(F.col("n") / (SAMPLE // 4)).alias("parts")), "often")
     sub = F.coalesce(1 + F.pmod(F.xxhash64(*DOC), F.col("parts")), F.lit(0))
     placed = seen.join(F.broadcast(parts), ["h1", "h2"], "left").select(F.shiftright("h1", 64 - bits).alias("range"), sub.alias("sub"), "h1", "h2", *DOC, "pos")
     return placed.repartition("range", "sub").sortWithinPartitions("range", "sub", "h1", "h2", *DOC, "pos")

@@ -75,3 +75,18 @@ def test_quality_sums_are_added_up_by_spark(spark, monkeypatch):
     one, many = quality.train(docs.coalesce(1), labels), quality.train(docs.repartition(40), labels)
     assert (one.words == many.words).all() and (one.w1 == many.w1).all()
     assert len(sizes) == 2 and all(0 < t.nbytes < 1.1 * quality.BUCKETS * quality.DIMS * 4 for t in sizes)
+
+
+def test_idle_workers_keep_no_words(spark, sf):
+    def kept(batches):
+        import pyarrow as pa
+
+        from frameflow.llm import common
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, common._remembered.get("langid", [])))])], names=["n"])
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(4)
+    model = langid.fit(langid.Pieces(["a", "b", "e"]), {"x": Counter(["abe"]), "y": Counter(["bea"])}, rounds=1)
+    assert langid.score(docs, model).where("lang_pred = 'x'").count() > 0
+    assert {r["n"] for r in docs.select("doc_id").mapInArrow(kept, "n bigint").collect()} == {0}

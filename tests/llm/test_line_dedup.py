@@ -83,3 +83,9 @@ def test_repeated_rows_are_split_once(spark):
     want = {(d, t, "\n".join(kept[d, t])) for d, t in set(rows)}
     assert {(r["doc_id"], r["text"], r["kept_text"]) for r in dedup_lines(docs, min_docs=3).collect()} == want
     assert dedup_lines(docs, min_docs=3).count() == len(rows)
+
+
+def test_no_rows_are_made_in_the_driver(spark, sf):
+    """They would start Python workers on the executors, which stay through the stages after."""
+    plan = line_dedup.ranged(line_dedup.occurrences(spark.read.parquet(f"{sf}/documents.parquet")))._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" not in plan
