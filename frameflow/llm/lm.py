@@ -9,7 +9,8 @@ number each and stay on the executors, where windows are made from them: each ``
 and after each round a parameter becomes its mean over the groups that moved it. More text means more groups, and each
 takes as many steps as one would alone. Only averaged parameters reach the driver; their size is that of the targets.
 
-For normalised probabilities the targets are dealt into classes by bisecting their vectors. Class vectors are trained in
+For normalised probabilities the targets are dealt into classes by bisecting their vectors, smaller ones for the most
+frequent eighth; a target as likely as a whole class would be is a class of its own. Class vectors are trained in
 the same way, and a token's probability is its class's softmax times the softmax among the class's own targets: two
 batched matrix products, whose logarithms sum to one over all targets. A word that isn't a target has the probability of
 the target for others times its share of them by the base's counts.
@@ -44,8 +45,9 @@ CHUNK = 4096  # windows that stay together
 PLACES, DIMS = 3, 16
 BATCH, NOISE, ROUNDS, STEPS, CLASS_STEPS, RATE = 2048, 128, 2, 450, 250, 0.15  # steps a round, or one pass where that is more
 ADD = 0.1
-SLICE = 1 << 16  # positions scored at once
+SLICE = 1 << 17  # positions scored at once
 NEAR = 512  # predictions whose scores stay in a processor's cache
+HASHED = 1 << 18  # distinct words of a partition, at most, that a hash join holds
 PART = 4 << 20  # bytes of texts whose words are told apart at once; a longer text is one part
 
 
@@ -69,6 +71,8 @@ def _words(texts) -> tuple:
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
     real = pc.greater(pc.binary_length(flat), 0)
+    if pc.all(real, min_count=0).as_py():
+        return flat.cast(pa.binary()), np.diff(ends)
     before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
     return flat.filter(real).cast(pa.binary()), np.diff(before[ends])
 
@@ -152,11 +156,12 @@ def sampled_windows(docs: DataFrame, own: dict[bytes, int], share: float, groups
 def windows_in(ids: bytes, n: int, share: float) -> np.ndarray:
     """A row for each position drawn of a chunk, whose first ``PLACES`` numbers are context; starts (n + 2) are no targets."""
     flat = np.frombuffer(ids, _kind(n)).copy()
-    at = np.flatnonzero(flat[PLACES:] != n + 2) + PLACES
+    starts = flat == n + 2
+    at = np.flatnonzero(~starts[PLACES:])
     if share < 1:
         at = at[np.random.default_rng(zlib.crc32(ids)).random(len(at)) < share]
-    flat[flat == n + 2] = n + 1
-    return np.stack([flat[at - i] for i in (*range(1, PLACES + 1), 0)], 1)
+    flat[starts] = n + 1
+    return np.stack([flat[PLACES - i : len(flat) - i] for i in (*range(1, PLACES + 1), 0)], 1).take(at, 0)
 
 
 def _kind(n: int) -> str:
@@ -188,12 +193,13 @@ class Model:
         q = _with_ones(sum(t.take(contexts[:, i], 0) for i, t in enumerate(self.places)))
         place, bounds = self.order[targets], [*self.starts.tolist(), len(self.bias)]
         cls = np.repeat(np.arange(len(self.starts)), np.diff(bounds))[place]
-        out = _chosen(q, np.column_stack([self.class_vectors, self.class_bias]), cls)
+        longest = _longest(q[:, :-1])
+        out = _chosen(q, np.column_stack([self.class_vectors, self.class_bias]), cls, longest)
         by = np.argsort(cls.astype(np.uint16), kind="stable")
         ends, q, place, inside = np.searchsorted(cls[by], np.arange(len(bounds))), q.take(by, 0), place[by], np.empty(len(by))
         for c in np.flatnonzero(np.diff(ends)).tolist():
             rows, a, b = slice(ends[c], ends[c + 1]), bounds[c], bounds[c + 1]
-            inside[rows] = _chosen(q[rows], np.column_stack([self.vectors[a:b], self.bias[a:b]]), place[rows] - a)
+            inside[rows] = _chosen(q[rows], np.column_stack([self.vectors[a:b], self.bias[a:b]]), place[rows] - a, longest) if b > a + 1 else 0.0
         out[by] += inside
         return out
 
@@ -205,12 +211,17 @@ def _with_ones(q: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chosen(q: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The log-softmax of one row of ``rows`` (vectors and bias) a prediction, for a few at a time, so that scores stay in a
-    processor's cache. Where no score can be large, none is taken off before the exponentials."""
+def _longest(x: np.ndarray) -> float:
+    return float(np.einsum("ij,ij->i", x, x).max(initial=0)) ** 0.5
+
+
+def _chosen(q: np.ndarray, rows: np.ndarray, which: np.ndarray, longest: float) -> np.ndarray:
+    """The log-softmax of one row of ``rows`` (vectors and bias) a prediction, none longer than ``longest``, for a few at a
+    time, so that scores stay in a processor's cache. Where no score can be far from the largest bias, none is taken off
+    before the exponentials."""
     out, columns, ones = np.empty(len(q)), np.ascontiguousarray(rows.T, np.float32), np.ones(len(rows), np.float32)
-    longest = lambda x: float(np.einsum("ij,ij->i", x, x).max(initial=0)) ** 0.5
-    small = longest(q) * longest(rows) < 60
+    columns[-1] -= columns[-1].max()
+    small = longest * _longest(rows[:, :-1]) - columns[-1].min() < 60
     for k in range(0, len(q), NEAR):
         scores = q[k : k + NEAR] @ columns
         if not small:
@@ -225,43 +236,70 @@ def _chosen(q: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
 class Table:
     """Parameters under Adagrad, of single precision; ``rows`` names the rows of a sparse gradient, which may repeat."""
 
-    value: np.ndarray
-    seen: np.ndarray
+    both: np.ndarray  # a parameter's value and the squares seen lie side by side, so that one gather reads both
 
     @classmethod
     def of(cls, value: np.ndarray) -> Table:
-        return cls(value.astype(np.float32), np.full(value.shape, 1e-3, np.float32))
+        return cls(np.stack([value.astype(np.float32), np.full(value.shape, 1e-3, np.float32)], 1))
+
+    @property
+    def value(self) -> np.ndarray:
+        return self.both[:, 0]
+
+    @property
+    def seen(self) -> np.ndarray:
+        return self.both[:, 1]
+
+    def copy(self) -> Table:
+        return Table(self.both.copy())
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        return self.both.reshape(-1, self.both.shape[2]).take(2 * rows, 0)
 
     def step(self, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
         if rows is None:
-            self.seen += grad * grad
-            self.value += RATE * grad / np.sqrt(self.seen)
+            self.seen[:] += grad * grad
+            self.value[:] += RATE * grad / np.sqrt(self.seen)
             return
-        order = np.argsort(rows.astype(np.uint16) if len(self.value) <= 1 << 16 else rows, kind="stable")  # a radix sort
+        order = np.argsort(rows.astype(np.uint16) if len(self.both) <= 1 << 16 else rows, kind="stable")  # a radix sort
         sorted_ = rows[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        ids, total = sorted_[first], _sums(grad.take(order, 0), first)
-        seen = self.seen.take(ids, 0) + total * total
-        self.seen[ids] = seen
+        ids, total = sorted_[first], _sums(grad, order, first)
+        both = self.both.take(ids, 0)
+        both[:, 1] += total * total
         total *= np.float32(RATE)
-        total /= np.sqrt(seen)
-        total += self.value.take(ids, 0)
-        self.value[ids] = total
-
-
-def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of runs of rows, two columns at a time, as real and imaginary part."""
-    if x.shape[1] % 2:
-        x = np.column_stack([x, np.zeros(len(x), x.dtype)])
-        return _sums(x, first)[:, :-1]
-    return np.add.reduceat(x.view(np.complex64), first).view(np.float32)
+        total /= np.sqrt(both[:, 1])
+        both[:, 0] += total
+        _put(self.both.reshape(len(self.both), -1), ids, both.reshape(len(both), -1))
+
+
+def _put(table: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+    """``table[ids] = rows``, a row being one item."""
+    whole = f"V{table.itemsize * table.shape[1]}"
+    np.put(table.view(whole).ravel(), ids, rows.view(whole).ravel())
+
+
+def _sums(x: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of runs of the rows ``x[order]``. Most runs are one row, which is taken as it is; the others' are added two columns
+    at a time, as real and imaginary part."""
+    times = np.diff(first, append=len(order))
+    out, several = x.take(order[first], 0), np.flatnonzero(times > 1)
+    if len(several):
+        runs, many = times[several], x.take(order[np.repeat(times > 1, times)], 0)
+        if odd := x.shape[1] % 2:
+            many = np.column_stack([many, np.zeros(len(many), x.dtype)])
+        sums = np.add.reduceat(many.view(np.complex64), np.cumsum(runs) - runs).view(np.float32)
+        _put(out, several, np.ascontiguousarray(sums[:, :-1]) if odd else sums)
+    return out
 
 
-def _contrast(q: np.ndarray, targets: Table, target: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> np.ndarray:
+def _contrast(q: np.ndarray, targets: Table, target: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, by_prediction: bool = True) -> np.ndarray | None:
     """One step of ``targets`` (vectors, and the bias as the last column) by the noise-contrastive objective, and the
-    gradient by prediction; ``q`` has a last column of ones. All tokens share ``noise``; what was drawn twice counts twice."""
-    noise, times = np.unique(noise, return_counts=True)
-    mine, others = targets.value.take(target, 0), targets.value.take(noise, 0)
+    gradient by prediction, where it is asked for; ``q`` has a last column of ones. All tokens share ``noise``; what was drawn twice counts twice."""
+    noise = np.sort(noise)
+    first = np.flatnonzero(np.concatenate([[True], noise[1:] != noise[:-1]]))
+    noise, times = noise[first], np.diff(first, append=len(noise))
+    mine, others = targets.take(target), targets.take(noise)
     shifted = -others.T
     shifted[-1] += log_noise[noise]
     with np.errstate(over="ignore"):
@@ -271,7 +309,7 @@ def _contrast(q: np.ndarray, targets: Table, target: np.ndarray, noise: np.ndarr
     down += 1
     np.reciprocal(down, out=down)
     times = times.astype(np.float32)[:, None]
-    by_q = up[:, None] * mine[:, :-1] - down @ (times * others[:, :-1])
+    by_q = None if not by_prediction else up[:, None] * mine[:, :-1] - down @ (times * others[:, :-1])
     targets.step(np.concatenate([up[:, None] * q, -times * (down.T @ q)]), np.concatenate([target, noise]))
     return by_q
 
@@ -292,7 +330,7 @@ def word_steps(tables: list[Table], windows: np.ndarray, base: np.ndarray, seed:
     for w in _batches(windows, max(STEPS, -(-len(windows) // BATCH)), rng):
         contexts, target = w[:, :PLACES].ravel(), w[:, PLACES]
         noise = np.minimum(np.searchsorted(totals, rng.random(NOISE)), len(base) - 1)
-        before = words.value.take(contexts, 0).reshape(len(w), -1)
+        before = words.take(contexts).reshape(len(w), -1)
         by_q = _contrast(_with_ones(before @ mixing.value), targets, target, noise, log_noise)
         by_words = (by_q @ mixing.value.T).reshape(len(contexts), -1)
         mixing.step(before.T @ by_q)
@@ -305,7 +343,7 @@ def class_steps(tables: list[Table], windows: np.ndarray, fixed: tuple, seed: in
     rng, totals, log_share = np.random.default_rng(seed), np.cumsum(share) / share.sum(), np.log(NOISE * share).astype(np.float32)
     for w in _batches(windows, max(CLASS_STEPS, -(-len(windows) // BATCH)), rng):
         noise = np.minimum(np.searchsorted(totals, rng.random(NOISE)), len(share) - 1)
-        _contrast(_with_ones(sum(t.take(w[:, i], 0) for i, t in enumerate(contexts))), tables[0], cls[w[:, PLACES]], noise, log_share)
+        _contrast(_with_ones(sum(t.take(w[:, i], 0) for i, t in enumerate(contexts))), tables[0], cls[w[:, PLACES]], noise, log_share, by_prediction=False)
 
 
 def groups_of(windows: DataFrame, n: int):
@@ -320,7 +358,7 @@ def groups_of(windows: DataFrame, n: int):
             import pyarrow as pa
 
             start, fixed = held.value
-            own = [Table(t.value.copy(), t.seen.copy()) for t in start]
+            own = [t.copy() for t in start]
             share = rows.column("share")[0].as_py()
             step(own, np.concatenate([windows_in(c, n, share) for c in sorted(rows.column("ids").to_pylist())]), fixed, seed + key[0].as_py())
             out = []
@@ -356,6 +394,19 @@ def _halves(vectors: np.ndarray, ids: np.ndarray, times: int) -> list[np.ndarray
     return _halves(vectors, order[: len(order) // 2], times - 1) + _halves(vectors, order[len(order) // 2 :], times - 1)
 
 
+def _classes(vectors: np.ndarray, base: np.ndarray, classes: int) -> list[np.ndarray]:
+    """Targets as likely as a class would be, one by one; the rest in ``classes`` classes, half of them of the most likely
+    eighth, so that softmaxes of few targets are those that are asked for most."""
+    rest = np.argsort(-base, kind="stable")
+    alone, rest = rest[base[rest] >= 1 / classes], rest[base[rest] < 1 / classes]
+    times = max(0, min(classes, len(base)).bit_length() - 1)
+    if len(rest) < 32 * classes:
+        parts = [(rest, times)]
+    else:
+        parts = [(rest[: len(rest) // 8], times - 1), (rest[len(rest) // 8 :], times - 1)]
+    return [*alone[:, None], *(g for ids, k in parts if len(ids) for g in _halves(vectors, ids, k))]
+
+
 def train(run, base: np.ndarray, classes: int = CLASSES, seed: int = 3) -> Model:
     """A model of targets 0 to len(base) - 1, whose base probabilities are the noise. A context is a target or, where the
     end would be, the start. ``run(step, tables, fixed, seed)`` returns the tables after a round over the windows."""
@@ -368,7 +419,7 @@ def train(run, base: np.ndarray, classes: int = CLASSES, seed: int = 3) -> Model
         tables = run(word_steps, tables, base, (seed + k) << 32)
     words, mixing, targets = (t.value for t in tables)
     contexts, vectors = [np.ascontiguousarray(words @ p) for p in mixing.reshape(PLACES, DIMS, DIMS)], targets[:, :-1]
-    groups = _halves(vectors, np.arange(n), max(0, min(classes, n).bit_length() - 1))
+    groups = _classes(vectors, base, classes)
     in_order = np.concatenate(groups)
     starts = np.cumsum([0, *map(len, groups)])[:-1]
     order = np.empty(n, np.int64)
@@ -403,17 +454,18 @@ def score(docs: DataFrame, folds: int = 10, targets: int = WORDS, classes: int =
     model = train(groups_of(sampled_windows(learn, own, share, max(1, round(tokens * share / TRAINER))), len(own)), base, classes)
     held = spark.sparkContext.broadcast(([w for w, _ in often], np.log10(often_c + ADD), model))
     log_space, log_other, end_part = np.log10(space), np.log10(other_space), np.log10(ends + ADD)
-    schema = "row bigint, word binary, tf bigint, id bigint, n_tokens bigint, n_known bigint, base double, model double"
+    whole = "struct<id: bigint, n_tokens: bigint, n_known: bigint, base: double, model: double>"  # null where a row is a word's
 
     def work(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        columns = ["row", "word", "tf", "id", "n_tokens", "n_known", "base", "model"]
+        columns, names = ["row", "word", "tf", "doc"], ["id", "n_tokens", "n_known", "base", "model"]
         row, (words, logs, model) = (ctx.partitionId() if ctx else 0) << 33, held.value
         known, logs = pa.array(words, pa.binary()), np.append(logs, 0.0)  # -1, of rarer words, is the last
         long, real = pa.int64(), pa.float64()
+        nothing_of = pa.struct([pa.field(c, t) for c, t in zip(names, (long, long, long, real, real), strict=True)])
 
         def rows_of(docs, texts):
             nonlocal row
@@ -434,15 +486,13 @@ def score(docs: DataFrame, folds: int = 10, targets: int = WORDS, classes: int =
             numbers, nothing = np.arange(row, row + len(lengths)), np.zeros(len(lengths), np.int64)
             row += len(lengths)
             yield pa.RecordBatch.from_arrays([
-                pa.array(numbers), pa.array([b"\0" + k.to_bytes(8, "big") for k in numbers.tolist()], pa.binary()), pa.array(nothing), docs.cast(long), pa.array(lengths + 1, long),
-                pa.array(lengths - unknown + (ends > 0), long), pa.array(base, real), pa.array(own + others, real),
+                pa.array(numbers), pa.array([b"\0" + k.to_bytes(8, "big") for k in numbers.tolist()], pa.binary()), pa.array(nothing),
+                pa.StructArray.from_arrays([docs.cast(long), pa.array(lengths + 1, long), pa.array(lengths - unknown + (ends > 0), long), pa.array(base, real), pa.array(own + others, real)], names),
             ], names=columns)
             kinds = found.take(pa.array(rare)).dictionary_encode()
             pairs, tf = np.unique(doc[rare] * max(1, len(kinds.dictionary)) + kinds.indices.to_numpy(), return_counts=True)
             which, kind = np.divmod(pairs, max(1, len(kinds.dictionary)))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(numbers[which]), kinds.dictionary.take(pa.array(kind)), pa.array(tf, long), *[pa.nulls(len(tf), t) for t in (long, long, long, real, real)],
-            ], names=columns)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[which]), kinds.dictionary.take(pa.array(kind)), pa.array(tf, long), pa.nulls(len(tf), nothing_of)], names=columns)
 
         for batch in batches:
             at = 0
@@ -450,12 +500,13 @@ def score(docs: DataFrame, folds: int = 10, targets: int = WORDS, classes: int =
                 yield from rows_of(batch.column(0).slice(at, len(texts)), texts)
                 at += len(texts)
 
-    parts = rows.mapInArrow(work, schema)
-    known = counts.select(F.col("word").cast("binary").alias("word"), "c")
+    parts = rows.mapInArrow(work, f"row bigint, word binary, tf bigint, doc {whole}")
+    known = counts.select(F.col("word").cast("binary").alias("word"), F.log10(F.col("c") + ADD).alias("log"))
+    if kinds <= HASHED * int(spark.conf.get("spark.sql.shuffle.partitions")):  # distinct words: a partition's share is bounded, and needs no sorting
+        known = known.hint("shuffle_hash")
     met = parts.join(known, "word", "left")
-    log = F.when(F.col("tf") > 0, F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + ADD)).otherwise(0.0)
+    log = F.when(F.col("tf") > 0, F.col("tf") * F.coalesce("log", F.log10(F.lit(ADD)))).otherwise(0.0)
     done = met.groupBy("row").agg(
-        F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), (F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)) + F.max("n_known")).alias("n_known"),
-        F.max("base").alias("base"), F.max("model").alias("model"), F.sum(log).alias("rare"),
+        *[F.max(f"doc.{c}").alias(c) for c in ("id", "n_tokens", "base", "model")], (F.sum(F.when(F.col("log").isNotNull(), F.col("tf")).otherwise(0)) + F.max("doc.n_known")).alias("n_known"), F.sum(log).alias("rare"),
     )
     return done.select(F.col("id").alias(id_col), held_out(F.col("id"), folds).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), (F.col("base") + F.col("rare")).alias("base_score"), (F.col("model") + F.col("rare")).alias("score"))

@@ -307,3 +307,38 @@ def test_lm_words_of_a_column_and_its_parts():
     assert lm._numbers(words, pa.array([b"last", b"long"])).tolist() == [{b"last": 0, b"long": 1}.get(w, -1) for ws in want for w in ws]
     flat, at = lm._chain(np.arange(len(words)), lengths, -2, -1)
     assert [flat[k] for k in at if flat[k] >= 0] == list(range(len(words))) and (flat[at] == -1).sum() == len(texts) and (flat == -2).sum() == lm.PLACES * len(texts)
+
+
+def test_lm_rare_words_meet_their_counts_without_sorting(spark, monkeypatch):
+    """A hash join where a partition's share of the distinct words is bounded, any join otherwise; the results are equal."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{k * i % 97}" for i in range(k % 30))) for k in range(120)], "doc_id bigint, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    hashed = lm.score(docs, targets=20, classes=4, local=40)
+    monkeypatch.setattr(lm, "HASHED", 0)
+    other = lm.score(docs, targets=20, classes=4, local=40)
+    assert "ShuffledHashJoin" in plan(hashed) and "SortMergeJoin" not in plan(hashed) and "ShuffledHashJoin" not in plan(other)
+    assert all(x[:5] == y[:5] and math.isclose(x["base_score"], y["base_score"], rel_tol=1e-12) for x, y in zip(sorted(hashed.collect()), sorted(other.collect()), strict=True))
+
+
+def test_lm_classes_of_frequent_targets_are_small():
+    """Each target is in one class; one as likely as a class is alone, and the frequent eighth has half of the classes."""
+    rng, base = np.random.default_rng(2), 1 / np.arange(1, 4097)
+    base /= base.sum()
+    groups = lm._classes(rng.normal(size=(4096, 4)), base, 32)
+    alone = int((base >= 1 / 32).sum())
+    assert sorted(np.concatenate(groups).tolist()) == list(range(4096)) and len(groups) == 32 + alone and alone > 1
+    assert [len(g) for g in groups[:alone]] == [1] * alone
+    assert sum(base[g].sum() * len(g) * (len(g) > 1) for g in groups) < 0.6 * 4096 / 32
+
+
+def test_lm_sparse_steps_against_rows_one_by_one():
+    rng = np.random.default_rng(8)
+    for width in (4, 5):
+        for rows in (np.array([3, 1, 3, 3, 7, 0, 7, 9]), np.array([2, 5, 8]), np.array([4, 4, 4])):
+            start, grad = rng.normal(size=(11, width)).astype(np.float32), rng.normal(size=(len(rows), width)).astype(np.float32)
+            table = lm.Table.of(start)
+            assert (table.take(rows) == start[rows]).all()
+            table.step(grad, rows)
+            for r in range(11):
+                total = grad[rows == r].sum(0, dtype=float)
+                assert np.allclose(table.seen[r], 1e-3 + total**2, rtol=1e-5) and np.allclose(table.value[r], start[r] + lm.RATE * total / np.sqrt(1e-3 + total**2), rtol=1e-5, atol=1e-6)
