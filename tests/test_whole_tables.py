@@ -110,6 +110,29 @@ def test_overlaps_against_brute_force(spark):
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()  # a cell's boxes are not joined with one another
 
 
+def test_overlaps_of_dense_places_are_dealt_into_bounded_tasks(spark, monkeypatch):
+    """Many boxes of a place become many tasks; cells are halved, and split by how boxes come in and by blocks. Ids occur twice."""
+    for name, value in (("PAIRS", 2_000), ("BOXES", 64), ("SIDE", 48)):
+        monkeypatch.setattr(match, name, value, raising=False)
+    rng = np.random.default_rng(4)
+    spot = [(x, y, x + w, y + h) for x, y, w, h in zip(rng.integers(3, 6, 250), rng.integers(-2, 2, 250), rng.integers(1, 9, 250), rng.integers(1, 6, 250), strict=True)]
+    wide = [(x, y, x + w, y + h) for x, y, w, h in zip(rng.integers(-40, 40, 300), rng.integers(-40, 40, 300), rng.integers(0, 12, 300), rng.integers(1, 9, 300), strict=True)]
+    box = [(k % 540, *map(float, b)) for k, b in enumerate(spot + wide)]
+    df = match.overlap_graph(spark.createDataFrame(box, "id bigint, x0 double, y0 double, x1 double, y1 double"), 8.0)
+    parts = [[tuple(r) for r in p] for p in df.rdd.glom().collect()]
+    want = []
+    for k, p in enumerate(box):
+        for q in box[k + 1 :]:
+            w, h = min(p[3], q[3]) - max(p[1], q[1]), min(p[4], q[4]) - max(p[2], q[2])
+            if w > 0 and h > 0 and p[0] != q[0]:
+                want.append((min(p[0], q[0]), max(p[0], q[0]), w * h, w * h / min((b[3] - b[1]) * (b[4] - b[2]) for b in (p, q))))
+    assert sorted(r for p in parts for r in p) == sorted(want) and len(want) > 20_000
+    assert max(map(len, parts)) < 6_000 and sum(map(bool, parts)) > 10
+    # equal areas and shares are together, which makes files of edges small
+    largest = max(parts, key=len)
+    assert sum(a[2:] != b[2:] for a, b in zip(largest, largest[1:], strict=False)) < len(largest) / 4
+
+
 def test_nearest_within_against_brute_force(spark):
     """Dense and sparse places, copies and ties, by radii that grow."""
     rng = np.random.default_rng(9)
