@@ -128,7 +128,7 @@ def cones(spark, sf):
 
 @query("cone_join", f"WITH {PAIRS} SELECT cone, k, {s6('sep')} AS sep FROM met WHERE sep <= radius")
 def cone_join(spark, sf):
-    return match.cone_join(cones(spark, sf), sky_table(spark, sf), 2.0).select("cone", "k", r6("sep").alias("sep"))
+    return match.cone_pairs(cones(spark, sf), sky_table(spark, sf), 2.0).select("cone", "k", r6("sep").alias("sep"))
 
 
 @query("cone_counts", f"""WITH {PAIRS}, f AS (SELECT cone, count(*) AS n, min(sep) AS nearest, sum(pow(10.0, mag * -0.4)) AS flux FROM met WHERE sep <= radius GROUP BY cone)
